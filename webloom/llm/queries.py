@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import langid, mixing, sharding, toxicity
+from webloom.llm import langid, lm, mixing, sharding, toxicity
 from webloom.llm.sampling import remainder
-from webloom.session import table
+from webloom.session import Scratch, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,23 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "lm")
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    seen = docs.where(~held_out)
+    counts = scratch.save(lm.count_tokens(seen), "counts")
+    model = lm.train(seen, counts)
+    out = lm.score(docs, model, counts, scratch)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_toxicity": op2_toxicity,
         "op4_mixing": op4_mixing,
         "op7_sharding": op7_sharding,
+        "op9_lm_scoring": op9_lm_scoring,
     }
 
 
