@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import langid, lm, mixing, pii, sharding, toxicity
+from webloom.llm import langid, lm, mixing, neardup, pii, sharding, toxicity
 from webloom.llm.sampling import remainder
 from webloom.session import Scratch, table
 
@@ -60,6 +60,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.components(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pii": op5_pii,
         "op7_sharding": op7_sharding,
         "op9_lm_scoring": op9_lm_scoring,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
