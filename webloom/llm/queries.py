@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import langid, lm, mixing, neardup, pii, sharding, toxicity
-from webloom.llm.sampling import remainder
+from webloom.llm.sampling import per_class, remainder
 from webloom.session import Scratch, table
 
 
@@ -20,9 +20,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity label that training may see: one row for each id, the larger label first."""
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    """Documents with a toxicity label that training may see (the larger label of an id).
+
+    The ids are thinned to the classifier's bound before they meet the texts, so the side that
+    is broadcast has about 2 * ROWS_PER_CLASS rows whatever the input.
+    """
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
+    few = per_class(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", "doc_id", toxicity.ROWS_PER_CLASS)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

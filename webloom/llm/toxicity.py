@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm.arrowtext import byte_ngrams, chunks, encode_words, segment_sums, vocab_sums
 from webloom.llm.sampling import per_class
+from webloom.session import Scratch
 
 ORDERS = range(4, 7)
 BITS = 17
@@ -77,40 +78,56 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(rows: DataFrame, text: str, label: str, key: str, epochs: int = 25, seed: int = 11) -> Model:
     """Fit on about ROWS_PER_CLASS labelled texts of either class at most."""
     rows = rows.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(key).alias("key")).where(F.col("label").isin(0, 1) & F.col("text").isNotNull())
+    scratch = Scratch(rows.sparkSession, "toxicity")
     sample = per_class(rows, "label", "key", ROWS_PER_CLASS).select("text", "label")
-    got = sample.mapInArrow(_features, "label int, idx array<int>, val array<float>").toArrow()
+    bags = scratch.save(sample.mapInArrow(_features, "label int, idx array<int>, val array<float>"), "bags")
+    n = {r["label"]: r["c"] for r in bags.groupBy("label").agg(F.count(F.lit(1)).alias("c")).collect()}
+    if len(n) < 2:
+        flat = np.zeros((1 << BITS, 1), np.float32)
+        return Model(flat, float(np.log(0.5 * THRESHOLD / (1 - 0.5 * THRESHOLD))) if n.get(1) else -30.0)
+    # buckets are chosen and summed where the bags are; only the chosen ones travel (at most 2**BITS rows)
+    kept = bags.select("label", F.explode(F.arrays_zip("idx", "val")).alias("x")).groupBy(F.col("x.idx").alias("bucket")).agg(
+        F.count_if(F.col("label") == 0).alias("k0"), F.count_if(F.col("label") == 1).alias("k1"), F.sum(F.col("x.val").cast("double") * F.col("x.val")).alias("square")
+    ).toPandas()
+    stats = np.zeros((3, 1 << BITS))
+    stats[:, kept["bucket"]] = kept[["k0", "k1", "square"]].to_numpy().T
+    keep = telling(stats[0], stats[1], n[0], n[1])
+    total = stats[0] + stats[1]
+    unit = np.where(keep, STEP / np.sqrt(stats[2] / np.maximum(1, total) + 1e-12), 0).astype(np.float32)
+    shared = rows.sparkSession.sparkContext.broadcast(keep)
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("idx")
+            idx, val = lists.flatten().to_numpy(), batch.column("val").flatten().to_numpy()
+            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            hit = shared.value[idx]
+            cuts = pa.array(np.searchsorted(of[hit], np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(cuts, pa.array(idx[hit])), pa.ListArray.from_arrays(cuts, pa.array(val[hit]))], ["label", "idx", "val"])
+
+    got = bags.mapInArrow(pruned, "label int, idx array<int>, val array<float>").toArrow()
+    scratch.drop()
     y = np.array(got.column("label").to_pylist(), np.int64)
-    flat = np.zeros((1 << BITS, 1), np.float32)
-    if len(set(y.tolist())) < 2:
-        return Model(flat, float(np.log(0.5 * THRESHOLD / (1 - 0.5 * THRESHOLD))) if y.any() else -30.0)
     idx, val = got.column("idx").combine_chunks(), got.column("val").combine_chunks()
     lengths = pc.list_value_length(idx).to_numpy(zero_copy_only=False)
-    part, bias = fit(y, idx.flatten().to_numpy(), val.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), epochs, seed)
-    return Model(part[:, None].astype(np.float32), bias)
+    idx = idx.flatten().to_numpy()
+    part, bias = fit(y, idx, val.flatten().to_numpy() * unit[idx], np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), epochs, seed)
+    return Model((part * unit)[:, None].astype(np.float32), bias)
 
 
-def telling(y: np.ndarray, idx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets whose presence depends on the label (log-likelihood ratio), and the texts with each bucket."""
-    n, ratio, total = len(y), np.zeros(1 << BITS), np.bincount(idx, minlength=1 << BITS)
-    for c in (0, 1):
-        n_c, with_c = int((y == c).sum()), np.bincount(idx, weights=(y[doc] == c), minlength=1 << BITS)
-        for seen, expected in ((with_c, total * n_c / n), (n_c - with_c, (n - total) * n_c / n)):
+def telling(k0: np.ndarray, k1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Buckets whose presence depends on the label, by the log-likelihood ratio of a 2 x 2 table."""
+    n, ratio, total = n0 + n1, np.zeros(1 << BITS), k0 + k1
+    for k, n_c in ((k0, n0), (k1, n1)):
+        for seen, expected in ((k, total * n_c / n), (n_c - k, (n - total) * n_c / n)):
             ratio += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    return (ratio >= LEAST_RATIO) & (total >= 3), total
+    return (ratio >= LEAST_RATIO) & (total >= 3)
 
 
-def fit(y: np.ndarray, idx: np.ndarray, val: np.ndarray, starts: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
+def fit(y: np.ndarray, col_of: np.ndarray, val_of: np.ndarray, starts: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
     """Embeddings and softmax by AdaGrad on sparse averaged bags; both classes weigh the same."""
     # rows arrive in any order; put them in one that depends on their content alone
-    doc = np.repeat(np.arange(len(y)), np.diff(starts))
-    keep, total = telling(y, idx, doc)
-    used = np.where(keep[idx], val, 0).astype(np.float32)
-    unit = np.where(keep, STEP / np.sqrt(np.bincount(idx, weights=used.astype(np.float64) ** 2, minlength=1 << BITS) / np.maximum(1, total) + 1e-12), 0).astype(np.float32)
-    left = np.flatnonzero(keep[idx])
-    col_of, doc_of = idx[left], doc[left]
-    val_of = used[left] * unit[col_of]
-    starts = np.searchsorted(doc_of, np.arange(len(y) + 1))
-    content = np.bincount(doc, weights=val.astype(np.float64) * (idx % 1009), minlength=len(y)) + y
+    content = np.bincount(np.repeat(np.arange(len(y)), np.diff(starts)), weights=val_of.astype(np.float64) * (1 + col_of % 1009), minlength=len(y)) + y
     steady = np.argsort(content, kind="stable")
     rng = np.random.default_rng(seed)
     embed = (rng.standard_normal((1 << BITS, WIDTH)) * 0.05).astype(np.float32)
@@ -139,7 +156,7 @@ def fit(y: np.ndarray, idx: np.ndarray, val: np.ndarray, starts: np.ndarray, epo
             mem_b += g_b**2
             out -= (rate * g_out / np.sqrt(mem_o)).astype(np.float32)
             bias -= (rate * g_b / np.sqrt(mem_b)).astype(np.float32)
-    return (embed @ (out[:, 1] - out[:, 0])) * unit, float(bias[1] - bias[0])
+    return embed @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
