@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import langid, lm, mixing, neardup, pii, sharding, toxicity
+from webloom.llm import ann, langid, lm, mixing, neardup, pii, sharding, substring, toxicity
 from webloom.llm.sampling import per_class, remainder
 from webloom.session import Scratch, table
 
@@ -36,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Good documents weigh 2, bad ones 1; those without a label weigh 1."""
     return table(spark, sf_dir, "labels").select("doc_id", (F.lit(1.0) + F.coalesce(F.col("quality"), F.lit(0))).alias("weight"))
@@ -55,6 +59,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "lm")
     held_out = remainder(F.col("doc_id"), 5) == 1
@@ -74,9 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_toxicity": op2_toxicity,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_mixing": op4_mixing,
         "op5_pii": op5_pii,
         "op7_sharding": op7_sharding,
+        "op8_ann": op8_ann,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_near_duplicates": op10_near_duplicates,
     }
