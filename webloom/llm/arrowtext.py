@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once inside a Python worker.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 
 
 @dataclass
