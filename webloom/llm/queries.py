@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ann, langid, lm, mixing, neardup, pii, sharding, substring, toxicity
+from webloom.llm import ann, decontaminate, langid, lm, mixing, neardup, pii, sharding, substring, toxicity
 from webloom.llm.sampling import per_class, remainder
 from webloom.session import Scratch, table
 
@@ -55,6 +55,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("t")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_mixing": op4_mixing,
         "op5_pii": op5_pii,
+        "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_ann": op8_ann,
         "op9_lm_scoring": op9_lm_scoring,
