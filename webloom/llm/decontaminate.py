@@ -32,7 +32,7 @@ from webloom.llm.arrowtext import Words, chunks, encode_words, owners
 
 STEP = 16
 RANK = 192
-COSINE = 0.45
+COSINE = 0.35
 #: Words in more than this share of all blocks (and in COMMON_BLOCKS) weigh nothing, unless an item needs them.
 COMMON_SHARE = 0.003
 COMMON_BLOCKS = 10

@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", quality: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 42, cells: int = CELLS) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies and taken of every row.
+    """doc_id, __tie (a hash of the text), size, source, source_size, target, copies and taken of every row.
 
     ``quality`` (doc_id, weight) scales the keys; a document without a weight has 1.
     """
@@ -90,14 +90,29 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     borders = borders.join(wanted.withColumn("__s", named).drop("source"), named == F.col("__s"))
     # the border cell is the first whose end goes beyond the rest of the budget
     border = F.min(F.when(F.col("__start") + F.col("__cell_size") > F.col("__rest"), F.struct("__cell", "__start")))
-    plan = borders.groupBy("__s", "source_size", "target", "__epochs", "__rest").agg(border.alias("__border"))
+    # a written table has a size, so Spark broadcasts it if it is small and shuffles otherwise
+    plan = scratch.save(borders.groupBy("__s", "source_size", "target", "__epochs", "__rest").agg(border.alias("__border")), "plan")
 
     rows = rows.withColumn("__name", named).join(plan, F.col("__name") == F.col("__s"))
     cell = F.coalesce(F.col("__border.__cell"), F.lit(cells))
     ordered = Window.partitionBy("__name").orderBy("__key", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    kept = ("doc_id", "size", "source", "source_size", "target")
+    kept = ("doc_id", "__tie", "size", "source", "source_size", "target")
     clear = rows.where(F.col("__cell") != cell).select(*kept, (F.col("__epochs") + (F.col("__cell") < cell).cast("long")).alias("copies"))
     near = rows.where(F.col("__cell") == cell)
     start = F.col("__border.__start") + F.coalesce(F.sum("size").over(ordered), F.lit(0))
     near = near.withColumn("__at", start).select(*kept, (F.col("__epochs") + (F.col("__at") + F.col("size") / 2 <= F.col("__rest")).cast("long")).alias("copies"))
     return clear.unionByName(near).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def apply(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, each as often as ``decided`` (from mix()) has copies of it."""
+    per_row = decided.groupBy("doc_id", "__tie").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
+    per_row = per_row.withColumnsRenamed({"doc_id": "__id", "__tie": "__mark"})
+    marked = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = marked.join(per_row, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__mark")))
+    single = joined.where(F.size("__copies") == 1).withColumn("__n", F.element_at("__copies", 1))
+    # rows of one id and text share their copies out in any order: they are alike
+    turn = Window.partitionBy("__id", "__mark").orderBy(F.lit(1))
+    again = joined.where(F.size("__copies") > 1).withColumn("__n", F.element_at("__copies", F.row_number().over(turn)))
+    rows = single.unionByName(again).where("__n > 0")
+    return rows.withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

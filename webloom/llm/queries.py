@@ -19,20 +19,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity label that training may see (the larger label of an id).
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of ``docs`` with a toxicity label (the larger label of an id).
 
     The ids are thinned to the classifier's bound before they meet the texts, so the side that
     is broadcast has about 2 * ROWS_PER_CLASS rows whatever the input.
     """
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
-    few = per_class(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", "doc_id", toxicity.ROWS_PER_CLASS)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    few = per_class(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic", "doc_id", toxicity.ROWS_PER_CLASS)
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.train(labelled(spark, sf_dir), "text", "toxic", "doc_id")
-    out = toxicity.score(table(spark, sf_dir, "documents"), model)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(labelled(docs, labels.where(remainder(F.col("doc_id"), 3) != 1)), "text", "toxic", "doc_id")
+    out = toxicity.score(docs, model)
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 

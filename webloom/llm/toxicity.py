@@ -159,8 +159,8 @@ def fit(y: np.ndarray, col_of: np.ndarray, val_of: np.ndarray, starts: np.ndarra
     return embed @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keys`` plus score (0 to 1) for every row of ``docs``."""
+def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """``keys`` plus ``name`` (a score from 0 to 1) for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,4 +177,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ..
     picked = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("text"))
     kinds = dict(picked.dtypes)
     out = picked.mapInArrow(run, ", ".join(f"k{i} {kinds[f'k{i}']}" for i in range(len(keys))) + ", score double")
-    return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "score")
+    return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), F.col("score").alias(name))
