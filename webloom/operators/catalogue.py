@@ -72,7 +72,8 @@ def union_ids(*lists: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, lists).where("id > 0").distinct()
 
 
-def _counters(sign=F.lit(1)):
+def _counters(sign=None):
+    sign = F.lit(1) if sign is None else sign
     crawled, image = F.col("crawled_time").isNotNull(), predicates.is_image(F.col("type"))
     add = lambda c: F.coalesce(F.sum(F.when(c, sign).otherwise(0)), F.lit(0)).cast("long")
     return (
