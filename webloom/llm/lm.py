@@ -35,6 +35,8 @@ from webloom.session import Scratch
 END = ""  # no word is empty
 HOT_WORDS = 65_536
 HOT_BYTES = 64
+#: Bytes of text handled at once: per-token arrays are a multiple of it.
+CHUNK = 3_000_000
 VOCABULARY = 16_384  # two more indices must fit into 16 bits
 WIDTH = 16
 NOISE = 48
@@ -77,7 +79,7 @@ def count_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, c over all rows; the end is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             words = encode_words(batch.column("text"), lower_ascii=True)
             n = np.bincount(words.codes, minlength=len(words.vocab))
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([words.vocab, pa.array([END], words.vocab.type)]), pa.array(np.append(n, batch.num_rows).astype(np.int64))], ["word", "n"])
@@ -124,7 +126,7 @@ def _train_partition(batches: Iterator[pa.RecordBatch], hot: pa.Array, size: int
     mem_c, mem_t, mem_b = np.full(len(context), MEMORY, np.float32), np.full(len(target), MEMORY, np.float32), np.full(len(bias), MEMORY, np.float32)
     rng, edges, log_kn = np.random.default_rng(seed), np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
     seen, rate = 0, RATE
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=CHUNK):
         _, index, before, _, _ = pairs(encode_words(batch.column("text"), lower_ascii=True), hot, size)
         for a in range(0, len(index), BATCH):
             w, u = index[a : a + BATCH], before[a : a + BATCH]
@@ -210,7 +212,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         share, seen = np.append(np.log10(m.counts + 0.5), 0.0), np.append(m.counts > 0, False).astype(np.int64)  # the last for words that are not hot
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK):
             words = encode_words(batch.column("text"), lower_ascii=True)
             rank, index, before, offsets, codes = pairs(words, m.hot, m.size)
             logp = np.empty(len(index))
