@@ -98,5 +98,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+_OP3 = f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+  s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20),
+  f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS r FROM s),
+  c AS (SELECT DISTINCT doc_id, i + j AS p FROM f, (SELECT unnest(range(0, 20)) AS j) WHERE r > 1),
+  o AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w),
+  k AS (SELECT o.doc_id, count(*) AS kept, string_agg(o.ws[o.p], ' ' ORDER BY o.p) AS words FROM o ANTI JOIN c ON o.doc_id = c.doc_id AND o.p = c.p GROUP BY o.doc_id)
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP10 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+  l AS (SELECT b.a, b.b FROM b JOIN n p ON p.doc_id = b.a JOIN n q ON q.doc_id = b.b WHERE 100 * i >= 85 * (p.n + q.n - i)),
+  r AS (SELECT doc_id, doc_id AS to_id FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.to_id),
+  m AS (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id)
+  SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, w.doc_id = m.component_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN m ON m.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say what an operator returns; hashes and models are tested by brute force instead."""
+    return {"op3_substring_dedup": _OP3, "op10_near_duplicates": _OP10}
