@@ -5,9 +5,10 @@ one per tree; within a tree, nodes sorted by their order meet in regions that sh
 of ``DEPTH`` values. In the first pass a node's candidates are its neighbours in the orders,
 those with the longest common prefix first, so crowded regions are searched deeply and sparse
 ones shallowly. Confirmed links give components. The second pass takes every region that still
-holds more than one component and compares, in blocks, the signatures of members of different
-components: the best pairs of every two components are confirmed first, then all the others.
-So no candidate is dropped for the size of a region, and no region is expanded into all pairs.
+holds more than one component: members of different components are compared in blocks, first
+by signatures, then (those that are near) by their whole sets, and the links between
+components come out as spanning forests. So no candidate is dropped for the size of a region,
+and no region is expanded into all pairs.
 
 A pair at the threshold shares no region with probability (1 - s**DEPTH)**TREES: 2e-8 at 0.85.
 Pairs whose signatures agree in less than the threshold minus five standard errors are not
@@ -37,9 +38,8 @@ TREES, DEPTH = 24, 4
 VALUES = TREES * DEPTH
 #: Neighbours of a node that the first pass confirms.
 FIRST_NEIGHBOURS = 2
-#: Pairs of every two components that are confirmed before all others.
-FIRST_PAIRS = 4
-BLOCK = 256
+#: Members of a region compared at once, by signatures and by whole sets.
+BLOCK, SET_BLOCK = 256, 64
 #: Node lists up to this many rows may be broadcast (about 40 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -157,16 +157,24 @@ def _neighbours(members: DataFrame, sigs: DataFrame) -> DataFrame:
     return near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST_NEIGHBOURS).select(F.col("node").alias("a"), F.col("other").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(members: DataFrame, sigs: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of one region but different components whose signatures are near: a, b, ca, cb, agree."""
-    sized = members.select("key", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = sized.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-    open_ = sized.join(several, "key").join(sigs.select("node", "n", "sig"), "node")
+def _met(rows: DataFrame, size: int, *fields: str) -> DataFrame:
+    """Pairs of blocks of at most ``size`` members of one region; blocks of one and the same component do not meet."""
     line = Window.partitionBy("key").orderBy("component", "node")
-    blocks = open_.withColumn("block", F.floor((F.row_number().over(line) - 1) / BLOCK)).groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "n", "sig")).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    left = blocks.select("key", *(F.col(c).alias(f"{c}1") for c in ("block", "m", "lo", "hi")))
+    blocks = rows.withColumn("block", F.floor((F.row_number().over(line) - 1) / size)).groupBy("key", "tree", "block").agg(F.collect_list(F.struct("node", "component", *fields)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    left = blocks.select("key", "tree", *(F.col(c).alias(f"{c}1") for c in ("block", "m", "lo", "hi")))
     right = blocks.select("key", *(F.col(c).alias(f"{c}2") for c in ("block", "m", "lo", "hi")))
-    met = left.join(right, "key").where("block1 <= block2 and not (lo1 = hi1 and lo1 = lo2 and lo2 = hi2)").select("m1", "m2", (F.col("block1") == F.col("block2")).alias("own"))
+    return left.join(right, "key").where("block1 <= block2 and not (lo1 = hi1 and lo1 = lo2 and lo2 = hi2)").select("key", "tree", "m1", "m2")
+
+
+def _near(members: DataFrame, sigs: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """key, tree, node of the members of a region whose signature is near one of another component there.
+
+    A pair counts in the first tree that it shares, so it is looked at once. Only members come
+    out, at most one row for each block met, never the pairs.
+    """
+    sized = members.select("key", "tree", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = sized.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
+    met = _met(sized.join(several, "key").join(sigs.select("node", "n", "sig"), "node"), BLOCK, "n", "sig")
     s = percent / 100
     least = int(np.floor(VALUES * (s - 5 * np.sqrt(s * (1 - s) / VALUES))))
 
@@ -178,19 +186,91 @@ def _across(members: DataFrame, sigs: DataFrame, component: DataFrame, percent:
 
         for batch in batches:
             for i in range(batch.num_rows):
+                key, tree = batch.column("key")[i].as_py(), batch.column("tree")[i].as_py()
                 a, ca, na, sa = fields(batch.column("m1"), i)
                 b, cb, nb, sb = fields(batch.column("m2"), i)
-                agree = np.zeros((len(a), len(b)), np.int16)
-                for k in range(VALUES):
-                    agree += sa[:, k, None] == sb[None, :, k]
-                ok = (agree >= least) & (ca[:, None] != cb[None, :]) & (100 * np.minimum.outer(na, nb) >= percent * np.maximum.outer(na, nb))
-                if batch.column("own")[i].as_py():
-                    ok &= np.triu(np.ones_like(ok), 1)
-                x, y = np.nonzero(ok)
-                flip = a[x] > b[y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(flip, b[y], a[x])), pa.array(np.where(flip, a[x], b[y])), pa.array(np.minimum(ca[x], cb[y])), pa.array(np.maximum(ca[x], cb[y])), pa.array(agree[x, y].astype(np.int32))], ["a", "b", "ca", "cb", "agree"])
+                agree, earlier = np.zeros((len(a), len(b)), np.int16), np.zeros((len(a), len(b)), bool)
+                for t in range(TREES):
+                    whole = np.ones_like(earlier)
+                    for k in range(t * DEPTH, (t + 1) * DEPTH):
+                        same = sa[:, k, None] == sb[None, :, k]
+                        agree += same
+                        whole &= same
+                    if t < tree:
+                        earlier |= whole
+                ok = (agree >= least) & ~earlier & (ca[:, None] != cb[None, :]) & (100 * np.minimum.outer(na, nb) >= percent * np.maximum.outer(na, nb))
+                nodes = np.union1d(a[ok.any(1)], b[ok.any(0)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), key)), pa.array(np.full(len(nodes), tree, np.int32)), pa.array(nodes)], ["key", "tree", "node"])
+
+    return met.mapInArrow(run, "key bigint, tree int, node bigint").distinct()
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """node, shingles (sorted hashes) of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=4_000_000):
+            value, offsets = shingles(batch.column("text"), width)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value.view(np.int64)))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def overlaps(left: np.ndarray, lo: np.ndarray, right: np.ndarray, ro: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, by matrix products."""
+    shared, place = np.unique(np.intersect1d(left, right)), None
+    out = np.zeros((len(lo) - 1, len(ro) - 1), np.float32)
+    for a in range(0, len(shared), 2_048):
+        part = shared[a : a + 2_048]
+        ends = []
+        for value, offsets in ((left, lo), (right, ro)):
+            place = np.minimum(np.searchsorted(part, value), len(part) - 1)
+            hit = np.flatnonzero(part[place] == value)
+            m = np.zeros((len(offsets) - 1, len(part)), np.float32)
+            m[owners(offsets)[hit], place[hit]] = 1
+            ends.append(m)
+        out += ends[0] @ ends[1].T
+    return out.astype(np.int64)
+
+
+def _across(near: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b: component ids) between components with members of one region that overlap enough.
+
+    Every pair of members of different components is decided exactly; of the links between the
+    components of two blocks, a spanning forest comes out.
+    """
+    rows = near.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets, "node")
+    met = _met(rows, SET_BLOCK, "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fields(column, i):
+            x = column[i].values
+            lists = x.field("shingles")
+            return x.field("component").to_numpy(), lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.array([len(v) for v in lists]))]).astype(np.int64)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ca, left, lo = fields(batch.column("m1"), i)
+                cb, right, ro = fields(batch.column("m2"), i)
+                same = overlaps(left, lo, right, ro)
+                union = np.add.outer(np.diff(lo), np.diff(ro)) - same
+                x, y = np.nonzero((100 * same >= percent * union) & (ca[:, None] != cb[None, :]))
+                root: dict[int, int] = {}
+
+                def top(c, root=root):
+                    while root.get(c, c) != c:
+                        c = root[c]
+                    return c
+
+                links = []
+                for p, q in np.unique(np.column_stack([ca[x], cb[y]]), axis=0).tolist():
+                    p, q = sorted((top(p), top(q)))
+                    if p != q:
+                        root[q] = p
+                        links.append((p, q))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in links], pa.int64()), pa.array([q for _, q in links], pa.int64())], ["a", "b"])
 
-    return met.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, agree int").distinct()
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _merge(component: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -221,20 +301,11 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
 
     links = scratch.save(confirmed(_neighbours(members, sigs), texts, width, percent), "links-1")
     component = scratch.save(connected_components(links, scratch, "first"), "components-1")
-    pairs = scratch.save(_across(members, sigs, component, percent), "across-1")
-    best = Window.partitionBy("ca", "cb").orderBy(F.desc("agree"), "a", "b")
-    first = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST_PAIRS)
-    ends = pairs.select("a", "b", "ca", "cb")
-    links = scratch.save(confirmed(first, texts, width, percent).join(ends, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links-2")
+    near = scratch.save(_near(members, sigs, component, percent), "near")
+    sets = scratch.save(_sets(texts.join(near.select("node").distinct(), "node", "left_semi"), width), "sets")
+    links = scratch.save(_across(near, component, sets, percent), "links-2")
     component = _merge(component, links, scratch, "second")
-    # what is left: all candidates whose components are still apart
-    now = component.select(F.col("node"), F.col("component"))
-    left = pairs.join(now.select(F.col("node").alias("a"), F.col("component").alias("xa")), "a", "left").join(now.select(F.col("node").alias("b"), F.col("component").alias("xb")), "b", "left")
-    left = left.select("a", "b", F.coalesce("xa", "a").alias("ca"), F.coalesce("xb", "b").alias("cb")).where("ca <> cb").join(first.select("a", "b"), ["a", "b"], "left_anti")
-    left = scratch.save(left, "across-2")
-    links = scratch.save(confirmed(left, texts, width, percent).join(left, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links-3")
-    component = _merge(component, links, scratch, "third")
-    scratch.drop("texts", "members", "signatures", "across-1", "across-2")
+    scratch.drop("texts", "members", "signatures", "near", "sets")
 
     named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
