@@ -28,20 +28,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.arrowtext import Words, chunks, encode_words, owners
+from webloom.llm.arrowtext import Words, chunks, encode_words, owners, split_words
 
 STEP = 16
-RANK = 192
+RANK = 128
 COSINE = 0.35
 #: Words in more than this share of all blocks (and in COMMON_BLOCKS) weigh nothing, unless an item needs them.
 COMMON_SHARE = 0.003
 COMMON_BLOCKS = 10
 LEAST_WORDS = 4
+#: Least share of an item's weight (words that weigh something) in a candidate's region.
+OVERLAP = 0.3
 COVER = 0.6
 PARAPHRASE = 0.45
 #: Items handled at once; a sheet's words, vectors and basis are a few tens of MB.
 ITEMS = 1_000
-ROWS = 30_000
+#: Rows handled at once, so that their vectors stay in the cache.
+ROWS = 4_096
 _ANSWER = re.compile(r"(?i)\banswer\s*:\s*(.+)$", re.DOTALL)
 
 
@@ -51,12 +54,17 @@ class Sheet:
     words: list[list[str]]
     answers: list[list[str]]
     vocab: pa.Array
-    idf: np.ndarray | None = None
+    idf: np.ndarray | None = None  # one more entry, 0, for words outside vocab
     basis: np.ndarray | None = None
 
 
-def clean(texts: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pN\pM]+", " ")
+def clean(words: pa.Array) -> pa.Array:
+    """Words in lower case, without marks at their ends; what has no letter or digit becomes empty."""
+    return pc.replace_substring_regex(pc.utf8_lower(words), r"^[^\pL\pN\pM]+|[^\pL\pN\pM]+$", "")
+
+
+def words_of(text: str | None) -> list[str]:
+    return [w for w in clean(split_words(pa.array([text], pa.string()))[0]).to_pylist() if w]
 
 
 def sheets(benchmark: DataFrame, key: str, text: str, answer: str | None) -> Iterator[Sheet]:
@@ -65,8 +73,7 @@ def sheets(benchmark: DataFrame, key: str, text: str, answer: str | None) -> Ite
     number = -(-rows.count() // ITEMS)
     for i in range(number):
         got = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(number)) == i).distinct().orderBy("id", "text").collect()
-        split = lambda s: clean(pa.array([s]))[0].as_py().split()
-        items = [(r["id"], split(r["text"]), split(r["answer"] if r["answer"] else (m.group(1) if (m := _ANSWER.search(r["text"])) else ""))) for r in got]
+        items = [(r["id"], words_of(r["text"]), words_of(r["answer"] if r["answer"] else (m.group(1) if (m := _ANSWER.search(r["text"])) else ""))) for r in got]
         items = [x for x in items if x[1]]
         if items:
             yield Sheet([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], pa.array(sorted({w for x in items for w in x[1]}), pa.string()))
@@ -74,7 +81,8 @@ def sheets(benchmark: DataFrame, key: str, text: str, answer: str | None) -> Ite
 
 def _codes(batch: pa.RecordBatch, vocab: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """Words, their place in ``vocab`` (-1: none), the block of each word and the first block of each text."""
-    words = encode_words(clean(batch.column("text")))
+    words = encode_words(batch.column("text"))
+    words.vocab = clean(words.vocab)
     at = pc.fill_null(pc.index_in(words.vocab, value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)[words.codes]
     n_blocks = -(-words.counts // STEP)
     first = np.concatenate([[0], np.cumsum(n_blocks)])
@@ -105,7 +113,7 @@ def frequencies(docs: DataFrame, sheet: Sheet) -> None:
         own = np.array(sorted({place[w] for w in words}))
         if (~stop[own]).sum() < LEAST_WORDS:
             needed[own] = True
-    sheet.idf = np.where(stop & ~needed, 0, np.log((1 + n[0]) / (1 + n[1:])) + 1).astype(np.float32)
+    sheet.idf = np.append(np.where(stop & ~needed, 0, np.log((1 + n[0]) / (1 + n[1:])) + 1), 0).astype(np.float32)
 
 
 def _add(z: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -131,18 +139,19 @@ def sketch(docs: DataFrame, sheet: Sheet, seed: int = 9) -> None:
     """Set basis: orthonormal columns that span A'(A G) for a random matrix G."""
     vocab, idf = sheet.vocab, sheet.idf
     rank = min(RANK, len(vocab))
-    random = np.random.default_rng(seed).standard_normal((len(vocab), rank)).astype(np.float32) * idf[:, None]
+    random = np.random.default_rng(seed).standard_normal((len(vocab), rank)).astype(np.float32) * idf[:-1, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = np.zeros((len(vocab), rank), np.float32)
         for batch in chunks(batches, limit=4_000_000):
             _, at, block, first = _codes(batch, vocab)
+            at = np.where(idf[at] > 0, at, -1)  # -1 stays -1
             projected = _block_sums(at, block, int(first[-1]), random)
             hit = np.flatnonzero(at >= 0)
             for a in range(0, len(hit), ROWS):
                 part = hit[a : a + ROWS]
                 _add(z, at[part], projected[block[part]])
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([(z * idf[:, None]).tobytes()], pa.binary())], ["part", "z"])
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([(z * idf[:-1, None]).tobytes()], pa.binary())], ["part", "z"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(len(vocab) * rank)
@@ -190,16 +199,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             s = shared.value
             place = {w: i for i, w in enumerate(s.vocab.to_pylist())}
-            weights = s.basis * s.idf[:, None]
+            weights = s.basis * s.idf[:-1, None]
             items = np.array([sum(weights[place[w]] for w in words) for words in s.words])
             items /= np.maximum(1e-9, np.linalg.norm(items, axis=1, keepdims=True))
             spans = np.array([-(-len(w) // STEP) + 1 for w in s.words])
             for batch in chunks(batches, limit=4_000_000):
                 words, at, block, first = _codes(batch, s.vocab)
                 blocks = int(first[-1])
-                latent = _block_sums(at, block, blocks, weights)
+                live = np.where(s.idf[at] > 0, at, -1)
+                latent = _block_sums(live, block, blocks, weights)
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
-                found: dict = {}
+                found = []
                 for m in np.unique(spans):
                     mine = np.flatnonzero(spans == m)
                     for a in range(0, blocks, ROWS):
@@ -207,12 +217,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                         passage = latent[a:b].copy()
                         for j in range(1, m):
                             last = min(blocks, b + j)
-                            ok = doc[a + j : last] == doc[a : last - j]
-                            passage[: last - a - j][ok] += latent[a + j : last][ok]
-                        cos = (passage @ items[mine].T) / np.maximum(1e-9, np.linalg.norm(passage, axis=1))[:, None]
-                        for p, i in zip(*np.nonzero(cos >= COSINE)):
-                            found.setdefault((int(doc[a + p]), int(mine[i])), []).append((a + int(p), float(cos[p, i])))
-                rows = _confirm(s, words, at, first, found, place)
+                            ok = np.flatnonzero(doc[a + j : last] == doc[a : last - j])
+                            passage[ok] += latent[a + j + ok]
+                        norm = np.sqrt(np.einsum("ij,ij->i", passage, passage))
+                        some = np.flatnonzero(norm > 0)
+                        cos = (passage[some] @ items[mine].T) / norm[some, None]
+                        p, i = np.nonzero(cos >= COSINE)
+                        found.append(_plausible(s, words, at, doc, first, a + some[p], mine[i], cos[p, i], place))
+                rows = _confirm(s, words, at, found, place)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), batch.column("t").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([s.ids[r[1]] for r in rows], _arrow(kinds["i"])), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64())], ["doc_id", "t", "item_id", "cosine", "cover"])
 
         part = picked.mapInArrow(run, schema)
@@ -224,30 +236,38 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
 
 
-def _confirm(s: Sheet, words: Words, at: np.ndarray, first: np.ndarray, found: dict, place: dict) -> list[tuple[int, int, float, float]]:
+def _plausible(s: Sheet, words: Words, at: np.ndarray, doc: np.ndarray, first: np.ndarray, block: np.ndarray, item: np.ndarray, cosine: np.ndarray, place: dict) -> list[tuple[int, int, int, int, float]]:
+    """row, item, region and cosine of the candidates that hold enough of the item's weight in any order."""
+    out = []
+    for i in np.unique(item):
+        mine = np.flatnonzero(item == i)
+        d = doc[block[mine]]
+        start = words.offsets[d] + (block[mine] - first[d]) * STEP
+        width = (-(-len(s.words[i]) // STEP) + 2) * STEP
+        lo = np.maximum(words.offsets[d], start - STEP)
+        hi = np.minimum(words.offsets[d + 1], start + width - STEP)
+        own = np.unique([place[w] for w in s.words[i]])
+        wanted = np.zeros(len(s.vocab) + 1, np.float32)
+        wanted[own] = s.idf[own]
+        for a in range(0, len(mine), 4_096):
+            part = slice(a, a + 4_096)
+            idx = lo[part, None] + np.arange(width)
+            inside = wanted[at[np.minimum(idx, len(at) - 1)]] * (idx < hi[part, None])
+            for k in np.flatnonzero(inside.sum(1) >= OVERLAP * s.idf[own].sum()) + a:
+                out.append((int(d[k]), int(i), int(lo[k]), int(hi[k]), float(cosine[mine[k]])))
+    return out
+
+
+def _confirm(s: Sheet, words: Words, at: np.ndarray, found: list[list], place: dict) -> list[tuple[int, int, float, float]]:
     """Hits among candidates: row, item, best cosine, share of the item's words in common order."""
-    rows = []
-    for (d, i), places in found.items():
+    best: dict[tuple[int, int], tuple[float, float]] = {}
+    for d, i, lo, hi, cosine in (c for part in found for c in part):
         item = s.words[i]
-        codes = [place[w] for w in item]
-        best, cosine = 0.0, 0.0
-        seen_to = -1
-        wanted = np.zeros(len(s.vocab) + 1, bool)
-        wanted[codes] = True
-        span = (-(-len(item) // STEP) + 1) * STEP
-        for p, cos in sorted(places):
-            cosine = max(cosine, cos)
-            a = words.offsets[d] + (p - first[d]) * STEP
-            lo, hi = max(words.offsets[d], a - STEP), min(words.offsets[d + 1], a + span)
-            region = at[lo:hi]
-            if hi <= seen_to and best >= COVER or wanted[region].sum() < PARAPHRASE * len(item):
-                continue
-            cover = common(codes, region.tolist()) / len(item)
-            if cover >= COVER or cover >= PARAPHRASE and s.answers[i] and _inside(s.answers[i], [words.vocab[int(c)].as_py() for c in words.codes[lo:hi]]):
-                best, seen_to = max(best, cover), hi
-        if best:
-            rows.append((d, i, cosine, best))
-    return rows
+        cover = common([place[w] for w in item], at[lo:hi].tolist()) / len(item)
+        if cover >= COVER or cover >= PARAPHRASE and s.answers[i] and _inside(s.answers[i], words.vocab.take(pa.array(words.codes[lo:hi])).to_pylist()):
+            was = best.get((d, i), (0.0, 0.0))
+            best[(d, i)] = (max(was[0], cosine), max(was[1], cover))
+    return [(d, i, c, v) for (d, i), (c, v) in sorted(best.items())]
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", answer: str | None = None) -> DataFrame:
