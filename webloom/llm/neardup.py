@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.arrowtext import chunks, encode_words, mix64, owners, segment_sums
+from webloom.llm.arrowtext import chunks, encode_words, mix64, owners
 from webloom.llm.graph import connected_components
 from webloom.session import Scratch
 
@@ -218,7 +218,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
 
 def overlaps(left: np.ndarray, lo: np.ndarray, right: np.ndarray, ro: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of all sets on the left with all on the right, by matrix products."""
-    shared, place = np.unique(np.intersect1d(left, right)), None
+    shared = np.intersect1d(left, right)
     out = np.zeros((len(lo) - 1, len(ro) - 1), np.float32)
     for a in range(0, len(shared), 2_048):
         part = shared[a : a + 2_048]
