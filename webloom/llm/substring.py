@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -85,31 +86,74 @@ def repeated_anchors(docs: DataFrame, text: str = "text", window: int = WINDOW)
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
 
 
-def candidate_windows(docs: DataFrame, anchors: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, t (hash of the text), start, h1, h2 of the windows whose anchor is in ``anchors``."""
-    number = anchors.count()
-    near = number <= BROADCAST_ANCHORS
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(anchors.toPandas()["anchor"].to_numpy(np.int64)) if near else None)
+@dataclass
+class Anchors:
+    """The repeated anchors: in the workers' hands while they are few, a table otherwise."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
-        for batch in chunks(batches, limit=6_000_000):
-            row, start, one, two, anchor, _ = _windows(batch.column("text"), window)
-            if near:
+    table: DataFrame
+    few: object | None  # broadcast of the sorted upper halves; a wrong match only adds a candidate
+
+
+def share_anchors(anchors: DataFrame) -> Anchors:
+    if anchors.count() > BROADCAST_ANCHORS:
+        return Anchors(anchors, None)
+    upper = anchors.select(F.shiftright("anchor", 32).cast("int").alias("a")).distinct().toArrow().column("a")
+    return Anchors(anchors, anchors.sparkSession.sparkContext.broadcast(np.sort(upper.to_numpy().astype(np.int32))))
+
+
+def _rows(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+    of = pa.array(row)
+    for a in range(0, len(row), 200_000):
+        part = slice(a, a + 200_000)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of[part]), batch.column("t").take(of[part]), pa.array(start[part].astype(np.int32)), pa.array(one[part]), pa.array(two[part])], ["doc_id", "t", "start", "h1", "h2"])
+
+
+def candidate_windows(docs: DataFrame, anchors: Anchors, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, t (hash of the text), start, h1, h2 of the windows whose anchor is repeated."""
+    picked = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    kind = dict(picked.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, t bigint, start int, h1 bigint, h2 bigint"
+    if anchors.few is not None:
+        known = anchors.few
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = known.value
+            for batch in chunks(batches, limit=6_000_000):
                 if not len(table):
                     continue
-                hit = np.flatnonzero(table[np.minimum(np.searchsorted(table, anchor), len(table) - 1)] == anchor)
-                row, start, one, two, anchor = row[hit], start[hit], one[hit], two[hit], anchor[hit]
-            of = pa.array(row)
-            for a in range(0, len(row), 200_000):
-                part = slice(a, a + 200_000)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of[part]), batch.column("t").take(of[part]), pa.array(start[part].astype(np.int32)), pa.array(one[part]), pa.array(two[part]), pa.array(anchor[part])], ["doc_id", "t", "start", "h1", "h2", "anchor"])
+                row, start, one, two, anchor, _ = _windows(batch.column("text"), window)
+                upper = (anchor >> 32).astype(np.int32)
+                hit = np.flatnonzero(table[np.minimum(np.searchsorted(table, upper), len(table) - 1)] == upper)
+                yield from _rows(batch, row[hit], start[hit], one[hit], two[hit])
 
-    picked = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    out = picked.mapInArrow(run, f"doc_id {dict(picked.dtypes)['doc_id']}, t bigint, start int, h1 bigint, h2 bigint, anchor bigint")
-    if not near:
-        out = out.join(anchors, "anchor", "left_semi")
-    return out.drop("anchor")
+        return picked.mapInArrow(run, schema)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=6_000_000):
+            row, start, _, _, anchor, place = _windows(batch.column("text"), window)
+            _, once = np.unique(place, return_index=True)
+            of = pa.array(row[once])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of), batch.column("t").take(of), pa.array((place[once] - _text_starts(batch)[row[once]]).astype(np.int32)), pa.array(anchor[once])], ["doc_id", "t", "place", "anchor"])
+
+    found = picked.mapInArrow(places, f"doc_id {kind}, t bigint, place int, anchor bigint").join(anchors.table, "anchor", "left_semi")
+    found = found.groupBy("doc_id", "t").agg(F.collect_set("place").alias("places")).withColumnsRenamed({"doc_id": "__id", "t": "__t"})
+    met = picked.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("t") == F.col("__t"))).select("doc_id", "t", "text", "places")
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=6_000_000):
+            row, start, one, two, _, place = _windows(batch.column("text"), window)
+            lists = batch.column("places")
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            wanted = lists.flatten().to_numpy() + np.repeat(_text_starts(batch), size)
+            hit = np.flatnonzero(np.isin(place, wanted))
+            yield from _rows(batch, row[hit], start[hit], one[hit], two[hit])
+
+    return met.mapInArrow(expand, schema)
+
+
+def _text_starts(batch: pa.RecordBatch) -> np.ndarray:
+    """The index of each text's first word among the words of the block."""
+    return split_words(batch.column("text"))[1][:-1]
 
 
 class FingerprintIndex:
@@ -180,7 +224,7 @@ def id_ranges(docs: DataFrame, key: str, batches: int) -> list:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) and kept_sha256 of every row."""
     scratch = Scratch(docs.sparkSession, "substring")
-    anchors = scratch.save(repeated_anchors(docs, text, window), "anchors")
+    anchors = share_anchors(scratch.save(repeated_anchors(docs, text, window), "anchors"))
     index, covered = FingerprintIndex(scratch), None
     for i, rows in enumerate(id_ranges(docs, key, batches)):
         found = index.ingest(candidate_windows(docs.where(rows), anchors, key, text, window), f"batch-{i}")
