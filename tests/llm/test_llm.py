@@ -306,6 +306,12 @@ def test_near_duplicates(spark, docs, none):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 4, 5, 6, 7, 9, 12]
 
 
+def test_deduplicate_keeps_unrelated_texts_of_one_id(spark):
+    rows = [(None, "red green blue"), (None, "one two three four"), (None, "red green blue"), (7, "salt and pepper"), (7, "north south east"), (8, "salt and pepper"), (None, ""), (None, ""), (7, None)]
+    kept = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [*rows[:2], *rows[3:5], *rows[6:]]))
+
+
 def test_components(spark, monkeypatch):
     from webloom.llm import graph
 

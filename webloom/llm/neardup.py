@@ -282,7 +282,11 @@ def _merge(component: DataFrame, links: DataFrame, scratch: Scratch, name: str)
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, t1, t2, n_shingles, component_id and rid (a number of the row) of every row."""
+    """doc_id, t1, t2, n_shingles, component_id, rid (a number of the row) and component of every row.
+
+    ``component`` tells groups apart (the ``rid`` of one of their rows); ``component_id`` is only
+    their smallest id: null where no member has one, and shared by groups with the same id.
+    """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
     rows = scratch.save(scan(docs, width, key, text).withColumn("rid", F.monotonically_increasing_id()), "rows")
     nodes = scratch.save(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "nodes")
@@ -309,22 +313,22 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
 
     named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select("n", "d1", "d2", "component_id")
+    named = named.join(ids, "component").select("n", "d1", "d2", "component", "component_id")
     out = rows.select("rid", "doc_id", "t1", "t2", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
-    return out.select("rid", F.col("doc_id"), "t1", "t2", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("rid", F.col("doc_id"), "t1", "t2", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "rid").alias("component"))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group (the smallest id); empty texts all stay."""
     scratch = Scratch(docs.sparkSession, "dedup")
     found = scratch.save(components(docs, width, percent, key, text), "components")
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("c"), F.min("component_id").alias("component_id"), F.max("n_shingles").alias("n"))
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("component"), F.max("n_shingles").alias("n"))
     # rows of one id with different texts in one group: the first text stays
-    one = Window.partitionBy("component_id").orderBy("t1", "t2")
-    stay = stay.withColumn("r", F.when(F.col("n") > 0, F.row_number().over(one)).otherwise(1)).where("r = 1")
+    one = Window.partitionBy("component").orderBy("t1", "t2")
+    stay = stay.withColumn("r", F.row_number().over(one)).where("r = 1")
     h1, h2 = text_hashes(F.col(text))
     marked = docs.withColumns({"__t1": h1, "__t2": h2})
-    marks = stay.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__s1"), F.col("t2").alias("__s2"), (F.col("c") > 1).alias("__more"))
+    marks = stay.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__s1"), F.col("t2").alias("__s2"), ((F.col("c") > 1) & (F.col("n") > 0)).alias("__more"))
     kept = marked.join(marks, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__t1") == F.col("__s1")) & (F.col("__t2") == F.col("__s2")))
     single = kept.where(~F.col("__more"))
     again = kept.where("__more").dropDuplicates(["__t1", "__t2", key])
