@@ -210,6 +210,27 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.common(list("abcde"), list("xaxcxex")) == 3
 
 
+def test_decontamination_finds_items_without_their_rarest_words(spark):
+    rng = np.random.default_rng(6)
+    stop = [f"s{i}" for i in range(100)]
+    rows, items = [], []
+    for i in range(8):  # 15 stop words, 3 words of about nine blocks and 8 rare words, which the document has otherwise
+        w = list(rng.choice(stop, 15)) + [f"mid{i}x{j}" for j in range(3)] + [f"rare{i}x{j}" for j in range(8)]
+        order = rng.permutation(26)
+        items.append((i, " ".join(w[j] for j in order)))
+        near = " ".join(w[j] if j < 18 else f"o{j}" for j in order)
+        rows.append((100 + i, " ".join([*rng.choice(stop, 60), near, *rng.choice(stop, 60)]), "en", "a"))
+    for i in range(40):
+        w = rng.choice(stop, 160)
+        w[rng.choice(160, 5, replace=False)] = [f"mid{(5 * i + j) % 24 // 3}x{(5 * i + j) % 3}" for j in range(5)]
+        rows.append((i, " ".join(w), "en", "a"))
+    got = decontaminate.hits(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(100 + i, i) for i in range(8)]
+    for size in (5, 63, 64, 90):
+        item, seen = rng.integers(1, 6, size), rng.integers(0, 6, (7, 80))
+        assert decontaminate._lengths(item, seen).tolist() == [decontaminate.common(item.tolist(), r.tolist()) for r in seen]
+
+
 def test_sharding(spark, docs, none):
     out = sharding.assign(docs, 5).collect()
     assert sorted(r["size"] for r in out) == sorted(len((t[1] or "").encode()) + 16 for t in TEXTS)

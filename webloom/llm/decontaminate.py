@@ -37,8 +37,6 @@ COSINE = 0.35
 COMMON_SHARE = 0.003
 COMMON_BLOCKS = 10
 LEAST_WORDS = 4
-#: Least share of an item's weight (words that weigh something) in a candidate's region.
-OVERLAP = 0.3
 COVER = 0.6
 PARAPHRASE = 0.45
 #: Items handled at once; a sheet's words, vectors and basis are a few tens of MB.
@@ -223,8 +221,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                         some = np.flatnonzero(norm > 0)
                         cos = (passage[some] @ items[mine].T) / norm[some, None]
                         p, i = np.nonzero(cos >= COSINE)
-                        found.append(_plausible(s, words, at, doc, first, a + some[p], mine[i], cos[p, i], place))
-                rows = _confirm(s, words, at, found, place)
+                        found += _confirm(s, words, at, doc, first, a + some[p], mine[i], cos[p, i], place)
+                rows = _best(found)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), batch.column("t").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([s.ids[r[1]] for r in rows], _arrow(kinds["i"])), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64())], ["doc_id", "t", "item_id", "cosine", "cover"])
 
         part = picked.mapInArrow(run, schema)
@@ -236,8 +234,32 @@ def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
 
 
-def _plausible(s: Sheet, words: Words, at: np.ndarray, doc: np.ndarray, first: np.ndarray, block: np.ndarray, item: np.ndarray, cosine: np.ndarray, place: dict) -> list[tuple[int, int, int, int, float]]:
-    """row, item, region and cosine of the candidates that hold enough of the item's weight in any order."""
+def _least(s: Sheet, i: int) -> float:
+    """The smallest share of item ``i`` in common order that can be a hit."""
+    return PARAPHRASE if s.answers[i] else COVER
+
+
+def _lengths(item: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """``common`` of the item (numbers from 1) with every row of ``seen`` (0: a word of no item)."""
+    if len(item) > 63:
+        return np.array([common(item.tolist(), row.tolist()) for row in seen], np.int64)
+    where = np.zeros(item.max() + 1, np.uint64)
+    for i, w in enumerate(item.tolist()):
+        where[w] |= np.uint64(1 << i)
+    full = np.uint64((1 << len(item)) - 1)
+    row = np.full(len(seen), full)
+    for column in where[seen].T:
+        m = row & column
+        row = ((row + m) | (row - m)) & full
+    return len(item) - np.bitwise_count(row).astype(np.int64)
+
+
+def _confirm(s: Sheet, words: Words, at: np.ndarray, doc: np.ndarray, first: np.ndarray, block: np.ndarray, item: np.ndarray, cosine: np.ndarray, place: dict) -> list[tuple[int, int, float, float]]:
+    """Hits among candidates: row, item, cosine, share of the item's words in common order.
+
+    Only regions that hold enough of the item's words in any order (each as often as the item
+    has it) are aligned; no other region can be a hit.
+    """
     out = []
     for i in np.unique(item):
         mine = np.flatnonzero(item == i)
@@ -246,27 +268,28 @@ def _plausible(s: Sheet, words: Words, at: np.ndarray, doc: np.ndarray, first: n
         width = (-(-len(s.words[i]) // STEP) + 2) * STEP
         lo = np.maximum(words.offsets[d], start - STEP)
         hi = np.minimum(words.offsets[d + 1], start + width - STEP)
-        own = np.unique([place[w] for w in s.words[i]])
-        wanted = np.zeros(len(s.vocab) + 1, np.float32)
-        wanted[own] = s.idf[own]
+        own, spelt, times = np.unique([place[w] for w in s.words[i]], return_inverse=True, return_counts=True)
+        number = np.zeros(len(s.vocab) + 1, np.int64)
+        number[own] = np.arange(1, len(own) + 1)
+        size, least = len(spelt), _least(s, i)
         for a in range(0, len(mine), 4_096):
             part = slice(a, a + 4_096)
             idx = lo[part, None] + np.arange(width)
-            inside = wanted[at[np.minimum(idx, len(at) - 1)]] * (idx < hi[part, None])
-            for k in np.flatnonzero(inside.sum(1) >= OVERLAP * s.idf[own].sum()) + a:
-                out.append((int(d[k]), int(i), int(lo[k]), int(hi[k]), float(cosine[mine[k]])))
+            seen = number[at[np.minimum(idx, len(at) - 1)]] * (idx < hi[part, None])
+            held = np.bincount((seen + np.arange(len(seen))[:, None] * (len(own) + 1)).ravel(), minlength=len(seen) * (len(own) + 1)).reshape(len(seen), -1)
+            enough = np.flatnonzero(np.minimum(held[:, 1:], times).sum(1) / size >= least)
+            for k, cover in zip((enough + a).tolist(), (_lengths(spelt + 1, seen[enough]) / size).tolist()):
+                if cover >= COVER or cover >= least and _inside(s.answers[i], words.vocab.take(pa.array(words.codes[lo[k] : hi[k]])).to_pylist()):
+                    out.append((int(d[k]), int(i), float(cosine[mine[k]]), cover))
     return out
 
 
-def _confirm(s: Sheet, words: Words, at: np.ndarray, found: list[list], place: dict) -> list[tuple[int, int, float, float]]:
-    """Hits among candidates: row, item, best cosine, share of the item's words in common order."""
+def _best(found: list[tuple[int, int, float, float]]) -> list[tuple[int, int, float, float]]:
+    """One row for each document and item: the largest cosine and the largest share of its regions."""
     best: dict[tuple[int, int], tuple[float, float]] = {}
-    for d, i, lo, hi, cosine in (c for part in found for c in part):
-        item = s.words[i]
-        cover = common([place[w] for w in item], at[lo:hi].tolist()) / len(item)
-        if cover >= COVER or cover >= PARAPHRASE and s.answers[i] and _inside(s.answers[i], words.vocab.take(pa.array(words.codes[lo:hi])).to_pylist()):
-            was = best.get((d, i), (0.0, 0.0))
-            best[(d, i)] = (max(was[0], cosine), max(was[1], cover))
+    for d, i, cosine, cover in found:
+        was = best.get((d, i), (-1.0, 0.0))
+        best[(d, i)] = (max(was[0], cosine), max(was[1], cover))
     return [(d, i, c, v) for (d, i), (c, v) in sorted(best.items())]
 
 
