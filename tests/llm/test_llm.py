@@ -210,6 +210,23 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.common(list("abcde"), list("xaxcxex")) == 3
 
 
+def test_decontamination_finds_items_that_fail_the_cosine(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "COSINE", 2.0)
+    rng = np.random.default_rng(8)
+    usual = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(usual, n)), f"yes {i}") for i, n in enumerate([3, 15, 17, 40, 59, 80])]
+    rows = [(i, " ".join(rng.choice(usual, 300)), "en", "a") for i in range(20)]
+    for i, text, answer in items:  # whole; then the first half and the answer
+        w = text.split()
+        rows.append((100 + i, " ".join([*rng.choice(usual, 37 + i), text, *rng.choice(usual, 20)]), "en", "a"))
+        rows.append((200 + i, " ".join([*w[: len(w) // 2], "and", answer, *rng.choice(usual, 20)]), "en", "a"))
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    got = decontaminate.hits(spark.createDataFrame(rows, SCHEMA), bench, answer="answer").collect()
+    halves = [(200 + i, i) for i in range(6) if len(items[i][1].split()) // 2 / len(items[i][1].split()) >= decontaminate.PARAPHRASE]
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(100 + i, i) for i in range(6)] + halves
+    assert all(r.cosine < 2 for r in got) and len(halves) == 5
+
+
 def test_decontamination_finds_items_without_their_rarest_words(spark):
     rng = np.random.default_rng(6)
     stop = [f"s{i}" for i in range(100)]

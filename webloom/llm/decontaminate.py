@@ -6,9 +6,12 @@ a benchmark item, at every block. Passages are TF-IDF vectors over the words of
 count all blocks of all documents, and words of very many blocks weigh nothing. A randomised SVD is computed by a distributed
 sketch: every partition multiplies its passages with a random matrix and back, the sums give
 an orthonormal basis of the dominant latent directions. Passages whose latent cosine to an
-item is ``COSINE`` or more are candidates, and are kept as hits if the longest common
-subsequence with the item covers ``COVER`` of its words, or ``PARAPHRASE`` of them when the
-item's answer stands in the passage. Items are taken in sheets of ``ITEMS`` at most, so what is
+item is ``COSINE`` or more are candidates, and so are, whatever their cosine, those that hold
+``HELD`` of the item's rarest words: of the L words of an item a hit has T in order, hence at
+least ``HELD`` of any L - T + ``HELD`` of them, so no hit is missed for its place in the basis.
+Candidates are kept as hits if the longest common subsequence with the item covers ``COVER``
+of its words, or ``PARAPHRASE`` of them when the item's answer stands in the passage. Texts are
+taken apart once; the steps read each word's place in the vocabulary from a written table. Items are taken in sheets of ``ITEMS`` at most, so what is
 broadcast is bounded and all items meet all documents.
 
 Cases: null or empty texts have no passage; items without a word find nothing; documents
@@ -28,19 +31,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.arrowtext import Words, chunks, encode_words, owners, split_words
+from webloom.llm.arrowtext import chunks, encode_words, owners, split_words
+from webloom.session import Scratch
 
 STEP = 16
-RANK = 128
+RANK = 192
 COSINE = 0.35
 #: Words in more than this share of all blocks (and in COMMON_BLOCKS) weigh nothing, unless an item needs them.
 COMMON_SHARE = 0.003
 COMMON_BLOCKS = 10
 LEAST_WORDS = 4
+#: Of the rarest words of an item, how many make a region a candidate without the cosine.
+HELD = 4
 COVER = 0.6
 PARAPHRASE = 0.45
 #: Items handled at once; a sheet's words, vectors and basis are a few tens of MB.
 ITEMS = 1_000
+#: Bytes of codes handled at once inside a Python worker.
+PIECE = 2_500_000
 #: Rows handled at once, so that their vectors stay in the cache.
 ROWS = 4_096
 _ANSWER = re.compile(r"(?i)\banswer\s*:\s*(.+)$", re.DOTALL)
@@ -51,9 +59,10 @@ class Sheet:
     ids: list
     words: list[list[str]]
     answers: list[list[str]]
-    vocab: pa.Array
+    vocab: pa.Array  # words of items and answers
     idf: np.ndarray | None = None  # one more entry, 0, for words outside vocab
     basis: np.ndarray | None = None
+    rare: list[tuple[np.ndarray, int]] | None = None  # per item its rarest words and how many of them a hit has
 
 
 def clean(words: pa.Array) -> pa.Array:
@@ -74,19 +83,30 @@ def sheets(benchmark: DataFrame, key: str, text: str, answer: str | None) -> Ite
         items = [(r["id"], words_of(r["text"]), words_of(r["answer"] if r["answer"] else (m.group(1) if (m := _ANSWER.search(r["text"])) else ""))) for r in got]
         items = [x for x in items if x[1]]
         if items:
-            yield Sheet([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], pa.array(sorted({w for x in items for w in x[1]}), pa.string()))
+            yield Sheet([x[0] for x in items], [x[1] for x in items], [x[2] for x in items], pa.array(sorted({w for x in items for w in (*x[1], *x[2])}), pa.string()))
 
 
-def _codes(batch: pa.RecordBatch, vocab: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their place in ``vocab`` (-1: none), the block of each word and the first block of each text."""
-    words = encode_words(batch.column("text"))
-    words.vocab = clean(words.vocab)
-    at = pc.fill_null(pc.index_in(words.vocab, value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)[words.codes]
-    n_blocks = -(-words.counts // STEP)
-    first = np.concatenate([[0], np.cumsum(n_blocks)])
-    doc = owners(words.offsets)
-    block = first[doc] + (np.arange(len(doc)) - words.offsets[doc]) // STEP
-    return words, at, block, first
+def places(docs: DataFrame, vocab: pa.Array, schema: str) -> DataFrame:
+    """doc_id, t and codes (4 bytes a word: its place in ``vocab``, -1: none) of every row of doc_id, t, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            words = encode_words(batch.column("text"))
+            at = pc.fill_null(pc.index_in(clean(words.vocab), value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int32)[words.codes]
+            codes = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((4 * words.offsets).astype(np.int32)), pa.py_buffer(at)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), codes], ["doc_id", "t", "codes"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _codes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the texts' words, their places, the block of each word and the first block of each text."""
+    column = batch.column("codes")
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 4)])
+    at = np.frombuffer(b"".join(column.to_pylist()), np.int32).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(-(-np.diff(offsets) // STEP))])
+    doc = owners(offsets)
+    return offsets, at, first[doc] + (np.arange(len(doc)) - offsets[doc]) // STEP, first
 
 
 def frequencies(docs: DataFrame, sheet: Sheet) -> None:
@@ -95,8 +115,8 @@ def frequencies(docs: DataFrame, sheet: Sheet) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, blocks = np.zeros(len(vocab), np.int64), 0
-        for batch in chunks(batches):
-            _, at, block, first = _codes(batch, vocab)
+        for batch in chunks(batches, "codes", PIECE):
+            _, at, block, first = _codes(batch)
             hit = at >= 0
             total += np.bincount(np.unique(block[hit] * len(vocab) + at[hit]) % len(vocab), minlength=len(vocab))
             blocks += int(first[-1])
@@ -111,7 +131,14 @@ def frequencies(docs: DataFrame, sheet: Sheet) -> None:
         own = np.array(sorted({place[w] for w in words}))
         if (~stop[own]).sum() < LEAST_WORDS:
             needed[own] = True
-    sheet.idf = np.append(np.where(stop & ~needed, 0, np.log((1 + n[0]) / (1 + n[1:])) + 1), 0).astype(np.float32)
+    asked = np.isin(np.arange(len(vocab)), [place[w] for words in sheet.words for w in words])
+    sheet.rare = []
+    for i, words in enumerate(sheet.words):
+        own = np.array([place[w] for w in words])
+        hit = next(t for t in range(1, len(own) + 1) if t / len(own) >= _least(sheet, i))
+        held = min(HELD, hit)
+        sheet.rare.append((own[np.argsort(n[1:][own], kind="stable")][: len(own) - hit + held], held))
+    sheet.idf = np.append(np.where(stop & ~needed | ~asked, 0, np.log((1 + n[0]) / (1 + n[1:])) + 1), 0).astype(np.float32)
 
 
 def _add(z: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
@@ -141,8 +168,8 @@ def sketch(docs: DataFrame, sheet: Sheet, seed: int = 9) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = np.zeros((len(vocab), rank), np.float32)
-        for batch in chunks(batches, limit=4_000_000):
-            _, at, block, first = _codes(batch, vocab)
+        for batch in chunks(batches, "codes", PIECE):
+            _, at, block, first = _codes(batch)
             at = np.where(idf[at] > 0, at, -1)  # -1 stays -1
             projected = _block_sums(at, block, int(first[-1]), random)
             hit = np.flatnonzero(at >= 0)
@@ -187,11 +214,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     kinds = dict(docs.select(F.col(key).alias("k")).dtypes) | dict(benchmark.select(F.col(item_key).alias("i")).dtypes)
     schema = f"doc_id {kinds['k']}, t bigint, item_id {kinds['i']}, cosine double, cover double"
     picked = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    only = picked.select("text")
-    out = None
-    for sheet in sheets(benchmark, item_key, item_text, answer):
-        frequencies(only, sheet)
-        sketch(only, sheet)
+    scratch, out = Scratch(spark, "decontaminate"), None
+    for number, sheet in enumerate(sheets(benchmark, item_key, item_text, answer)):
+        placed = scratch.save(places(picked, sheet.vocab, f"doc_id {kinds['k']}, t bigint, codes binary"), f"places-{number}")
+        frequencies(placed.select("codes"), sheet)
+        sketch(placed.select("codes"), sheet)
         shared = spark.sparkContext.broadcast(sheet)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -201,15 +228,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
             items = np.array([sum(weights[place[w]] for w in words) for words in s.words])
             items /= np.maximum(1e-9, np.linalg.norm(items, axis=1, keepdims=True))
             spans = np.array([-(-len(w) // STEP) + 1 for w in s.words])
-            for batch in chunks(batches, limit=4_000_000):
-                words, at, block, first = _codes(batch, s.vocab)
+            groups = [(m, np.flatnonzero(spans == m)) for m in np.unique(spans)]
+            lists = [_postings(s, mine) for _, mine in groups]
+            for batch in chunks(batches, "codes", PIECE):
+                offsets, at, block, first = _codes(batch)
                 blocks = int(first[-1])
                 live = np.where(s.idf[at] > 0, at, -1)
                 latent = _block_sums(live, block, blocks, weights)
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
                 found = []
-                for m in np.unique(spans):
-                    mine = np.flatnonzero(spans == m)
+                for (m, mine), posting in zip(groups, lists):
+                    least = np.array([s.rare[i][1] for i in mine])
                     for a in range(0, blocks, ROWS):
                         b = min(blocks, a + ROWS)
                         passage = latent[a:b].copy()
@@ -218,14 +247,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                             ok = np.flatnonzero(doc[a + j : last] == doc[a : last - j])
                             passage[ok] += latent[a + j + ok]
                         norm = np.sqrt(np.einsum("ij,ij->i", passage, passage))
-                        some = np.flatnonzero(norm > 0)
-                        cos = (passage[some] @ items[mine].T) / norm[some, None]
-                        p, i = np.nonzero(cos >= COSINE)
-                        found += _confirm(s, words, at, doc, first, a + some[p], mine[i], cos[p, i], place)
+                        cos = (passage @ items[mine].T) / np.maximum(1e-9, norm)[:, None]
+                        p, i = np.nonzero((cos >= COSINE) | (_held(at, block, doc, a, b, m, *posting) >= least))
+                        found += _confirm(s, offsets, at, doc, first, a + p, mine[i], cos[p, i], place)
                 rows = _best(found)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), batch.column("t").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([s.ids[r[1]] for r in rows], _arrow(kinds["i"])), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64())], ["doc_id", "t", "item_id", "cosine", "cover"])
 
-        part = picked.mapInArrow(run, schema)
+        part = scratch.save(placed.mapInArrow(run, schema), f"hits-{number}")
+        scratch.drop(f"places-{number}")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -254,7 +283,38 @@ def _lengths(item: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return len(item) - np.bitwise_count(row).astype(np.int64)
 
 
-def _confirm(s: Sheet, words: Words, at: np.ndarray, doc: np.ndarray, first: np.ndarray, block: np.ndarray, item: np.ndarray, cosine: np.ndarray, place: dict) -> list[tuple[int, int, float, float]]:
+def _postings(s: Sheet, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each word the items of ``mine`` (by their number there) that have it among their rarest words."""
+    word = np.concatenate([np.unique(s.rare[i][0]) for i in mine])
+    who = np.concatenate([np.full(len(np.unique(s.rare[i][0])), j) for j, i in enumerate(mine)])
+    order = np.argsort(word, kind="stable")
+    return np.searchsorted(word[order], np.arange(len(s.vocab) + 1)), who[order], len(mine)
+
+
+def _held(at: np.ndarray, block: np.ndarray, doc: np.ndarray, a: int, b: int, m: int, start: np.ndarray, who: np.ndarray, number: int) -> np.ndarray:
+    """Words of the regions at blocks ``a`` to ``b`` (a block before and ``m`` from there) among the rarest of each item."""
+    lo, hi = max(0, a - 1), min(len(doc), b + m - 1)
+    x, y = np.searchsorted(block, [lo, hi])
+    hit = x + np.flatnonzero(at[x:y] >= 0)
+    many = start[at[hit] + 1] - start[at[hit]]
+    hit, many = hit[many > 0], many[many > 0]
+    each = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    item = who[np.repeat(start[at[hit]], many) + each]
+    n = np.bincount(np.repeat(block[hit] - lo, many) * number + item, minlength=(hi - lo) * number).reshape(hi - lo, number).astype(np.int32)
+    out = n[a - lo : b - lo].copy()
+    if a > 0:
+        ok = np.flatnonzero(doc[a:b] == doc[a - 1 : b - 1])
+        out[ok] += n[ok]
+    else:
+        ok = 1 + np.flatnonzero(doc[1:b] == doc[: b - 1])
+        out[ok] += n[ok - 1]
+    for j in range(1, m):
+        ok = np.flatnonzero(doc[a + j : min(len(doc), b + j)] == doc[a : min(len(doc), b + j) - j])
+        out[ok] += n[a + j + ok - lo]
+    return out
+
+
+def _confirm(s: Sheet, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray, first: np.ndarray, block: np.ndarray, item: np.ndarray, cosine: np.ndarray, place: dict) -> list[tuple[int, int, float, float]]:
     """Hits among candidates: row, item, cosine, share of the item's words in common order.
 
     Only regions that hold enough of the item's words in any order (each as often as the item
@@ -264,10 +324,10 @@ def _confirm(s: Sheet, words: Words, at: np.ndarray, doc: np.ndarray, first: np.
     for i in np.unique(item):
         mine = np.flatnonzero(item == i)
         d = doc[block[mine]]
-        start = words.offsets[d] + (block[mine] - first[d]) * STEP
+        start = offsets[d] + (block[mine] - first[d]) * STEP
         width = (-(-len(s.words[i]) // STEP) + 2) * STEP
-        lo = np.maximum(words.offsets[d], start - STEP)
-        hi = np.minimum(words.offsets[d + 1], start + width - STEP)
+        lo = np.maximum(offsets[d], start - STEP)
+        hi = np.minimum(offsets[d + 1], start + width - STEP)
         own, spelt, times = np.unique([place[w] for w in s.words[i]], return_inverse=True, return_counts=True)
         number = np.zeros(len(s.vocab) + 1, np.int64)
         number[own] = np.arange(1, len(own) + 1)
@@ -279,7 +339,7 @@ def _confirm(s: Sheet, words: Words, at: np.ndarray, doc: np.ndarray, first: np.
             held = np.bincount((seen + np.arange(len(seen))[:, None] * (len(own) + 1)).ravel(), minlength=len(seen) * (len(own) + 1)).reshape(len(seen), -1)
             enough = np.flatnonzero(np.minimum(held[:, 1:], times).sum(1) / size >= least)
             for k, cover in zip((enough + a).tolist(), (_lengths(spelt + 1, seen[enough]) / size).tolist()):
-                if cover >= COVER or cover >= least and _inside(s.answers[i], words.vocab.take(pa.array(words.codes[lo[k] : hi[k]])).to_pylist()):
+                if cover >= COVER or cover >= least and _inside([place[w] for w in s.answers[i]], at[lo[k] : hi[k]].tolist()):
                     out.append((int(d[k]), int(i), float(cosine[mine[k]]), cover))
     return out
 
