@@ -285,6 +285,18 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_ann_probes_grow_with_the_lists():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((20_100, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = ann.fit(x[:8_000], len(x))
+    lists = ann.nearest(x, q.centroids)
+    sizes = np.bincount(lists, minlength=len(q.centroids))
+    probed = q.probed(x[:100], sizes)
+    near = np.argsort(-(x[:100] @ x.T), axis=1)[:, 1:21]
+    assert np.take_along_axis(probed, lists[near], 1).mean() >= 0.98
+
+
 def test_lm(spark, docs, none):
     scratch = Scratch(spark, "lm-test")
     counts = scratch.save(lm.count_tokens(docs), "counts")

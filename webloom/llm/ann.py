@@ -2,12 +2,14 @@
 
 Coarse centroids and codebooks are fitted in numpy on at most ``TRAIN_ROWS`` vectors; every
 vector is indexed. A query probes lists in the order of its inner product with their centroids
-until it has seen ``PROBES`` lists and ``LEAST_SEEN`` vectors; within a list it scores codes by
+until it has seen ``LEAST_SEEN`` vectors and as many lists as hold ``RECALL`` of the nearest
+neighbours within the training sample, ``PROBES`` at least (vectors without clusters: nearly all
+lists, so nothing is lost for the number of lists); within a list it scores codes by
 asymmetric distance tables; the best ``RERANK`` are scored exactly in double precision.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids: no further copy can be
 among the k nearest, since equal scores go to the smaller id. Lists are searched in blocks of
-``BLOCK`` vectors, so a crowded list is many pieces of work.
+about ``BLOCK`` vectors, small lists together, so a crowded list is many pieces of work.
 
 Cases: null vectors, zero vectors, vectors with null or non-finite components and vectors of
 another length than most take no part; rows with a null id take no part; repeated rows are one
@@ -32,10 +34,13 @@ LISTS_MOST = 1_024
 PER_LIST = 400
 PROBES = 24
 LEAST_SEEN = 2_000
+#: Share of the sample's nearest neighbours whose lists are probed, and the sample's queries and neighbours.
+RECALL = 0.995
+SAMPLE_QUERIES, SAMPLE_NEAREST = 500, 20
 SUBSPACES = 16
 CODES = 256
 RERANK = 300
-BLOCK = 4_096
+BLOCK = 8_192
 QUERY_BLOCK = 256
 
 
@@ -44,6 +49,15 @@ class Quantiser:
     centroids: np.ndarray  # lists x dim
     books: np.ndarray  # subspaces x codes x width (dim padded)
     dim: int
+    probes: int = PROBES
+
+    def probed(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """queries x lists: whether the query searches the list."""
+        order = np.argsort(-(x @ self.centroids.T), axis=1, kind="stable")
+        seen = np.cumsum(sizes[order], axis=1) - sizes[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, (np.arange(order.shape[1]) < self.probes) | (seen < LEAST_SEEN), 1)
+        return out & (sizes > 0)
 
     def pad(self, x: np.ndarray) -> np.ndarray:
         m, _, w = self.books.shape
@@ -82,7 +96,20 @@ def fit(sample: np.ndarray, total: int, seed: int = 3) -> Quantiser:
         book = kmeans(residual[:, j * width : (j + 1) * width], CODES, 8, rng)
         books[j, : len(book)] = book
         books[j, len(book) :] = book[0]
-    return Quantiser(centroids, books, dim)
+    return Quantiser(centroids, books, dim, probes_for(sample, centroids, rng))
+
+
+def probes_for(sample: np.ndarray, centroids: np.ndarray, rng: np.random.Generator) -> int:
+    """Lists that a query probes to meet RECALL of its nearest neighbours within the sample."""
+    if len(sample) < 2:
+        return PROBES
+    who = rng.choice(len(sample), min(SAMPLE_QUERIES, len(sample)), replace=False)
+    score = sample[who] @ sample.T
+    score[np.arange(len(who)), who] = -np.inf
+    near = np.argsort(-score, axis=1)[:, : min(SAMPLE_NEAREST, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(sample[who] @ centroids.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(place, nearest(sample, centroids)[near], 1), axis=None) + 1
+    return max(PROBES, int(needed[int(np.ceil(RECALL * len(needed))) - 1]))
 
 
 def encode(q: Quantiser, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,23 +158,25 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per list: at most LISTS_MOST
         sizes[r["list"]] = r["n"]
     piece = F.pmod(F.xxhash64("head"), F.lit(int(-(-sizes.max() // BLOCK)))).cast("int")
-    blocks = indexed.withColumn("piece", piece).groupBy("list", "piece").agg(F.collect_list(F.struct("head", "code")).alias("m"))
+    shards = ((np.cumsum(sizes) - sizes) // BLOCK).astype(np.int32)
+    shard = F.element_at(F.lit(shards.tolist()), F.col("list") + 1)
+    blocks = indexed.withColumns({"piece": piece, "shard": shard}).groupBy("shard", "piece").agg(F.collect_list(F.struct("head", "list", "code")).alias("m"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for batch in batches:
             x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float32)
-            order = np.argsort(-(x @ q.centroids.T), axis=1, kind="stable")
-            seen = np.cumsum(sizes[order], axis=1) - sizes[order]
-            take = (np.arange(order.shape[1]) < PROBES) | (seen < LEAST_SEEN)
-            who, col = np.nonzero(take & (sizes[order] > 0))
-            lists = pa.array(order[who, col].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(who)), lists, batch.column("v").take(pa.array(who))], ["query_id", "list", "v"])
+            met = np.zeros((len(x), shards.max() + 1), bool)
+            many, number = np.nonzero(q.probed(x, sizes))
+            met[many, shards[number]] = True
+            who, number = np.nonzero(met)
+            lists = pa.array(number.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(who)), lists, batch.column("v").take(pa.array(who))], ["query_id", "shard", "v"])
 
     asked = rows.where(is_query(F.col("id"))).dropDuplicates(["id"])
-    probes = asked.mapInArrow(probe, f"query_id {id_type}, list int, v array<double>")
+    probes = asked.mapInArrow(probe, f"query_id {id_type}, shard int, v array<double>")
     sheets = max(1, -(-rows.count() // (20 * QUERY_BLOCK)))
-    grouped = probes.withColumn("sheet", F.pmod(F.xxhash64("query_id"), F.lit(sheets))).groupBy("list", "sheet").agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
+    grouped = probes.withColumn("sheet", F.pmod(F.xxhash64("query_id"), F.lit(sheets))).groupBy("shard", "sheet").agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = shared.value
@@ -155,20 +184,22 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
         for batch in batches:
             for i in range(batch.num_rows):
                 asked_, held = batch.column("q")[i].values, batch.column("m")[i].values
-                number = batch.column("list")[i].as_py()
                 x = asked_.field("v").flatten().to_numpy().reshape(len(asked_), -1).astype(np.float32)
                 codes = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(held), m)
                 heads_ = held.field("head")
-                tables = np.einsum("qmw,mcw->qmc", z.pad(x).reshape(len(x), m, width), z.books)
-                score = np.repeat((x @ z.centroids[number])[:, None], len(held), 1)
-                for j in range(m):
-                    score += tables[:, j, :][:, codes[:, j]]
+                lists = held.field("list").to_numpy()
+                near = z.centroids[lists] + z.books[np.arange(m), codes].reshape(len(held), m * width)[:, : z.dim]
+                score, probed = np.full((len(x), len(held)), -np.inf, np.float32), z.probed(x, sizes)
+                for number in np.unique(lists):
+                    who, members = np.flatnonzero(probed[:, number]), np.flatnonzero(lists == number)
+                    score[np.ix_(who, members)] = x[who] @ near[members].T
                 keep = min(RERANK, len(held))
                 best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                who = pa.array(np.repeat(np.arange(len(x)), keep))
-                yield pa.RecordBatch.from_arrays([asked_.field("query_id").take(who), heads_.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, 1).ravel().astype(np.float64))], ["query_id", "head", "near"])
+                top = np.take_along_axis(score, best, 1).ravel().astype(np.float64)
+                fine = np.flatnonzero(top > -np.inf)
+                yield pa.RecordBatch.from_arrays([asked_.field("query_id").take(pa.array(fine // keep)), heads_.take(pa.array(best.ravel()[fine])), pa.array(top[fine])], ["query_id", "head", "near"])
 
-    found = grouped.join(blocks, "list").select("list", "q", "m").mapInArrow(scan, f"query_id {id_type}, head {id_type}, near double")
+    found = grouped.join(blocks, "shard").select("q", "m").mapInArrow(scan, f"query_id {id_type}, head {id_type}, near double")
     line = Window.partitionBy("query_id").orderBy(F.desc("near"), "head")
     best = found.withColumn("r", F.row_number().over(line)).where(F.col("r") <= RERANK).select("query_id", "head")
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
