@@ -3,8 +3,8 @@
 Documents with equal shingle sets are one node. A node's signature is read in several orders,
 one per tree; within a tree, nodes sorted by their order meet in regions that share a prefix
 of ``DEPTH`` values. In the first pass a node's candidates are its neighbours in the orders,
-those with the longest common prefix first, so crowded regions are searched deeply and sparse
-ones shallowly. Confirmed links give components. The second pass takes every region that still
+those that share most trees first, then those with the longest common prefix; the depth is the
+same for every region. Confirmed links give components. The second pass takes every region that still
 holds more than one component: members of different components are compared in blocks, first
 by signatures, then (those that are near) by their whole sets, and the links between
 components come out as spanning forests. So no candidate is dropped for the size of a region,
