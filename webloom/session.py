@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -34,7 +33,8 @@ class Scratch:
     """Tables written below the shared folder of the cluster (``spark.checkpoint.dir``).
 
     A written table cuts lineage and survives the loss of executors. Where the
-    setting is absent (tests), a folder of this machine is set for the session.
+    setting is absent, a local master (tests) gets a folder of this machine and any other
+    master an error: its executors could not see such a folder.
     """
 
     def __init__(self, spark: SparkSession, purpose: str):
@@ -42,6 +42,8 @@ class Scratch:
         if not base:
             base = spark.conf.get("webloom.scratch.dir", None)
             if not base:
+                if not spark.sparkContext.master.split("[")[0] == "local":
+                    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
                 base = tempfile.mkdtemp(prefix="webloom-")
                 spark.conf.set("webloom.scratch.dir", base)
         self.spark = spark
@@ -65,7 +67,3 @@ class Scratch:
         for target in [self.path(n) for n in names] or [self.root]:
             path = jvm.org.apache.hadoop.fs.Path(target)
             path.getFileSystem(conf).delete(path, True)
-
-
-def executor_slots(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism, os.cpu_count() if spark.sparkContext.master.startswith("local[") else 1)
