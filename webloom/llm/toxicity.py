@@ -1,13 +1,14 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax.
 
-Each word is a bag of hashed character n-grams and itself; the embeddings of the bag are
+Each word, with a mark at both ends, is a bag of hashed n-grams of four to six bytes (a word of
+one letter has none and counts in the average as neutral); the embeddings of the bag are
 averaged per word, the words are averaged per text, and a linear softmax over two classes
 reads the average. Embeddings and softmax are trained jointly in numpy. Misspelt words share
 n-grams with the spellings seen, so they land near them. As all of it is linear up to the
 softmax, a word's part in the score is one number, worked out once per distinct word.
 
 Cases: a null or empty text has an empty bag and gets the score of the bias alone, capped
-below the threshold; no labelled row, or rows of one class only, give a constant score below
+at the fixed logit ``EMPTY`` (a rule, not learnt: nothing was written, so nothing is toxic); no labelled row, or rows of one class only, give a constant score below
 the threshold (score 0, or the threshold's half). Repeated rows are scored alike. Texts are
 read whole. Further columns of the input are not touched.
 """
@@ -38,6 +39,10 @@ PADDING = 8
 #: Least log-likelihood ratio between a bucket's presence and the label for the bucket to be trained.
 LEAST_RATIO = 20.0
 STEP, DECAY = 0.1, 1e-4
+#: Largest logit of a text without a word.
+EMPTY = -1.0
+#: Bytes of text handled at once; a worker holds a few times as much beside its Arrow batch.
+PIECE = 4_000_000
 
 
 @dataclass
@@ -57,7 +62,7 @@ def _bags(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The averaged bag of each text, sparse."""
-    for batch in chunks(batches, limit=4_000_000):
+    for batch in chunks(batches, limit=PIECE):
         words = encode_words(_clean(batch.column("text")))
         who, what = _bags(words.vocab)
         order = np.argsort(who, kind="stable")
@@ -160,21 +165,26 @@ def fit(y: np.ndarray, col_of: np.ndarray, val_of: np.ndarray, starts: np.ndarra
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keys: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``keys`` plus ``name`` (a score from 0 to 1) for every row of ``docs``."""
+    """``keys`` plus ``name`` (a score from 0 to 1) for every row of ``docs``.
+
+    ``keys`` may be all columns, the text among them: no column travels twice.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = [*keys, *([] if text in keys else [text])]
+    body = f"k{sent.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in chunks(batches):
-            words = encode_words(_clean(batch.column("text")))
+        for batch in chunks(batches, body, PIECE):
+            words = encode_words(_clean(batch.column(body)))
             sums, number = vocab_sums(words.vocab, ORDERS, BITS, m.part)
             each = sums[:, 0] / np.maximum(1, number)
             mean = segment_sums(each[words.codes], words.offsets) / (words.counts + PADDING)
             z = mean + m.bias
-            z = np.where(words.counts == 0, np.minimum(z, -1.0), z)
+            z = np.where(words.counts == 0, np.minimum(z, EMPTY), z)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keys))), pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], [*(f"k{i}" for i in range(len(keys))), "score"])
 
-    picked = docs.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("text"))
+    picked = docs.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(sent)))
     kinds = dict(picked.dtypes)
     out = picked.mapInArrow(run, ", ".join(f"k{i} {kinds[f'k{i}']}" for i in range(len(keys))) + ", score double")
     return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), F.col("score").alias(name))
