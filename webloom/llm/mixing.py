@@ -10,8 +10,9 @@ its budget is met; the document at the border is taken if more than half of it f
 Keys are cut into cells by a monotone function; cell sums tell in which cell the border
 lies, so only documents of that cell are ranked, however large the source is.
 
-Cases: null or empty texts have size 0 and are taken 0 words; a source without words has
-target 0; a null source is a source of its own, the last; equal keys fall back to the id,
+Cases: null or empty texts have size 0 and are taken 0 words; they come once with every whole
+epoch of their source and never in its fractional one, so no row comes more than ``max_epochs``
+times; a source without words has target 0 and no copies; a null source is a source of its own, the last; equal keys fall back to the id,
 then to the text's hash; an empty table gives an empty result; null quality counts as 1.
 """
 
@@ -97,10 +98,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     cell = F.coalesce(F.col("__border.__cell"), F.lit(cells))
     ordered = Window.partitionBy("__name").orderBy("__key", "doc_id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     kept = ("doc_id", "__tie", "size", "source", "source_size", "target")
-    clear = rows.where(F.col("__cell") != cell).select(*kept, (F.col("__epochs") + (F.col("__cell") < cell).cast("long")).alias("copies"))
+    # the fractional epoch is of rows with words, and there is none once all epochs are whole
+    more = (F.col("size") > 0) & (F.col("__epochs") < max_epochs)
+    clear = rows.where(F.col("__cell") != cell).select(*kept, (F.col("__epochs") + ((F.col("__cell") < cell) & more).cast("long")).alias("copies"))
     near = rows.where(F.col("__cell") == cell)
     start = F.col("__border.__start") + F.coalesce(F.sum("size").over(ordered), F.lit(0))
-    near = near.withColumn("__at", start).select(*kept, (F.col("__epochs") + (F.col("__at") + F.col("size") / 2 <= F.col("__rest")).cast("long")).alias("copies"))
+    near = near.withColumn("__at", start).select(*kept, (F.col("__epochs") + ((F.col("__at") + F.col("size") / 2 <= F.col("__rest")) & more).cast("long")).alias("copies"))
     return clear.unionByName(near).withColumn("taken", F.col("copies") * F.col("size"))
 
 
