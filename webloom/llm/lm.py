@@ -3,8 +3,11 @@
 Counts cover every training token: one aggregation over all training documents gives each
 token's count. The most frequent words form the model's vocabulary; a log-bilinear model
 (context vector of the word before, target vector, bias) is trained in numpy by
-noise-contrastive estimation over all training documents: every partition passes over its own
-texts from the same start, and the parameters are averaged by the tokens they saw. Batched
+noise-contrastive estimation over all training documents: documents are dealt into groups by a
+hash (one group for about ``GROUP_TOKENS`` tokens of the corpus), every group passes over its own
+texts from the same start in the order of their hashes, and the parameters are averaged by the
+tokens they saw. Groups depend on the texts alone, so files, partitions and executors do not
+change a score. Batched
 matrix products give the exact normaliser of every context, so log-probabilities sum to one.
 A word outside the vocabulary has the probability of the unknown word times its smoothed share
 among the words outside, so the model is proper over all words.
@@ -20,6 +23,7 @@ null or repeated, as rows are told apart by a number of their own. Texts are rea
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +45,8 @@ VOCABULARY = 16_384  # two more indices must fit into 16 bits
 WIDTH = 16
 NOISE = 48
 BATCH = 2_048
+#: Training tokens of one group; the number of groups grows with the corpus.
+GROUP_TOKENS = 4_000_000
 RATE, MEMORY = 0.2, 0.01
 #: Words of the vocabulary in one row of the parameter exchange.
 BLOCK = 512
@@ -121,28 +127,52 @@ def start_parameters(noise: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarr
     return (rng.standard_normal((n + 1, WIDTH)) * 0.1).astype(np.float32), (rng.standard_normal((n, WIDTH)) * 0.1).astype(np.float32), np.log(noise).astype(np.float32)
 
 
-def _train_partition(batches: Iterator[pa.RecordBatch], hot: pa.Array, size: int, noise: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.Array]]]:
+    """The groups of rows that come sorted by ``g``, each as an iterator over blocks of its texts."""
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, limit=CHUNK):
+            g = batch.column("g").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)
+
+    for g, mine in itertools.groupby(blocks(), key=lambda b: b.column("g")[0].as_py()):
+        yield g, (b.column("text") for b in mine)
+
+
+def _train_group(texts: Iterator[pa.Array], hot: pa.Array, size: int, noise: np.ndarray, seed: int) -> Iterator[pa.RecordBatch]:
     context, target, bias = start_parameters(noise, seed)
     mem_c, mem_t, mem_b = np.full(len(context), MEMORY, np.float32), np.full(len(target), MEMORY, np.float32), np.full(len(bias), MEMORY, np.float32)
     rng, edges, log_kn = np.random.default_rng(seed), np.cumsum(noise), np.log(NOISE * noise).astype(np.float32)
     seen, rate = 0, RATE
-    for batch in chunks(batches, limit=CHUNK):
-        _, index, before, _, _ = pairs(encode_words(batch.column("text"), lower_ascii=True), hot, size)
-        for a in range(0, len(index), BATCH):
-            w, u = index[a : a + BATCH], before[a : a + BATCH]
-            drawn = np.minimum(np.searchsorted(edges, rng.random(NOISE)), len(noise) - 1)
-            h, t, tn = context[u], target[w], target[drawn]
-            pos = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, t) + bias[w] - log_kn[w], -30, 30)))  # 1 - P(data)
-            neg = 1 / (1 + np.exp(-np.clip(h @ tn.T + (bias[drawn] - log_kn[drawn]), -30, 30)))  # P(data) of noise
-            m = np.float32(1.0)
-            g_h = (neg @ tn - pos[:, None] * t) * m
-            g_n, g_nb = (neg.T @ h) * m, neg.sum(0) * m
-            _add_rows(context, mem_c, u, g_h, rate)
-            _add_rows(target, mem_t, np.concatenate([w, drawn]), np.concatenate([-pos[:, None] * h * m, g_n]), rate)
-            g_b = np.bincount(w, weights=-pos * m, minlength=len(bias)) + np.bincount(drawn, weights=g_nb, minlength=len(bias))
-            mem_b += (g_b * g_b).astype(np.float32)
-            bias -= (0.2 * rate * g_b / np.sqrt(mem_b)).astype(np.float32)
-            seen += len(w)
+
+    def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words and the words before them, BATCH at a time wherever the blocks of texts end."""
+        index, before = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for text in texts:
+            _, more_index, more_before, _, _ = pairs(encode_words(text, lower_ascii=True), hot, size)
+            index, before = np.concatenate([index, more_index]), np.concatenate([before, more_before])
+            whole = len(index) // BATCH * BATCH
+            for a in range(0, whole, BATCH):
+                yield index[a : a + BATCH], before[a : a + BATCH]
+            index, before = index[whole:], before[whole:]
+        if len(index):
+            yield index, before
+
+    for w, u in steps():
+        drawn = np.minimum(np.searchsorted(edges, rng.random(NOISE)), len(noise) - 1)
+        h, t, tn = context[u], target[w], target[drawn]
+        pos = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, t) + bias[w] - log_kn[w], -30, 30)))  # 1 - P(data)
+        neg = 1 / (1 + np.exp(-np.clip(h @ tn.T + (bias[drawn] - log_kn[drawn]), -30, 30)))  # P(data) of noise
+        g_h = neg @ tn - pos[:, None] * t
+        g_n, g_nb = neg.T @ h, neg.sum(0)
+        _add_rows(context, mem_c, u, g_h, rate)
+        _add_rows(target, mem_t, np.concatenate([w, drawn]), np.concatenate([-pos[:, None] * h, g_n]), rate)
+        g_b = np.bincount(w, weights=-pos, minlength=len(bias)) + np.bincount(drawn, weights=g_nb, minlength=len(bias))
+        mem_b += (g_b * g_b).astype(np.float32)
+        bias -= (0.2 * rate * g_b / np.sqrt(mem_b)).astype(np.float32)
+        seen += len(w)
     if seen:
         whole = np.zeros((len(context), 2 * WIDTH + 1), np.float32)
         whole[:, :WIDTH] = context
@@ -180,7 +210,7 @@ def normalisers(context: np.ndarray, target: np.ndarray, bias: np.ndarray, rows:
     return out
 
 
-def train(train_docs: DataFrame, counts: DataFrame, text: str = "text", seed: int = 5) -> Model:
+def train(train_docs: DataFrame, counts: DataFrame, text: str = "text", key: str = "doc_id", seed: int = 5) -> Model:
     """Fit on all rows of ``train_docs``; ``counts`` is their written count_tokens()."""
     spark = train_docs.sparkSession
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -194,9 +224,12 @@ def train(train_docs: DataFrame, counts: DataFrame, text: str = "text", seed: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, prior = shared.value
-        return _train_partition(batches, table, len(prior) - 1, prior, seed)
+        for _, texts in _by_group(batches):
+            yield from _train_group(texts, table, len(prior) - 1, prior, seed)
 
-    parts = train_docs.select(F.col(text).alias("text")).mapInArrow(run, "block int, tokens double, vec binary")
+    groups = max(1, -(-int(whole[0]) // GROUP_TOKENS))
+    dealt = train_docs.select(F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h")).withColumn("g", F.pmod("h", F.lit(groups)))
+    parts = dealt.repartition(groups, "g").sortWithinPartitions("g", "h").select("g", "text").mapInArrow(run, "block int, tokens double, vec binary")
     mixed = parts.repartition("block").sortWithinPartitions("block", "tokens", "vec").mapInArrow(_average, "block int, vec binary").toPandas()
     context, target, bias = start_parameters(noise, seed)
     if len(mixed):
