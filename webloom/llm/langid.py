@@ -95,15 +95,21 @@ def train(rows: DataFrame, text: str, lang: str, key: str, epochs: int = 12, see
     idx, val = got.column("idx").combine_chunks(), got.column("val").combine_chunks()
     starts = np.concatenate([[0], np.cumsum(pc.list_value_length(idx).to_numpy(zero_copy_only=False))]).astype(np.int64)
     idx, val = idx.flatten().to_numpy(), val.flatten().to_numpy()
-    target = code[[languages.index(x) for x in labels]]
     of = np.array([languages.index(x) for x in labels])
+    # rows arrive in any order; put them in one that depends on their content alone
+    lengths = np.diff(starts)
+    content = np.bincount(np.repeat(np.arange(len(of)), lengths), weights=val.astype(np.float64) * (1 + idx % 1009), minlength=len(of)) + of
+    steady = np.argsort(content, kind="stable")
+    take = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in steady])
+    idx, val, of = idx[take], val[take], of[steady]
+    starts = np.concatenate([[0], np.cumsum(lengths[steady])])
+    target = code[of]
     balance = (1.0 / np.bincount(of))[of]
     balance = (balance / balance.mean()).astype(np.float32)
     scale = 1.0 / np.sqrt(np.bincount(idx, weights=val.astype(np.float64) ** 2, minlength=1 << BITS) / len(of) + 1e-8).astype(np.float32)
-    order_of = np.argsort(np.char.add(np.array(labels, str), np.array([str(a) for a in starts[:-1]])))  # rows come in any order
     rng, memory, memory_b = np.random.default_rng(seed), np.full_like(weights, 1e-6), np.full_like(bias, 1e-6)
     for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(order_of), max(1, len(of) // 128)):
+        for part in np.array_split(rng.permutation(len(of)), max(1, len(of) // 128)):
             x = np.zeros((len(part), 1 << BITS), np.float32)
             for r, d in enumerate(part):
                 x[r, idx[starts[d] : starts[d + 1]]] = val[starts[d] : starts[d + 1]]

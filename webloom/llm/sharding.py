@@ -69,6 +69,10 @@ def assign(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] | Non
         F.lit("key").alias("law"),
         rendezvous(F.col(key), shards, weights).alias("shard"),
     )
-    # the grown count adds one draw; it wins exactly where it beats the winner
-    grown = F.when(rendezvous(F.col("doc_id"), shards + 1, more) == shards, F.lit(shards)).otherwise(F.col("shard")) if weights is None else rendezvous(F.col("doc_id"), shards + 1, more)
+    if more is None:
+        # one further draw; it wins exactly where it beats the winner's (ties go to the larger number)
+        name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+        grown = F.when(draw(name, F.lit(shards)) >= draw(name, F.col("shard")), F.lit(shards)).otherwise(F.col("shard"))
+    else:
+        grown = rendezvous(F.col("doc_id"), shards + 1, more)
     return with_slots(rows, "shard", "doc_id", ["text_crc32", "size"]).withColumn("grown_shard", grown)
