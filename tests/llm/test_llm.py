@@ -210,6 +210,51 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.common(list("abcde"), list("xaxcxex")) == 3
 
 
+def brute_hits(rows, items):
+    """Every region of every text against every item, by a plain longest common subsequence."""
+    out = set()
+    for key, text in rows:
+        w = decontaminate.clean(split_words(pa.array([text or ""]))[0]).to_pylist()
+        for item, body in items:
+            own = decontaminate.words_of(body) if body else []
+            if not own:
+                continue
+            width = (-(-len(own) // decontaminate.STEP) + 2) * decontaminate.STEP
+            for start in range(0, max(1, len(w)), decontaminate.STEP):
+                part = w[max(0, start - decontaminate.STEP) : start + width - decontaminate.STEP]
+                row = [0] * (len(part) + 1)
+                for x in own:
+                    row = _lcs_row(row, x, part)
+                if row[-1] / len(own) >= decontaminate.COVER:
+                    out.add((key, item))
+    return out
+
+
+def _lcs_row(row, x, part):
+    new = [0]
+    for j, y in enumerate(part):
+        new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+    return new
+
+
+def test_decontamination_against_brute_force(spark):
+    """Verbatim and edited items: the hits are those of an alignment of all regions with all items."""
+    rng = np.random.default_rng(12)
+    usual = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(usual, n))) for i, n in enumerate([12, 16, 20, 31, 45, 59])]
+    rows = [(i, " ".join(rng.choice(usual, 120))) for i in range(6)]
+    for share in (0.0, 0.2, 0.35, 0.39, 0.45):
+        for i, body in items:
+            w = body.split()
+            for p in rng.choice(len(w), int(share * len(w)), replace=False):
+                w[p] = rng.choice(usual)
+            rows.append((1000 * i + int(100 * share) + 100, " ".join([*rng.choice(usual, rng.integers(0, 40)), *w, *rng.choice(usual, rng.integers(0, 40))])))
+    rows += [(9000, None), (9001, ""), (9002, "w1")]
+    found = decontaminate.hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")).collect()
+    want = brute_hits(rows, items)
+    assert {(r.doc_id, r.item_id) for r in found} == want and len(want) >= 18
+
+
 def test_decontamination_finds_items_that_fail_the_cosine(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "COSINE", 2.0)
     rng = np.random.default_rng(8)

@@ -3,16 +3,20 @@
 Texts are cut into blocks of ``STEP`` words; a passage is a run of blocks, long enough to hold
 a benchmark item, at every block. Passages are TF-IDF vectors over the words of the benchmark
 (every query has weight 0 for all other words, so they are pruned); document frequencies
-count all blocks of all documents, and words of very many blocks weigh nothing. A randomised SVD is computed by a distributed
-sketch: every partition multiplies its passages with a random matrix and back, the sums give
-an orthonormal basis of the dominant latent directions. Passages whose latent cosine to an
-item is ``COSINE`` or more are candidates, and so are, whatever their cosine, those that hold
-``HELD`` of the item's rarest words: of the L words of an item a hit has T in order, hence at
-least ``HELD`` of any L - T + ``HELD`` of them, so no hit is missed for its place in the basis.
-Candidates are kept as hits if the longest common subsequence with the item covers ``COVER``
+count all blocks of all documents, and words of very many blocks weigh nothing. A randomised
+SVD is computed in one pass: every partition multiplies its passages A with a random matrix G
+and back, the sums A'AG give an orthonormal range Q, and the small matrix Q'A'AQ, which Q and
+the same sums determine, is factorised into singular values and the right singular vectors.
+Passages whose latent cosine to an item is ``COSINE`` or more are candidates, and so are,
+whatever their cosine, those that hold ``HELD`` of the item's rarest words: of the L words of an
+item a hit has T in order, hence at least ``HELD`` of any L - T + ``HELD`` of them, so no hit is
+missed for its place in the latent space. Exact checks follow, the cheap ones first: as many of
+the rarest words (the same bound), enough of the item's words in any order, and last the
+alignment. Candidates are hits if the longest common subsequence with the item covers ``COVER``
 of its words, or ``PARAPHRASE`` of them when the item's answer stands in the passage. Texts are
-taken apart once; the steps read each word's place in the vocabulary from a written table. Items are taken in sheets of ``ITEMS`` at most, so what is
-broadcast is bounded and all items meet all documents.
+taken apart once a sheet; the steps read each word's place in the vocabulary from a written
+table. Items are taken in sheets of ``ITEMS`` at most, so what is broadcast is bounded and all
+items meet all documents.
 
 Cases: null or empty texts have no passage; items without a word find nothing; documents
 shorter than an item are one passage; repeated documents hit alike; ids may repeat or be null;
@@ -30,6 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from webloom.llm.arrowtext import chunks, encode_words, owners, split_words
 from webloom.session import Scratch
@@ -61,7 +66,8 @@ class Sheet:
     answers: list[list[str]]
     vocab: pa.Array  # words of items and answers
     idf: np.ndarray | None = None  # one more entry, 0, for words outside vocab
-    basis: np.ndarray | None = None
+    basis: np.ndarray | None = None  # right singular vectors, the largest singular value first
+    singular: np.ndarray | None = None
     rare: list[tuple[np.ndarray, int]] | None = None  # per item its rarest words and how many of them a hit has
 
 
@@ -161,7 +167,7 @@ def _block_sums(at: np.ndarray, block: np.ndarray, number: int, weights: np.ndar
 
 
 def sketch(docs: DataFrame, sheet: Sheet, seed: int = 9) -> None:
-    """Set basis: orthonormal columns that span A'(A G) for a random matrix G."""
+    """Set basis and singular: the leading right singular vectors and values of all passages."""
     vocab, idf = sheet.vocab, sheet.idf
     rank = min(RANK, len(vocab))
     random = np.random.default_rng(seed).standard_normal((len(vocab), rank)).astype(np.float32) * idf[:-1, None]
@@ -188,7 +194,12 @@ def sketch(docs: DataFrame, sheet: Sheet, seed: int = 9) -> None:
     parts = docs.mapInArrow(run, "part bigint, z binary")
     few = parts.repartition(16).mapInArrow(total, "part bigint, z binary").collect()  # 16 rows of fixed size
     z = sum(np.frombuffer(r["z"], np.float32).astype(np.float64) for r in few).reshape(len(vocab), rank)
-    sheet.basis = np.linalg.qr(z)[0].astype(np.float32)
+    q = np.linalg.qr(z)[0]
+    # A'A in the range Q: C (Q'G) = Q'A'AG holds for C = Q'A'AQ as far as Q spans the passages
+    inner = np.linalg.lstsq((q.T @ random).T, (q.T @ z).T, rcond=None)[0].T
+    square, turn = np.linalg.eigh((inner + inner.T) / 2)
+    sheet.basis = np.ascontiguousarray((q @ turn)[:, ::-1]).astype(np.float32)
+    sheet.singular = np.sqrt(np.maximum(square[::-1], 0))
 
 
 def common(a: list, b: list) -> int:
@@ -212,6 +223,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """doc_id, t (hash of the text), item_id, cosine and cover (share of the item's words) of every hit."""
     spark = docs.sparkSession
     kinds = dict(docs.select(F.col(key).alias("k")).dtypes) | dict(benchmark.select(F.col(item_key).alias("i")).dtypes)
+    item_type = to_arrow_type(benchmark.schema[item_key].dataType)
     schema = f"doc_id {kinds['k']}, t bigint, item_id {kinds['i']}, cosine double, cover double"
     picked = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
     scratch, out = Scratch(spark, "decontaminate"), None
@@ -230,6 +242,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
             spans = np.array([-(-len(w) // STEP) + 1 for w in s.words])
             groups = [(m, np.flatnonzero(spans == m)) for m in np.unique(spans)]
             lists = [_postings(s, mine) for _, mine in groups]
+            leasts = [np.array([s.rare[i][1] for i in mine]) for _, mine in groups]
             for batch in chunks(batches, "codes", PIECE):
                 offsets, at, block, first = _codes(batch)
                 blocks = int(first[-1])
@@ -237,21 +250,24 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 latent = _block_sums(live, block, blocks, weights)
                 doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
                 found = []
-                for (m, mine), posting in zip(groups, lists):
-                    least = np.array([s.rare[i][1] for i in mine])
-                    for a in range(0, blocks, ROWS):
-                        b = min(blocks, a + ROWS)
-                        passage = latent[a:b].copy()
-                        for j in range(1, m):
+                for a in range(0, blocks, ROWS):
+                    b, width = min(blocks, a + ROWS), 1
+                    passage = latent[a:b].copy()
+                    for (m, mine), least, posting in zip(groups, leasts, lists):  # spans grow from group to group
+                        for j in range(width, m):
                             last = min(blocks, b + j)
                             ok = np.flatnonzero(doc[a + j : last] == doc[a : last - j])
                             passage[ok] += latent[a + j + ok]
+                        width = m
                         norm = np.sqrt(np.einsum("ij,ij->i", passage, passage))
                         cos = (passage @ items[mine].T) / np.maximum(1e-9, norm)[:, None]
-                        p, i = np.nonzero((cos >= COSINE) | (_held(at, block, doc, a, b, m, *posting) >= least))
+                        held = _held(at, block, doc, a, b, m, *posting) >= least
+                        p, i = np.nonzero((cos >= COSINE) | held)
+                        fit = held[p, i]  # no other candidate can be a hit
+                        p, i = p[fit], i[fit]
                         found += _confirm(s, offsets, at, doc, first, a + p, mine[i], cos[p, i], place)
                 rows = _best(found)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), batch.column("t").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([s.ids[r[1]] for r in rows], _arrow(kinds["i"])), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64())], ["doc_id", "t", "item_id", "cosine", "cover"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), batch.column("t").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([s.ids[r[1]] for r in rows], item_type), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.float64())], ["doc_id", "t", "item_id", "cosine", "cover"])
 
         part = scratch.save(placed.mapInArrow(run, schema), f"hits-{number}")
         scratch.drop(f"places-{number}")
@@ -259,10 +275,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
-
-
 def _least(s: Sheet, i: int) -> float:
     """The smallest share of item ``i`` in common order that can be a hit."""
     return PARAPHRASE if s.answers[i] else COVER
