@@ -131,6 +131,11 @@ def test_mixing(spark, docs, none):
     assert all(r.taken <= 2 * r["size"] for r in out)
     again = mixing.mix(docs).collect()
     assert sorted(map(repr, out)) == sorted(map(repr, again))
+    epochs = {r.source: int(r.target // r.source_size) if r.source_size else 0 for r in out}
+    assert all(r.copies <= 2 and (r["size"] > 0 or r.copies == epochs[r.source]) for r in out)
+    plain = [(1, "word", "b"), *((i, t, "b") for i, t in ((2, None), (3, ""), (4, " "))), (5, "one two three four five six", "a"), (6, "", "c")]
+    got = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(plain, "doc_id long, text string, source string")).collect()}
+    assert got[1] == got[2] == got[3] == got[4] == 2 and got[5] == 1 and got[6] == 0
     assert mixing.mix(none).count() == 0
     taken = mixing.apply(docs, mixing.mix(docs))
     assert taken.columns == docs.columns and taken.count() == sum(r.copies for r in out)
@@ -210,6 +215,28 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.common(list("abcde"), list("xaxcxex")) == 3
 
 
+def test_pii_shapes():
+    assert pii.shape("2086184495729368")[0] == "d16" and pii.shape("und.34@mail7.example.com") == ("w.d2@wd1.w.w", "w.d@wd.w.w")
+    text = 'a +1 (826) 555-4081 190.137.223.204 b token = "ab12"'
+    got = {text[a:b] for k, a, b in pii.instances(text, pii.base_spans(text)) if k is None}
+    assert "+1 (826) 555-4081" in got and "ab12" in got and not any("190" in g for g in got)
+    assert 'lx:token = "' in pii.patterns(text, text.index("ab12"), text.index("ab12") + 4)
+
+
+def test_pii_finds_hidden_seeds(spark):
+    """A fifth of all base surfaces is hidden: nearly all are found again, with their kind; the query adds spans."""
+    docs, scratch = table(spark, "/root/testdata/sf0.1", "documents"), Scratch(spark, "hidden")
+    picked = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("key"), "text")
+    seen = scratch.save(picked.mapInArrow(pii._scan, pii.SCHEMA.format(key="bigint")), "scan").select(F.explode("seen").alias("s")).select("s.*")
+    hide = F.pmod(F.xxhash64("surface"), F.lit(5)) == 0
+    known = pii.members(seen.select("surface", F.when(~hide, F.col("kind")).alias("kind"), F.explode("patterns").alias("pattern")), scratch)
+    hidden = seen.where(hide & F.col("kind").isNotNull()).groupBy("surface").agg(F.min("kind").alias("kind")).join(known.select("surface", F.col("kind").alias("got")), "surface", "left").collect()
+    found = [r for r in hidden if r.got]
+    assert len(hidden) > 80 and len(found) >= 0.95 * len(hidden) and sum(r.got == r.kind for r in found) >= 0.95 * len(found)
+    out = queries.op5_pii(spark, "/root/testdata/sf0.1").agg(F.sum("n_found")).first()[0]
+    assert out >= 100
+
+
 def brute_hits(rows, items):
     """Every region of every text against every item, by a plain longest common subsequence."""
     out = set()
