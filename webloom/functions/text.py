@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: words that never count towards the repetition cap
@@ -38,21 +40,47 @@ def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) <= n, c).otherwise(F.concat(F.when(back, shorter).otherwise(cut), F.lit("…")))
 
 
-def cap_repeated_terms(docs: DataFrame, key: str, text: str, cap: int = CAP) -> DataFrame:
-    """key and text without the words that carry a term beyond its ``cap``-th occurrence.
+_TERM = re.compile(r"[^\W_]+")
+_STOP = frozenset(STOPWORDS)
 
-    Documents in which no term can pass the cap (no term of three characters occurs so often)
-    keep their text; only the others are taken apart, one row per term occurrence.
+
+def cap_text(text: str | None, cap: int = CAP) -> str | None:
+    """The text without the words that carry a term beyond its ``cap``-th occurrence.
+
+    A word is what stands between single spaces of a line; its terms are its runs of letters and
+    digits. A removed word's terms count like all others. The first pass counts only: most texts
+    have no term that often and stay as they are.
     """
-    words = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line", "content")).select(key, "line", F.posexplode(F.split("content", " ")).alias("place", "word"))
-    terms = words.select(key, "line", "place", F.posexplode(F.split(F.lower("word"), r"[^\p{L}\p{N}]+")).alias("sub", "term")).where((F.length("term") >= 3) & ~F.col("term").isin(*STOPWORDS))
-    often = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select(key, "term")
-    nth = Window.partitionBy(key, "term").orderBy("line", "place", "sub")
-    over = terms.join(often, [key, "term"], "left_semi").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") > cap).select(key, "line", "place").distinct()
-    drop = over.groupBy(key).agg(F.collect_set(F.struct("line", "place")).alias("drop"))
-    lines = F.transform(F.split(text, "\n"), lambda content, line: F.array_join(F.filter(F.split(content, " "), lambda word, place: ~F.array_contains("drop", F.struct(line.alias("line"), place.alias("place")))), " "))
-    joined = docs.select(key, text).join(drop, key, "left")
-    return joined.select(key, F.when(F.col("drop").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n")).alias(text))
+    if text is None or len(text) <= 3 * cap:
+        return text
+    counts = Counter(t for t in _TERM.findall(text.lower()) if len(t) >= 3)
+    often = {t for t, n in counts.items() if n > cap and t not in _STOP}
+    if not often:
+        return text
+    seen: Counter = Counter()
+    lines = []
+    for line in text.split("\n"):
+        kept = []
+        for word in line.split(" "):
+            over = False
+            for t in _TERM.findall(word.lower()):
+                if t in often:
+                    seen[t] += 1
+                    over |= seen[t] > cap
+            if not over:
+                kept.append(word)
+        lines.append(" ".join(kept))
+    return "\n".join(lines)
+
+
+def capped(c: Column, cap: int = CAP) -> Column:
+    """cap_text() over Arrow batches: the decision is local to a row, so nothing is shuffled."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: cap_text(t, cap))
+
+    return run(c)
 
 
 def snippet(text: Column, word: str) -> tuple[Column, Column]:
@@ -88,8 +116,42 @@ def content_type(header: Column) -> tuple[Column, Column]:
     return kind, F.when(charset != "", trimmed(charset))
 
 
-def is_html(kind: Column) -> Column:
-    return kind.isin("text/html", "application/xhtml+xml")
+def type_class(kind: Column) -> Column:
+    """html, image, pdf or text; null for other types."""
+    return F.when(kind.isin("text/html", "application/xhtml+xml"), "html").when(kind.startswith("image/"), "image").when(kind == "application/pdf", "pdf").when(kind == "text/plain", "text")
+
+
+def described(description: Column, body: Column) -> Column:
+    """The page's own description, else the beginning of its text."""
+    return F.coalesce(description, F.left(body, F.lit(500)))
+
+
+#: Characters of a stored text that a retrieval returns.
+RETRIEVED = 120_000
+
+
+def retrieval_text(body: Column) -> tuple[Column, Column]:
+    """The text for a retrieval and whether it was cut (compared in bytes)."""
+    whole = F.coalesce(body, F.lit(""))
+    cut = F.left(whole, F.lit(RETRIEVED))
+    return cut, F.octet_length(whole) > F.octet_length(cut)
+
+
+def plain_text(body: Column, charset: Column) -> Column:
+    """A plain-text body (binary) in its charset (unknown or none: UTF-8), whitespace normalised; empty gives null."""
+
+    @F.pandas_udf("string")
+    def run(b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else decode(bytes(x), y) for x, y in zip(b, c)])
+
+    def decode(x: bytes, y: str | None) -> str:
+        try:
+            return x.decode(y or "utf-8", "replace")
+        except LookupError:
+            return x.decode("utf-8", "replace")
+
+    clean = normalize_whitespace(run(body, charset))
+    return F.when(clean != "", clean)
 
 
 def robots_tokens(value: Column) -> Column:
@@ -110,8 +172,5 @@ def byte_size(c: Column) -> Column:
 
 
 def content_hash(c: Column) -> Column:
+    """SHA-1 of the text that is stored, which is the capped one (``c`` comes through capped())."""
     return F.sha1(F.coalesce(c, F.lit("")).cast("binary"))
-
-
-def strip_width(c: Column, n: int) -> Column:
-    return F.left(c, F.lit(n))

@@ -25,6 +25,7 @@ IMAGES = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "svg", "avif", "ico", "tif
 #: A few top-level domains and ICANN suffix rules for tests; full lists are read by webloom.sources.lists.
 TLDS = ("com", "net", "org", "io", "uk", "jp", "ck", "de", "fr", "es", "info", "edu", "gov")
 SUFFIXES = ("com", "net", "org", "io", "de", "fr", "es", "uk", "co.uk", "jp", "co.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck")
+BUILT_IN = frozenset(TLDS)
 _PARTS = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$", re.DOTALL)
 _KEEP = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~!$&'()*+,;=:@/"
 
@@ -104,7 +105,7 @@ def canonical(text: str | None) -> str:
     return str(parse(text))
 
 
-def is_valid(text: str | None, tlds=frozenset(TLDS)) -> bool:
+def is_valid(text: str | None, tlds: frozenset[str] = BUILT_IN) -> bool:
     url = parse(text)
     labels = url.host.split(".")
     return url.scheme in ("http", "https") and len(url.host) <= 253 and len(labels) >= 2 and all(1 <= len(x) <= 63 for x in labels) and labels[-1] in tlds
@@ -191,8 +192,22 @@ def canonical_url(c: Column) -> Column:
     return _batched(canonical, "string")(c)
 
 
-def valid_url(c: Column) -> Column:
-    return _batched(is_valid, "boolean")(c)
+def valid_url(c: Column, known: frozenset[str] = BUILT_IN) -> Column:
+    return _batched(lambda x: is_valid(x, known), "boolean")(c)
+
+
+def oauth_url(c: Column) -> Column:
+    """Links that start a sign-in (client_id, redirect_uri and response_type together)."""
+    return _batched(is_oauth, "boolean")(c)
+
+
+def path_and_query(c: Column) -> Column:
+    """What robots rules are matched with."""
+    return _batched(lambda x: parse(x).path_and_query(), "string")(c)
+
+
+def host_of(c: Column) -> Column:
+    return _batched(lambda x: parse(x).host, "string")(c)
 
 
 def resolve_url(base: Column, reference: Column) -> Column:
