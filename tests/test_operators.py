@@ -4,6 +4,7 @@ import random
 from webloom.functions import text
 from webloom.operators import catalogue, frontier, mutations, search
 from webloom.session import Scratch
+from webloom.streaming import jobs
 from pyspark.sql import functions as F
 
 
@@ -15,16 +16,50 @@ def test_match_expression():
     assert search.first_search_word("a of widget") == "widget"
 
 
-def test_empty_query_scans_nothing(spark):
-    items = spark.createDataFrame([(1, 0, "a", "b", "c", "text/html")], "item_id long, inc long, title string, description string, full_text string, type string")
-    assert search.content_pool(items, "---").count() == 0
+def _items(spark, rows):
+    return spark.createDataFrame([(i, 0, t, "", "", "text/html") for i, t in rows], "item_id long, inc long, title string, description string, full_text string, type string")
+
+
+def test_index_follows_the_store(spark):
+    index = search.item_index(Scratch(spark, "index"))
+    index.rebuild(search.indexable(_items(spark, [(1, "red fox"), (2, "red red hen"), (3, "blue"), (4, None)])))
+    assert search.content_pool(index, "---").count() == 0
+    assert [r.item_id for r in search.content_pool(index, "red").collect()] == [2, 1]
+    index.upsert(search.indexable(_items(spark, [(3, "red sky"), (5, "fox")])), gone=_items(spark, [(1, "")]), counts=spark.createDataFrame([(2, 9)], "item_id long, inc long"))
+    index = search.item_index(index.scratch)  # another reader finds the same state in storage
+    for _ in range(2):
+        assert {r.item_id: r.inc for r in search.content_pool(index, "red fox").collect()} == {2: 9, 3: 0, 5: 0}
+        assert index.statistics().first().n == 4
+        index.compact()
+    fresh = search.item_index(Scratch(spark, "index"))
+    fresh.rebuild(search.indexable(_items(spark, [(2, "red red hen"), (3, "red sky"), (4, None), (5, "fox")])).withColumn("inc", F.when(F.col("item_id") == 2, 9).otherwise(0).cast("long")))
+    assert search.content_pool(fresh, '"red sky" hen').collect() == search.content_pool(index, '"red sky" hen').collect()
+    index.truncate()
+    assert index.version() == -1
+
+
+def test_sync_survives_a_restart(spark):
+    s = Scratch(spark, "restart")
+    edge = lambda *r: spark.createDataFrame(list(r), "parent_id long, child_id long, domain string, external int, description string")
+    own, links = search.item_index(s), search.link_index(s)
+    own.rebuild(search.indexable(_items(spark, [(1, "a")])))
+    links.rebuild(edge((1, 2, "x", 1, "old"), (3, 1, "y", 1, "in")))
+    asked = spark.createDataFrame([(1, 1, 1), (2, 2, 0)], "item_id long, sync_item int, sync_links int")
+    make = lambda: jobs.IndexSync(search.item_index(s), search.link_index(s), lambda: _items(spark, [(1, "b"), (2, "c")]), lambda: edge((1, 2, "x", 1, "new"), (4, 1, "z", 0, "other")))
+    make().apply(asked, 7)
+    version = own.version()
+    make().apply(asked, 7)
+    assert own.version() == version, "a batch that was applied is known after a restart"
+    assert sorted(r.item_id for r in search.content_pool(own, "b c").collect()) == [1, 2] and search.content_pool(own, "a").count() == 0
+    assert sorted(map(tuple, links.live().select("parent_id", "child_id", "external").collect())) == [(1, 2, 1), (4, 1, 0)]
 
 
 def test_term_cap(spark):
-    rows = [(1, "widget " * 60 + "end"), (2, "the " * 180 + "x"), (3, "widgets-" * 400), (4, "a\nb c"), (5, ""), (6, None)]
-    out = {r.id: r.t for r in text.cap_repeated_terms(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
-    assert out[1].split() == ["widget"] * 50 + ["end"]
-    assert out[2] == rows[1][1] and out[3] == "" and out[4] == "a\nb c" and out[5] == "" and out[6] is None
+    rows = [(1, "widget " * 60 + "end"), (2, "the " * 180 + "x"), (3, "widgets-" * 400), (4, "a\nb c"), (5, ""), (6, None), (7, "Éa éA-b\n" * 40 + "éa z"), (1, "word")]
+    out = [r.t for r in spark.createDataFrame(rows, "id long, t string").coalesce(1).select(text.capped(F.col("t")).alias("t")).collect()]
+    assert out[0].split() == ["widget"] * 50 + ["end"]
+    assert out[1] == rows[1][1] and out[2] == "" and out[3] == "a\nb c" and out[4] == "" and out[5] is None and out[7] == "word"
+    assert out[6] == rows[6][1], "terms of two letters are never capped"
 
 
 def test_truncate(spark):
@@ -83,9 +118,26 @@ def test_counters_and_queue(spark):
 
 
 def test_chained_merges(spark):
-    links = spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (1, 3, "c"), (4, 3, "d"), (4, 2, "a0")], "parent_id long, child_id long, description string")
+    pairs = [(2, 1), (3, 1), (9, 8), (8, 7), (7, 6), (6, 5), (20, 21), (21, 20), (22, 21), *((i, i + 1) for i in range(100, 140))]
+    ends = dict(map(tuple, mutations.last_survivors(spark.createDataFrame(pairs, "old_id long, new_id long")).collect()))
+    assert ends == {2: 1, 3: 1, 9: 5, 8: 5, 7: 5, 6: 5, 21: 20, 22: 20, **{i: 140 for i in range(100, 140)}}
+    links = spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (1, 3, "c"), (4, 3, "d"), (4, 2, "a0"), (4, 1, "z")], "parent_id long, child_id long, description string")
     out = mutations.merge_links(links, spark.createDataFrame([(2, 1), (3, 1)], "old_id long, new_id long"))
-    assert sorted(map(tuple, out.collect())) == [(4, 1, "a0")]
+    assert sorted(map(tuple, out.collect())) == [(4, 1, "z")], "an edge that was there keeps its description"
+
+
+def test_redirect(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    before = mutations.Catalogue(
+        df([(1, "a", 1, 0), (2, "b", 1, 255), (3, "c", 1, 7), (4, "d", 1, 0)], "item_id long, url string, host_id long, priority int"),
+        df([(4, 2, "x"), (2, 4, "y"), (1, 2, "self"), (2, 1, "self")], "parent_id long, child_id long, description string"),
+        df([(50, 2)], "request_id long, item_id long"), df([(60, 2)], "source_id long, target_id long"), df([("a",), ("free",), ("z",)], "url string"),
+    )
+    after = mutations.redirect(before, df([(2, "a", 9), (3, "free", 9), (4, "free", 9)], "item_id long, new_url string, new_host_id long"))
+    rows = lambda t: sorted(map(tuple, t.collect()))
+    assert rows(after.items) == [(1, "a", 1, 255), (3, "free", 9, 7)]
+    assert rows(after.links) == [(1, 3, "y"), (3, 1, "x")]
+    assert rows(after.requests) == [(50, 1)] and rows(after.aliases) == [(2, 1), (60, 1)] and rows(after.dead) == [("z",)]
 
 
 def test_tables_may_be_empty(spark):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.session import Scratch
+
 PENDING_CAP = 500
 
 
@@ -54,12 +58,75 @@ def cascade_delete(items: DataFrame, links: DataFrame, gone: DataFrame) -> tuple
     return items.join(ids, "item_id", "left_anti"), left
 
 
+def last_survivors(survivors: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """old_id and the item at the end of its chain of merges (pointers double, so rounds grow with the logarithm of a chain).
+
+    A cycle has no end; its members meet at its smallest id.
+    """
+    to = survivors.where("old_id <> new_id").groupBy("old_id").agg(F.min("new_id").alias("new_id"), F.lit(None).cast("long").alias("low"))
+    scratch, name = Scratch(survivors.sparkSession, "merges"), "step-0"
+    to = scratch.save(to.withColumn("low", F.least("old_id", "new_id")), name)
+    for turn in range(1, most_rounds + 1):
+        onward = to.select(F.col("old_id").alias("new_id"), F.col("new_id").alias("next"), F.col("low").alias("next_low"))
+        step = to.join(onward, "new_id", "left")
+        if not step.where("next is not null and (next <> new_id or next_low < low)").limit(1).count():
+            break
+        moved = step.select("old_id", F.coalesce("next", "new_id").alias("new_id"), F.least("low", "next_low").alias("low"))
+        to = scratch.save(moved, f"step-{turn}")
+        if turn > 1:
+            scratch.drop(f"step-{turn - 2}")
+    # whoever still points at a merged item is in a cycle or leads to one: the cycle's smallest id stays
+    open_ends = to.select(F.col("old_id").alias("new_id"), F.lit(True).alias("again"))
+    ends = to.join(open_ends, "new_id", "left").select("old_id", F.when(F.col("again"), F.col("low")).otherwise(F.col("new_id")).alias("new_id"))
+    return ends.where("old_id <> new_id")
+
+
 def merge_links(links: DataFrame, survivors: DataFrame) -> DataFrame:
-    """Links after items merge (old_id -> new_id): ends move, self-links go, the first description stays."""
+    """Links after items merge (old_id -> new_id, already at the end of chains): ends move, self-links go.
+
+    An edge that was between survivors before stays as it was; else the smallest description of those moved there.
+    """
     to = lambda end: survivors.select(F.col("old_id").alias(end), F.col("new_id").alias(f"{end}_to"))
     moved = links.join(to("parent_id"), "parent_id", "left").join(to("child_id"), "child_id", "left")
-    moved = moved.select(F.coalesce("parent_id_to", "parent_id").alias("p"), F.coalesce("child_id_to", "child_id").alias("c"), "description")
-    return moved.where("p <> c").groupBy(F.col("p").alias("parent_id"), F.col("c").alias("child_id")).agg(F.min("description").alias("description"))
+    moved = moved.select(F.coalesce("parent_id_to", "parent_id").alias("p"), F.coalesce("child_id_to", "child_id").alias("c"), (F.col("parent_id_to").isNotNull() | F.col("child_id_to").isNotNull()).alias("new"), "description")
+    first = F.min(F.struct("new", "description"))["description"]
+    return moved.where("p <> c").groupBy(F.col("p").alias("parent_id"), F.col("c").alias("child_id")).agg(first.alias("description"))
+
+
+@dataclass
+class Catalogue:
+    items: DataFrame  # item_id, url, host_id, priority
+    links: DataFrame  # parent_id, child_id, description
+    requests: DataFrame  # request_id, item_id
+    aliases: DataFrame  # source_id, target_id
+    dead: DataFrame  # url
+
+
+def redirect(before: Catalogue, redirects: DataFrame) -> Catalogue:
+    """The catalogue after redirects (item_id, new_url, new_host_id).
+
+    The first item (smallest id) that redirects to a URL nobody has is renamed to it; every other
+    one merges into the item that has the URL then, along chains to the end: the survivor takes the
+    largest priority, the requests, the aliases (an interactive item leaves one of its own) and the
+    links. Tombstones of the new URLs go.
+    """
+    wide = redirects.withColumn("new_url", F.left("new_url", F.lit(767)))
+    stays = before.items.join(wide.select("item_id"), "item_id", "left_anti").select(F.col("url").alias("new_url"), F.col("item_id").alias("holder"))
+    leaves = before.items.join(wide.select("item_id", F.col("new_url").alias("to")), "item_id").where("url = to").select(F.col("url").alias("new_url"), F.col("item_id").alias("holder"))
+    held = stays.unionByName(leaves)
+    first = wide.groupBy("new_url").agg(F.min("item_id").alias("first"))
+    owner = first.join(held, "new_url", "left").select("new_url", F.coalesce("holder", "first").alias("owner"))
+    told = wide.join(owner, "new_url")
+    renamed = told.where("owner = item_id").select("item_id", "new_url", "new_host_id")
+    gone = last_survivors(told.where("owner <> item_id").select(F.col("item_id").alias("old_id"), F.col("owner").alias("new_id")))
+    promoted = before.items.join(gone.withColumnRenamed("old_id", "item_id"), "item_id").groupBy(F.col("new_id").alias("item_id")).agg(F.max("priority").alias("raised"))
+    items = before.items.join(gone.select(F.col("old_id").alias("item_id")), "item_id", "left_anti").join(renamed, "item_id", "left").join(promoted, "item_id", "left")
+    items = items.select("item_id", F.coalesce("new_url", "url").alias("url"), F.coalesce("new_host_id", "host_id").alias("host_id"), F.greatest("priority", F.coalesce("raised", F.lit(0))).alias("priority"))
+    moved = lambda rows, c: rows.join(gone.select(F.col("old_id").alias(c), F.col("new_id").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+    own = before.items.where("priority = 255").join(gone.withColumnRenamed("old_id", "item_id"), "item_id").select(F.col("item_id").alias("source_id"), F.col("new_id").alias("target_id"))
+    aliases = moved(before.aliases, "target_id").join(own.select("source_id"), "source_id", "left_anti").select("source_id", "target_id").unionByName(own)
+    dead = before.dead.join(wide.select(F.col("new_url").alias("url")), "url", "left_anti")
+    return Catalogue(items, merge_links(before.links, gone), moved(before.requests, "item_id").select("request_id", "item_id"), aliases, dead)
 
 
 def merge_plan(items: DataFrame, key: str) -> DataFrame:
@@ -70,25 +137,64 @@ def merge_plan(items: DataFrame, key: str) -> DataFrame:
 
 
 def mark_crawled(items: DataFrame, crawls: DataFrame, now: int) -> DataFrame:
-    """Items after crawls (item_id, title, full_text): hash, interval, time, priority and claim are set."""
-    new = crawls.select("item_id", F.left("title", F.lit(255)).alias("new_title"), F.col("full_text").alias("new_text"), F.sha1(F.coalesce("full_text", F.lit("")).cast("binary")).alias("new_hash"))
+    """Items after crawls (item_id, title, description, full_text as capped, type, noindex).
+
+    Texts and type are cut to the widths of the store, the hash is of the stored text, the interval
+    doubles where it stayed; the claim and the priority are given up.
+    """
+    new = crawls.select("item_id", F.left("title", F.lit(255)).alias("new_title"), F.left("description", F.lit(16000)).alias("new_description"), F.left("type", F.lit(255)).alias("new_type"), F.col("noindex").alias("new_noindex"), F.sha1(F.coalesce("full_text", F.lit("")).cast("binary")).alias("new_hash"))
     j = items.join(new, "item_id", "left")
     hit = F.col("new_hash").isNotNull()
     same = F.coalesce(F.col("content_hash") == F.col("new_hash"), F.lit(False))
+    taken = [F.when(hit, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "description", "type", "noindex")]
     return j.select(
-        "item_id", F.when(hit, F.col("new_title")).otherwise(F.col("title")).alias("title"),
+        "item_id", *taken,
         F.when(hit, F.when(same, F.least(F.col("recrawl_after") * 2, F.lit(4838400))).otherwise(604800)).otherwise(F.col("recrawl_after")).alias("recrawl_after"),
         F.when(hit, F.col("new_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
         F.when(hit, F.lit(now)).otherwise(F.col("crawled_time")).alias("crawled_time"), F.when(hit, 0).otherwise(F.col("priority")).alias("priority"),
+        F.when(~hit, F.col("claimed_until")).alias("claimed_until"),
     )
 
 
-def enqueue(items: DataFrame, requested: DataFrame, now: int, wait: int = 60) -> tuple[DataFrame, DataFrame]:
-    """Items and new requests after interactive requests: priority 255, uncrawled, unclaimed."""
-    ids = requested.select("item_id", F.lit(True).alias("asked")).distinct()
-    j = items.join(ids, "item_id", "left")
-    changed = j.withColumns({"priority": F.when(F.col("asked"), F.greatest("priority", F.lit(255))).otherwise(F.col("priority")), "crawled_time": F.when(F.col("asked").isNull(), F.col("crawled_time")), "claimed_until": F.when(F.col("asked").isNull(), F.col("claimed_until"))}).drop("asked")
-    return changed, ids.select("item_id", F.lit(now + wait).alias("deadline"), F.lit(None).cast("string").alias("failure"))
+def enqueue(items: DataFrame, requested: DataFrame, dead: DataFrame, now: int, wait: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, requests and tombstones after interactive requests (url).
+
+    An item asked for has priority 255, is uncrawled and unclaimed; a URL that no item has becomes
+    a new item (without an id yet); a tombstone of the URL is forgotten.
+    """
+    urls = requested.select(F.left("url", F.lit(767)).alias("url")).distinct()
+    j = items.join(urls.withColumn("asked", F.lit(True)), "url", "full")
+    changed = j.withColumns({"priority": F.when(F.col("asked"), F.greatest(F.coalesce("priority", F.lit(0)), F.lit(255))).otherwise(F.col("priority")), "crawled_time": F.when(F.col("asked").isNull(), F.col("crawled_time")), "claimed_until": F.when(F.col("asked").isNull(), F.col("claimed_until"))}).drop("asked")
+    return changed, urls.select("url", F.lit(now + wait).alias("deadline"), F.lit(None).cast("string").alias("failure")), forget(dead, urls)
+
+
+def forget(dead: DataFrame, urls: DataFrame) -> DataFrame:
+    """Tombstones without those of ``urls``."""
+    return dead.join(urls.select("url").distinct(), "url", "left_anti")
+
+
+def delete(items: DataFrame, links: DataFrame, dead: DataFrame, gone: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, links and tombstones after deletions (item_id, reason: null leaves no tombstone)."""
+    left, edges = cascade_delete(items, links, gone)
+    marks = items.join(gone.where("reason is not null").select("item_id", "reason"), "item_id").select("url", "reason", F.lit(now).cast("long").alias("dead_time"))
+    return left, edges, dead_upsert(dead, marks)
+
+
+def claim(items: DataFrame, hosts: DataFrame, picks: DataFrame, now: int, claim: int = 300, pause: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Items and hosts after picks (item_id, host_id, priority): claimed, and the hosts of ordinary picks reserved."""
+    held = picks.select("item_id", F.lit(True).alias("picked"))
+    own = items.join(held, "item_id", "left").withColumn("claimed_until", F.when(F.col("picked"), F.lit(now + claim)).otherwise(F.col("claimed_until"))).drop("picked")
+    busy = picks.where("priority = 0").select("host_id", F.lit(True).alias("busy")).distinct()
+    return own, hosts.join(busy, "host_id", "left").withColumn("next_crawl", F.when(F.col("busy"), F.lit(now + pause)).otherwise(F.col("next_crawl"))).drop("busy")
+
+
+def fail_requests(items: DataFrame, requests: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """Items and requests after expiry: a request past its deadline fails, its item's priority ends unless another request lives."""
+    over = F.col("failure").isNull() & (F.col("deadline") <= now)
+    alive = requests.where(F.col("failure").isNull() & (F.col("deadline") > now)).select("item_id").distinct()
+    drop = requests.where(over).select("item_id").distinct().join(alive, "item_id", "left_anti").withColumn("drop", F.lit(True))
+    ended = items.join(drop, "item_id", "left").withColumn("priority", F.when(F.col("drop"), 0).otherwise(F.col("priority"))).drop("drop")
+    return ended, requests.withColumn("failure", F.when(over, "expired").otherwise(F.col("failure")))
 
 
 def dead_upsert(dead: DataFrame, batch: DataFrame) -> DataFrame:
@@ -116,3 +222,9 @@ def coalesce_queue(requests: DataFrame) -> DataFrame:
     """Index requests by item: code 1 beats 2 beats 0; the generation counts the requests."""
     code = lambda c: F.coalesce(F.min(F.when(F.col(c) > 0, F.col(c))), F.lit(0)).alias(c)
     return requests.groupBy("item_id").agg(code("sync_item"), code("sync_links"), F.count(F.lit(1)).alias("generation"))
+
+
+def settle_queue(queue: DataFrame, drained: DataFrame) -> DataFrame:
+    """What stays queued after ``drained`` (item_id, generation) was worked on: rows that were asked for again since."""
+    done = drained.select("item_id", F.col("generation").alias("seen"))
+    return queue.join(done, "item_id", "left").where(F.col("seen").isNull() | (F.col("seen") != F.col("generation"))).drop("seen")

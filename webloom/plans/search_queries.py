@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.operators import catalogue, predicates, search
+from webloom.operators import catalogue, mutations, predicates, search
 from webloom.plans.registry import query
 from webloom.plans.views import view, with_views
+from webloom.session import Scratch
+from webloom.streaming import jobs
 
 _FIELDS = (("title", 10), ("description", 3), ("full_text", 1))
 _SEARCHABLE = """idx AS (SELECT * FROM items WHERE crawled_time IS NOT NULL AND noindex = 0
@@ -33,7 +35,10 @@ def _scored(q: str) -> str:
       FROM tf JOIN df USING (g, field) GROUP BY item_id)"""
 
 
-def _pool(q: str, facet: str = "") -> str:
+_PAGES = "WHERE lower(i.type) NOT LIKE 'image/%'"
+
+
+def _pool(q: str, facet: str = _PAGES) -> str:
     return f"pool AS (SELECT i.item_id, i.inc, r.relevance FROM idx i JOIN rel r USING (item_id) {facet} ORDER BY relevance DESC, inc DESC, item_id LIMIT 2000)"
 
 
@@ -43,7 +48,7 @@ def _lm(q: str, only_pool: bool = True) -> str:
     return f"lm AS (SELECT child_id AS item_id, count(DISTINCT domain) AS link_matches FROM edges WHERE external = 1 {inside} AND ({cond}) GROUP BY child_id)"
 
 
-def _page_sql(q: str, facet: str = "", offset: int = 0) -> str:
+def _page_sql(q: str, facet: str = _PAGES, offset: int = 0) -> str:
     word = search.first_search_word(q).lower()
     at = f"strpos(lower(coalesce(i.full_text, '')), '{word}')"
     return with_views(
@@ -56,8 +61,81 @@ def _page_sql(q: str, facet: str = "", offset: int = 0) -> str:
     )
 
 
-def _search(q: str, images: bool | None = None, offset: int = 0):
-    return lambda spark, d: search.search(view(spark, d, "items").where(predicates.searchable()), view(spark, d, "edges"), q, images, offset)
+_BUILT: dict = {}
+
+
+def _index(spark, d, kind):
+    """The written index of a table folder, built on the first use in a session."""
+    at = (spark.sparkContext.applicationId, d, kind)
+    if at not in _BUILT:
+        scratch = Scratch(spark, "index")
+        if kind == "items":
+            index = search.item_index(scratch)
+            index.rebuild(search.indexable(view(spark, d, "items").where(predicates.searchable())))
+        else:
+            index = search.link_index(scratch)
+            index.rebuild(view(spark, d, "edges"))
+        _BUILT[at] = index
+    return _BUILT[at]
+
+
+def _search(q: str, images: bool = False, offset: int = 0):
+    return lambda spark, d: search.search(view(spark, d, "items").where(predicates.searchable()), _index(spark, d, "items"), _index(spark, d, "links"), q, images, offset)
+
+
+@query("search_index", with_views(f""", {_SEARCHABLE}, f AS ({' UNION ALL '.join(f"SELECT item_id, '{f}' AS field, unnest({_toks(f)}) AS term FROM idx" for f, _ in _FIELDS)})
+  SELECT field, term, count(DISTINCT item_id) AS items, count(*) AS occurrences FROM f GROUP BY field, term""", "items"))
+def search_index(spark, d):
+    """What the index holds: items and occurrences of every term of a field."""
+    index = _index(spark, d, "items")
+    held = index._postings().join(index.live().select("item_id", "gen"), ["item_id", "gen"])
+    return held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("positions")).alias("occurrences"))
+
+
+def _synced(spark, d):
+    """Indexes that start stale and are brought up to date by a stream of queued requests."""
+    at = (spark.sparkContext.applicationId, d, "synced")
+    if at not in _BUILT:
+        scratch = Scratch(spark, "sync")
+        items = scratch.save(view(spark, d, "items"), "store-items")
+        edges = scratch.save(view(spark, d, "edges"), "store-edges")
+        own, links = search.item_index(scratch), search.link_index(scratch)
+        stale = items.where(predicates.searchable() & (F.col("item_id") % 4 != 0)).unionByName(items.where("item_id % 9 = 0").withColumn("item_id", -F.col("item_id")))
+        own.rebuild(search.indexable(stale.withColumn("inc", F.lit(0).cast("long"))))
+        links.rebuild(edges.where("child_id % 2 = 0").withColumn("external", 1 - F.col("external")))
+        sync = jobs.IndexSync(own, links, lambda: items.where(predicates.searchable()), lambda: edges)
+        ids = items.select("item_id").unionByName(edges.select(F.col("parent_id").alias("item_id"))).unionByName(own.live().select("item_id")).distinct()
+        asked = ids.select("item_id", F.when(F.col("item_id") % 3 == 0, 1).otherwise(2).alias("sync_item"), F.when(F.col("item_id") % 5 == 0, 1).otherwise(2).alias("sync_links"))
+        asked.repartitionByRange(3, "item_id").write.mode("overwrite").parquet(scratch.path("queue"))
+        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(scratch.path("queue"))
+        sync.run(stream, scratch.path("state")).awaitTermination()
+        _BUILT[at] = (own, links)
+    return _BUILT[at]
+
+
+@query("index_sync_items", with_views(f""", {_SEARCHABLE}, f AS ({' UNION ALL '.join(f"SELECT item_id, unnest({_toks(f)}) AS term FROM idx" for f, _ in _FIELDS)})
+  SELECT i.item_id, i.inc, lower(i.type) LIKE 'image/%' AS image, count(f.term) AS occurrences FROM idx i LEFT JOIN f USING (item_id) GROUP BY ALL""", "items"))
+def index_sync_items(spark, d):
+    """After full, count-only, repaired and delete requests the index equals a rebuild of the store."""
+    index = _synced(spark, d)[0]
+    held = index._postings().groupBy("item_id", "gen").agg(F.sum(F.size("positions")).alias("n"))
+    return index.live().join(held, ["item_id", "gen"], "left").select("item_id", "inc", "image", F.coalesce("n", F.lit(0)).alias("occurrences"))
+
+
+@query("index_sync_links", with_views("SELECT parent_id, child_id, domain, external FROM edges", "edges"))
+def index_sync_links(spark, d):
+    return _synced(spark, d)[1].live().select("parent_id", "child_id", "domain", "external")
+
+
+_QUEUE_NOW = "q AS (SELECT l_partkey AS item_id, count(*) AS generation FROM lineitem GROUP BY 1), s AS (SELECT l_partkey AS item_id, count(*) AS generation FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1)"
+
+
+@query("queue_settle", f"WITH {_QUEUE_NOW} SELECT q.item_id, q.generation FROM q LEFT JOIN s USING (item_id) WHERE s.generation IS NULL OR s.generation <> q.generation")
+def queue_settle(spark, d):
+    """Requests that came while a drained batch was worked on stay in the queue."""
+    line = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("item_id"), "l_linenumber")
+    count = lambda rows: rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("generation"))
+    return mutations.settle_queue(count(line), count(line.where("l_linenumber <= 4")))
 
 
 _Q = "red widget"
@@ -70,12 +148,12 @@ query("search_mixed", _page_sql('"small gear" blue'))(_search('"small gear" blue
 
 @query("content_pool", with_views(f", {_SEARCHABLE}, {_scored(_Q)}, {_pool(_Q)} SELECT * FROM pool", "items"))
 def content_pool(spark, d):
-    return search.content_pool(view(spark, d, "items").where(predicates.searchable()), _Q)
+    return search.content_pool(_index(spark, d, "items"), _Q)
 
 
 @query("external_link_matches", with_views(f", {_lm(_Q, False)} SELECT * FROM lm", "edges"))
 def external_link_matches(spark, d):
-    return search.external_link_matches(view(spark, d, "edges"), _Q)
+    return search.external_link_matches(_index(spark, d, "links"), _Q)
 
 
 _FOCUSED = f""", tf AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT parent_id, child_id, {g} AS g, len({_toks('description')}) AS dl, {_tf(_toks('description'), w)} AS tf FROM edges" for g, w in enumerate(search.groups(_Q)))}) WHERE tf > 0),
@@ -86,12 +164,12 @@ _FOCUSED = f""", tf AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT parent_id, c
 
 @query("focused_candidates", with_views(f"{_FOCUSED} SELECT * FROM foc", "edges"))
 def focused_candidates(spark, d):
-    return search.focused_candidates(view(spark, d, "edges"), _Q, 1000)
+    return search.focused_candidates(_index(spark, d, "links"), _Q, 1000)
 
 
 @query("focused_pick", with_views(f"{_FOCUSED} SELECT f.child_id AS item_id, f.score FROM foc f JOIN items i ON f.child_id = i.item_id WHERE i.crawled_time IS NULL ORDER BY f.score DESC, f.child_id LIMIT 10", "edges", "items"))
 def focused_pick(spark, d):
-    return catalogue.focused_pick(search.focused_candidates(view(spark, d, "edges"), _Q, 1000), view(spark, d, "items"), 10)
+    return catalogue.focused_pick(search.focused_candidates(_index(spark, d, "links"), _Q, 1000), view(spark, d, "items"), 10)
 
 
 @query("edge_enrichment", with_views("SELECT parent_id * 4294967296 + child_id AS id, parent_id, child_id, domain, external, description FROM edges", "edges"))
@@ -111,9 +189,9 @@ def item_by_id(spark, d):
     return items.where((F.col("item_id") == 7) | (F.lower("url") == "https://example.com/p/9")).select("item_id", "url", "title")
 
 
-@query("items_by_keys", with_views("SELECT item_id, url FROM items WHERE item_id IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey < 100)", "items"))
+@query("items_by_keys", with_views("SELECT item_id, url FROM items WHERE item_id IN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount > 0.05)", "items"))
 def items_by_keys(spark, d):
-    keys = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey < 100").select(F.col("l_partkey").alias("item_id"))
+    keys = spark.read.parquet(f"{d}/lineitem.parquet").where("l_discount > 0.05").select(F.col("l_partkey").alias("item_id"))
     return view(spark, d, "items").select("item_id", "url").join(keys, "item_id", "left_semi")
 
 
@@ -144,11 +222,11 @@ def stale_link_revisions(spark, d):
     return catalogue.stale_revisions(part.select(F.col("p_partkey").alias("item_id")), done, 2)
 
 
-_LIVE = "requests AS (SELECT o_orderkey AS request_id, o_orderkey % 500 AS item_id, 820454400 + (o_orderkey * 53) % 240 - 120 AS deadline, CASE WHEN o_orderkey % 9 = 0 THEN 'timeout' END AS failure FROM orders WHERE o_orderkey % 3 = 0)"
+_LIVE = "requests AS (SELECT o_orderkey AS request_id, o_orderkey % 500 AS item_id, 820454400 + (o_orderkey * 53) % 240 - 120 AS deadline, CASE WHEN o_orderkey % 9 = 0 THEN 'timeout' END AS failure FROM orders)"
 
 
 def _requests(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 3 = 0")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     return o.select(F.col("o_orderkey").alias("request_id"), (F.col("o_orderkey") % 500).alias("item_id"), (F.lit(820454400) + (F.col("o_orderkey") * 53) % 240 - 120).alias("deadline"), F.when(F.col("o_orderkey") % 9 == 0, "timeout").alias("failure"))
 
 
@@ -218,9 +296,9 @@ def crawled_last_hour(spark, d):
     return view(spark, d, "requests").where("t >= 1705316400 and t <= 1705320000").agg(F.count(F.lit(1)).alias("crawled"))
 
 
-@query("count_groups", with_views("SELECT inc, count(*) AS n, min(item_id) AS first_id FROM items GROUP BY inc", "items"))
+@query("count_groups", with_views("SELECT inc, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM items GROUP BY inc", "items"))
 def count_groups(spark, d):
-    return view(spark, d, "items").groupBy("inc").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("first_id"))
+    return view(spark, d, "items").groupBy("inc").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("ids"))
 
 
 @query("thumbnail_shard", "SELECT p_partkey AS item_id, lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '/' || lpad(CAST(p_partkey // 100 % 100 AS VARCHAR), 2, '0') || '/' || lpad(CAST(p_partkey // 10000 % 100 AS VARCHAR), 2, '0') AS path FROM part")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from webloom.operators import search
+from webloom.operators.index import SearchIndex
+from webloom.operators.mutations import coalesce_queue
+
 # fixed values: requests a minute
 LIMITS = {"client": 60, "address": 300, "login": 5, "thumb_client": 1000, "thumb_address": 2000}
 
@@ -16,8 +20,9 @@ LIMITS = {"client": 60, "address": 300, "login": 5, "thumb_client": 1000, "thumb
 def rate_limits(requests: DataFrame, limits: dict[str, int], seconds: int = 60, late: str = "180 seconds") -> DataFrame:
     """Requests per bucket, identifier and tumbling window, and whether the limit is passed.
 
-    ``requests`` has ts (timestamp), bucket and identifier. Windows older than ``late`` are
-    let go, and rows that come for them are dropped: feed files in time order where that matters.
+    ``requests`` has ts (timestamp), bucket and identifier. A window comes out once it is older
+    than ``late`` (append mode), its state is let go then, and rows that come for it later are
+    dropped: feed files in time order where that matters.
     """
     table = F.create_map(*(x for k, v in limits.items() for x in (F.lit(k), F.lit(v))))
     timed = requests.withWatermark("ts", late) if requests.isStreaming else requests
@@ -25,48 +30,59 @@ def rate_limits(requests: DataFrame, limits: dict[str, int], seconds: int = 60,
     return counted.select("bucket", "identifier", F.col("w.start").alias("window_start"), "requests", (F.col("requests") > F.coalesce(table[F.col("bucket")], F.lit(2**31 - 1))).alias("over_limit"))
 
 
+def request_budgets(requests: DataFrame, client: int = LIMITS["client"], address: int = LIMITS["address"], seconds: int = 60) -> DataFrame:
+    """Every request with its number in the window of its client and of its address, and the seconds to wait if either budget is passed.
+
+    ``requests``: event_id, client, address, t. Both counters grow with every request, refused ones too.
+    """
+    start = F.floor(F.col("t") / seconds) * seconds
+    nth = lambda c: F.row_number().over(Window.partitionBy(c, "w").orderBy("t", "event_id"))
+    counted = requests.withColumn("w", start).withColumns({"client_n": nth("client"), "address_n": nth("address")})
+    over = (F.col("client_n") > client) | (F.col("address_n") > address)
+    return counted.select("event_id", "client_n", "address_n", F.when(over, F.greatest(F.lit(1), F.col("w") + seconds - F.col("t"))).cast("long").alias("retry_after"))
+
+
 def new_in_feed(items: DataFrame, late: str = "1 hour") -> DataFrame:
     """An append feed in which every item_id shows once (ts: crawl time)."""
     return items.withWatermark("ts", late).dropDuplicatesWithinWatermark(["item_id"])
 
 
 class IndexSync:
-    """Keeps a derived index table equal to a rebuild, from batches of coalesced requests.
+    """Keeps the written indexes equal to a rebuild of the store, from batches of coalesced requests.
 
-    Requests carry item_id, sync_item (1: whole row, 2: count only) and sync_links. A batch
-    rewrites the affected rows from the store; rows that the store lacks go; a count-only
-    request for a row that the index lacks is widened to a whole one. Writing is by versions,
-    and a batch id that was applied already changes nothing, so redelivery is harmless.
+    Requests carry item_id, sync_item (1: whole row, 2: count only) and sync_links (1: all edges of
+    the item, 2: outgoing ones). Rows that the store lacks go; a count-only request for a row that
+    the index lacks is widened to a whole one. The ids of applied batches are files beside the
+    index, so a restarted job knows them; a batch that was cut short is applied again, which changes
+    nothing as rows are replaced by key.
     """
 
-    def __init__(self, scratch, store, columns: list[str]):
-        self.scratch, self.store, self.columns = scratch, store, columns
-        self.version, self.applied, self.index = 0, set(), None
-
-    def rebuild(self) -> DataFrame:
-        return self.store().select("item_id", *self.columns)
+    def __init__(self, items: SearchIndex, links: SearchIndex, store: Callable[[], DataFrame], edges: Callable[[], DataFrame]):
+        self.items, self.links, self.store, self.edges = items, links, store, edges
 
-    def start(self) -> None:
-        self.index = self.scratch.save(self.rebuild().where("false"), "index-0")
+    def _mark(self, batch_id: int):
+        scratch = self.items.scratch
+        path = scratch.spark._jvm.org.apache.hadoop.fs.Path(scratch.path(f"{self.items.name}-applied/{batch_id}"))
+        return path, path.getFileSystem(scratch.spark._jsc.hadoopConfiguration())
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        from webloom.operators.mutations import coalesce_queue
-
-        if batch_id in self.applied:
+        path, fs = self._mark(batch_id)
+        if fs.exists(path):
             return
-        wanted = coalesce_queue(batch).select("item_id", "sync_item")
-        now = self.rebuild().join(wanted.where("sync_item > 0").select("item_id"), "item_id", "left_semi")
-        there = self.index.select("item_id", F.lit(True).alias("there"))
-        coded = now.join(wanted, "item_id").join(there, "item_id", "left")
-        whole = coded.where("sync_item = 1 or there is null").select("item_id", *self.columns)
-        count_only = coded.where("sync_item = 2 and there").select("item_id", F.col("inc").alias("new_inc"))
-        kept = self.index.join(wanted.where("sync_item > 0").select("item_id"), "item_id", "left_anti")
-        counted = self.index.join(count_only, "item_id").withColumn("inc", F.col("new_inc")).select("item_id", *self.columns)
-        self.version += 1
-        self.index = self.scratch.save(kept.unionByName(whole).unionByName(counted), f"index-{self.version}")
-        if self.version > 1:
-            self.scratch.drop(f"index-{self.version - 2}")
-        self.applied.add(batch_id)
+        wanted = coalesce_queue(batch).persist()
+        own = wanted.where("sync_item > 0").select("item_id", "sync_item")
+        there = self.items.live().select("item_id", F.lit(True).alias("there"))
+        coded = search.indexable(self.store()).join(own, "item_id").join(there, "item_id", "left")
+        whole = coded.where("sync_item = 1 or there is null")
+        counts = coded.where("sync_item = 2 and there").select("item_id", "inc")
+        gone = own.join(self.store().select("item_id"), "item_id", "left_anti")
+        self.items.upsert(whole, gone, counts)
+        outgoing = wanted.where("sync_links > 0").select(F.col("item_id").alias("parent_id"))
+        incoming = wanted.where("sync_links = 1").select(F.col("item_id").alias("child_id"))
+        touched = lambda e: e.join(outgoing, "parent_id", "left_semi").unionByName(e.join(incoming, "child_id", "left_semi")).dropDuplicates(["parent_id", "child_id"])
+        self.links.upsert(touched(self.edges()), touched(self.links.live()))
+        wanted.unpersist()
+        fs.create(path, True).close()
 
     def run(self, requests: DataFrame, checkpoint: str):
         return requests.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
