@@ -7,12 +7,12 @@ only if it is the first of its host, as a pick reserves the host.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.operators.predicates import claim_free, failure_backoff, host_ready, next_interval
 
-FRESH, RECRAWL, STALLED = 0, 1, 2
+INTERACTIVE, FOCUSED, FRESH, RECRAWL, STALLED = -2, -1, 0, 1, 2
 
 
 def due(rows: DataFrame) -> DataFrame:
@@ -36,6 +36,11 @@ def stalled(frontier: DataFrame, now: int) -> DataFrame:
     return rows.select("item_id", "host_id", "priority", F.lit(STALLED).alias("class"), F.lit(0).cast("long").alias("k"))
 
 
+def with_hosts(items: DataFrame, hosts: DataFrame, condition: Column) -> DataFrame:
+    """Items that fulfil ``condition`` with their host's columns; the filter runs before the join."""
+    return items.where(condition).join(hosts, "host_id")
+
+
 def pick(candidates: DataFrame, size: int) -> DataFrame:
     return candidates.orderBy("class", "k", "item_id").limit(size)
 
@@ -54,6 +59,21 @@ def batch(frontier: DataFrame, now: int, size: int) -> DataFrame:
     return ready.where("priority > 0").unionByName(ordinary).orderBy("class", "k", "item_id").limit(size)
 
 
+def full_batch(frontier: DataFrame, live: DataFrame, focused: DataFrame, now: int, size: int) -> DataFrame:
+    """The next ``size`` picks over all classes: interactive items (they wait for no host), focused candidates, then the rest.
+
+    ``focused`` has item_id and score; such an item is picked like a fresh one whose host is ready,
+    the best score first. An item stands in its best class only.
+    """
+    asked = interactive(frontier, live, now, 2**31 - 1).join(frontier.select("item_id", "priority"), "item_id").select("item_id", "host_id", "priority", F.lit(INTERACTIVE).alias("class"), F.col("item_id").cast("long").alias("k"))
+    best = fresh(frontier, now).drop("class", "k").join(focused.select("item_id", "score"), "item_id").select("item_id", "host_id", "priority", F.lit(FOCUSED).alias("class"), (-F.col("score")).cast("long").alias("k"))
+    ready = asked.unionByName(best).unionByName(fresh(frontier, now)).unionByName(recrawl(frontier, now)).unionByName(stalled(frontier, now))
+    ready = ready.groupBy("item_id", "host_id", "priority").agg(F.min(F.struct("class", "k")).alias("o")).select("item_id", "host_id", "priority", "o.class", "o.k")
+    first = Window.partitionBy("host_id").orderBy("class", "k", "item_id")
+    ordinary = ready.where("priority = 0").withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
+    return ready.where("priority > 0").unionByName(ordinary).orderBy("class", "k", "item_id").limit(size)
+
+
 def backoff(events: DataFrame) -> DataFrame:
     """host_id, t, ok -> consecutive failures and the pause after each event (gaps and islands)."""
     order = Window.partitionBy("host_id").orderBy("t", "event_id")

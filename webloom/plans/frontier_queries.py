@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.functions import text
+from webloom.functions import text, urls
 from webloom.operators import frontier, mutations, predicates
 from webloom.plans.registry import query
 from webloom.plans.views import NOW, view, with_views
@@ -80,12 +80,12 @@ def rate_retry_after(spark, d):
     return view(spark, d, "requests").select("event_id", predicates.retry_after(F.col("t")).alias("retry_after"))
 
 
-_QUEUE = "q AS (SELECT l_partkey AS item_id, l_linenumber % 3 AS sync_item, CAST(l_suppkey % 3 AS INT) AS sync_links FROM lineitem WHERE l_orderkey % 4 = 0)"
+_QUEUE = "q AS (SELECT l_partkey AS item_id, l_linenumber % 3 AS sync_item, CAST(l_suppkey % 3 AS INT) AS sync_links FROM lineitem)"
 _COALESCED = f"WITH {_QUEUE} SELECT item_id, coalesce(min(nullif(sync_item, 0)), 0) AS sync_item, coalesce(min(nullif(sync_links, 0)), 0) AS sync_links, count(*) AS generation FROM q GROUP BY item_id"
 
 
 def _queue(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select(F.col("l_partkey").alias("item_id"), (F.col("l_linenumber") % 3).alias("sync_item"), (F.col("l_suppkey") % 3).cast("int").alias("sync_links"))
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), (F.col("l_linenumber") % 3).alias("sync_item"), (F.col("l_suppkey") % 3).cast("int").alias("sync_links"))
 
 
 query("queue_coalesce", _COALESCED)(lambda spark, d: mutations.coalesce_queue(_queue(spark, d)))
@@ -100,11 +100,11 @@ def pending_cap(spark, d):
     return mutations.admit(batch, batch.where("position % 10 = 0"), pending, batch.where("false"))
 
 
-@query("host_upsert", "SELECT s_name AS host, CASE WHEN n IS NULL THEN CAST(s_nationkey AS VARCHAR) ELSE 'new' END AS domain, CAST(s_suppkey + coalesce(n, 0) AS BIGINT) AS inc FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1) ON l_suppkey = s_suppkey")
+@query("host_upsert", "SELECT s_name AS host, CASE WHEN n IS NULL THEN CAST(s_nationkey AS VARCHAR) ELSE 'new' END AS domain, CAST(s_suppkey + coalesce(n, 0) AS BIGINT) AS inc FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 6 AND l_suppkey % 3 <> 0 GROUP BY 1) ON l_suppkey = s_suppkey")
 def host_upsert(spark, d):
     s = table(spark, d, "supplier")
     hosts = s.select(F.col("s_name").alias("host"), F.col("s_nationkey").cast("string").alias("domain"), F.col("s_suppkey").alias("inc"))
-    batch = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_name").alias("host"), F.lit("new").alias("domain"), F.lit(1).alias("n"))
+    batch = table(spark, d, "lineitem").where("l_linenumber <= 6 and l_suppkey % 3 <> 0").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_name").alias("host"), F.lit("new").alias("domain"), F.lit(1).alias("n"))
     return mutations.upsert_hosts(hosts, batch)
 
 
@@ -132,28 +132,167 @@ def cascade_delete(spark, d):
     return mutations.cascade_delete(items, view(spark, d, "links"), table(spark, d, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("item_id")))[1].select("parent_id", "child_id")
 
 
-@query("redirect_merge", with_views("SELECT p AS parent_id, c AS child_id, min(description) AS description FROM (SELECT CASE WHEN parent_id % 10 = 3 THEN parent_id - 1 ELSE parent_id END AS p, CASE WHEN child_id % 10 = 3 THEN child_id - 1 ELSE child_id END AS c, description FROM links) WHERE p <> c GROUP BY 1, 2", "links"))
+_CHAIN = "CASE {0} % 10 WHEN 3 THEN {0} - 1 WHEN 4 THEN {0} - 2 WHEN 5 THEN {0} - 3 ELSE {0} END"
+
+
+@query("redirect_merge", with_views(f", m AS (SELECT {_CHAIN.format('parent_id')} AS p, {_CHAIN.format('child_id')} AS c, parent_id, child_id, description FROM links) SELECT p AS parent_id, c AS child_id, coalesce(min(description) FILTER (WHERE p = parent_id AND c = child_id), min(description)) AS description FROM m WHERE p <> c GROUP BY 1, 2", "links"))
 def redirect_merge(spark, d):
-    old = view(spark, d, "links").select(F.explode(F.array("parent_id", "child_id")).alias("old_id")).distinct().where("old_id % 10 = 3")
-    return mutations.merge_links(view(spark, d, "links"), old.withColumn("new_id", F.col("old_id") - 1))
+    """Links after merges along chains: ids that end in 5, 4 and 3 redirect to the one before."""
+    links = view(spark, d, "links")
+    last = F.greatest(*(F.lit(r[0]) for r in links.agg(F.greatest(F.max("parent_id"), F.max("child_id"))).collect()), F.lit(0))
+    old = spark.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("old_id")).where("old_id % 10 in (3, 4, 5)")
+    return mutations.merge_links(links, mutations.last_survivors(old.withColumn("new_id", F.col("old_id") - 1)))
+
+
+_REDIRECTS = """o AS (SELECT o_orderkey AS item_id, 'u' || o_orderkey AS url, o_custkey AS host_id, CASE WHEN o_orderkey % 3 = 0 THEN 255 ELSE 0 END AS priority FROM orders),
+  r AS (SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 8 = 1 THEN 'u' || (o_orderkey - 1) ELSE 'new' || (o_orderkey // 64) END AS new_url FROM orders WHERE o_orderkey % 8 IN (1, 2)),
+  f AS (SELECT new_url, min(item_id) AS first FROM r GROUP BY 1),
+  w AS (SELECT r.item_id, r.new_url, coalesce(o.item_id, f.first) AS owner FROM r JOIN f USING (new_url) LEFT JOIN o ON o.url = r.new_url),
+  g AS (SELECT item_id AS old_id, owner AS new_id FROM w WHERE owner <> item_id)"""
+
+
+def _redirected(spark, d):
+    """Every eighth item redirects to the one before (or to a free URL, where there is none), every next one to a URL that many share."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    items = o.select(k.alias("item_id"), F.concat(F.lit("u"), k).alias("url"), F.col("o_custkey").alias("host_id"), F.when(k % 3 == 0, 255).otherwise(0).alias("priority"))
+    to = o.where((k % 8).isin(1, 2)).select(k.alias("item_id"), F.when(k % 8 == 1, F.concat(F.lit("u"), k - 1)).otherwise(F.concat(F.lit("new"), F.floor(k / 64))).alias("new_url"), F.lit(-1).cast("long").alias("new_host_id"))
+    requests = o.select((k + 7).alias("request_id"), k.alias("item_id"))
+    aliases = o.where(k % 5 == 0).select((-k).alias("source_id"), k.alias("target_id"))
+    return mutations.redirect(mutations.Catalogue(items, view(spark, d, "links"), requests, aliases, o.select(F.concat(F.lit("u"), k - 1).alias("url"))), to)
+
+
+@query("redirect_items", f"WITH {_REDIRECTS}, p AS (SELECT g.new_id AS item_id, max(o.priority) AS raised FROM g JOIN o ON o.item_id = g.old_id GROUP BY 1) SELECT o.item_id, coalesce(w.new_url, o.url) AS url, CASE WHEN w.item_id IS NULL THEN o.host_id ELSE -1 END AS host_id, greatest(o.priority, coalesce(p.raised, 0)) AS priority FROM o LEFT JOIN w ON w.item_id = o.item_id AND w.owner = o.item_id LEFT JOIN p ON p.item_id = o.item_id WHERE o.item_id NOT IN (SELECT old_id FROM g)")
+def redirect_items(spark, d):
+    return _redirected(spark, d).items
+
+
+@query("redirect_requests", f"WITH {_REDIRECTS} SELECT o_orderkey + 7 AS request_id, coalesce(g.new_id, o_orderkey) AS item_id FROM orders LEFT JOIN g ON g.old_id = o_orderkey")
+def redirect_requests(spark, d):
+    return _redirected(spark, d).requests
+
 
+@query("redirect_aliases", f"WITH {_REDIRECTS} SELECT -o_orderkey AS source_id, coalesce(g.new_id, o_orderkey) AS target_id FROM orders LEFT JOIN g ON g.old_id = o_orderkey WHERE o_orderkey % 5 = 0 UNION ALL SELECT g.old_id, g.new_id FROM g JOIN o ON o.item_id = g.old_id WHERE o.priority = 255")
+def redirect_aliases(spark, d):
+    return _redirected(spark, d).aliases
 
-@query("url_merge_plan", with_views(", g AS (SELECT *, coalesce(lower(title), '') AS key FROM items) SELECT item_id, first_value(item_id) OVER (PARTITION BY key ORDER BY (crawled_time IS NULL), item_id) AS survivor, count(*) OVER (PARTITION BY key) AS n FROM g", "items"))
+
+@query("redirect_dead", f"WITH {_REDIRECTS} SELECT 'u' || (o_orderkey - 1) AS url FROM orders WHERE 'u' || (o_orderkey - 1) NOT IN (SELECT new_url FROM r)")
+def redirect_dead(spark, d):
+    return _redirected(spark, d).dead
+
+
+@query("url_merge_plan", with_views(", g AS (SELECT *, 'https://example.com/p/' || (item_id // 3) AS key FROM items) SELECT item_id, first_value(item_id) OVER (PARTITION BY key ORDER BY (crawled_time IS NULL), item_id) AS survivor, count(*) OVER (PARTITION BY key) AS n FROM g", "items"))
 def url_merge_plan(spark, d):
-    return mutations.merge_plan(view(spark, d, "items").withColumn("key", F.coalesce(F.lower("title"), F.lit(""))), "key")
+    """Items whose URLs have one canonical form: spellings of the same address by threes."""
+    n = F.col("item_id") % 3
+    spelt = F.concat(F.when(n == 0, "HTTPS://Example.com:443").when(n == 1, "http://example.com").otherwise("https://x@example.com"), F.lit("/p/"), F.floor(F.col("item_id") / 3), F.when(n == 2, "?utm_source=a#b").otherwise(""))
+    return mutations.merge_plan(view(spark, d, "items").withColumn("key", urls.canonical_url(spelt)), "key")
+
 
+@query("url_merge_links", with_views(", s AS (SELECT item_id, first_value(item_id) OVER (PARTITION BY item_id // 3 ORDER BY (crawled_time IS NULL), item_id) AS survivor FROM items), m AS (SELECT l.parent_id, coalesce(s.survivor, l.child_id) AS c, l.child_id, l.description FROM links l LEFT JOIN s ON s.item_id = l.child_id) SELECT parent_id, c AS child_id, coalesce(min(description) FILTER (WHERE c = child_id), min(description)) AS description FROM m WHERE parent_id <> c GROUP BY 1, 2", "items", "links"))
+def url_merge_links(spark, d):
+    """The plan applied to the children of links."""
+    plan = url_merge_plan(spark, d).where("survivor <> item_id").select(F.col("item_id").alias("child_id"), F.col("survivor").alias("to"))
+    links = view(spark, d, "links").join(plan, "child_id", "left")
+    moved = links.select("parent_id", F.coalesce("to", "child_id").alias("child_id"), F.col("to").isNotNull().alias("new"), "description").where("parent_id <> child_id")
+    return moved.groupBy("parent_id", "child_id").agg(F.min(F.struct("new", "description"))["description"].alias("description"))
 
-@query("mark_crawled", "SELECT p_partkey AS item_id, CASE WHEN hit THEN 'crawled' ELSE p_name END AS title, CASE WHEN hit THEN CASE WHEN p_partkey % 2 = 0 THEN least(p_partkey * 10000 * 2, 4838400) ELSE 604800 END ELSE p_partkey * 10000 END AS recrawl_after, CASE WHEN hit OR p_partkey % 2 = 0 THEN sha1(p_brand) ELSE 'x' END AS content_hash, CASE WHEN hit THEN 820454400 END AS crawled_time, CASE WHEN hit THEN 0 ELSE 255 END AS priority FROM (SELECT *, p_partkey % 3 = 0 AS hit FROM part)")
+
+@query("mark_crawled", "SELECT p_partkey AS item_id, CASE WHEN hit THEN 'crawled' ELSE p_name END AS title, CASE WHEN hit THEN left(repeat(p_type, 2000), 16000) END AS description, CASE WHEN hit THEN 'text/html' END AS type, CASE WHEN hit THEN p_partkey % 2 END AS noindex, CASE WHEN hit THEN CASE WHEN p_partkey % 2 = 0 THEN least(p_partkey * 10000 * 2, 4838400) ELSE 604800 END ELSE p_partkey * 10000 END AS recrawl_after, CASE WHEN hit OR p_partkey % 2 = 0 THEN sha1(p_brand) ELSE 'x' END AS content_hash, CASE WHEN hit THEN 820454400 END AS crawled_time, CASE WHEN hit THEN 0 ELSE 255 END AS priority, CASE WHEN NOT hit THEN 7 END AS claimed_until FROM (SELECT *, p_partkey % 3 = 0 AS hit FROM part)")
 def mark_crawled(spark, d):
     part = table(spark, d, "part")
-    items = part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), (F.col("p_partkey") * 10000).alias("recrawl_after"), F.when(F.col("p_partkey") % 2 == 0, F.sha1(F.col("p_brand").cast("binary"))).otherwise("x").alias("content_hash"), F.lit(None).cast("int").alias("crawled_time"), F.lit(255).alias("priority"))
-    return mutations.mark_crawled(items, part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("item_id"), F.lit("crawled").alias("title"), F.col("p_brand").alias("full_text")), NOW)
+    blank = {"description": "string", "type": "string", "noindex": "long", "crawled_time": "int"}
+    items = part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), (F.col("p_partkey") * 10000).alias("recrawl_after"), F.when(F.col("p_partkey") % 2 == 0, F.sha1(F.col("p_brand").cast("binary"))).otherwise("x").alias("content_hash"), F.lit(255).alias("priority"), F.lit(7).alias("claimed_until"), *(F.lit(None).cast(t).alias(c) for c, t in blank.items()))
+    crawls = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("item_id"), F.lit("crawled").alias("title"), F.repeat("p_type", F.lit(2000)).alias("description"), F.col("p_brand").alias("full_text"), F.lit("text/html").alias("type"), (F.col("p_partkey") % 2).alias("noindex"))
+    return mutations.mark_crawled(items, crawls, NOW)
+
+
+_CLASSES = f"""z AS (SELECT item_id, host_id, priority, -2 AS class, CAST(item_id AS BIGINT) AS k FROM frontier WHERE priority > 0 AND crawled_time IS NULL AND (claimed_until IS NULL OR claimed_until <= {NOW}) AND item_id % 4 = 0
+  UNION ALL SELECT item_id, host_id, priority, -1, -(item_id % 1000) FROM ({_FRESH}) WHERE item_id % 7 = 0 UNION ALL {_FRESH} UNION ALL {_RECRAWL} UNION ALL {_STALLED}),
+  y AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY class, k) AS b FROM z), x AS (SELECT item_id, host_id, priority, class, k, CASE WHEN priority = 0 THEN row_number() OVER (PARTITION BY host_id, priority > 0 ORDER BY class, k, item_id) ELSE 1 END AS r FROM y WHERE b = 1)"""
+
+
+def _full(spark, d):
+    f = view(spark, d, "frontier")
+    focused = f.where("item_id % 7 = 0").select("item_id", (F.col("item_id") % 1000).alias("score"))
+    return f, frontier.full_batch(f, f.where("item_id % 4 = 0"), focused, NOW, 400)
+
+
+_FULL = f", {_CLASSES}, picks AS (SELECT item_id, host_id, priority, class, k FROM x WHERE r = 1 ORDER BY class, k, item_id LIMIT 400)"
+
+
+@query("full_batch", with_views(f"{_FULL} SELECT * FROM picks", "frontier"))
+def full_batch(spark, d):
+    """Interactive, focused, fresh, recrawl and stalled picks in one order."""
+    return _full(spark, d)[1]
+
+
+@query("claim_items", with_views(f"{_FULL} SELECT item_id, CASE WHEN item_id IN (SELECT item_id FROM picks) THEN {NOW} + 300 ELSE claimed_until END AS claimed_until FROM frontier", "frontier"))
+def claim_items(spark, d):
+    """Claims that the picks leave behind."""
+    f, picks = _full(spark, d)
+    hosts = f.select("host_id", "next_crawl").distinct()
+    return mutations.claim(f.select("item_id", "claimed_until"), hosts, picks, NOW)[0]
+
+
+@query("reserve_hosts", with_views(f"{_FULL} SELECT DISTINCT host_id, CASE WHEN host_id IN (SELECT host_id FROM picks WHERE priority = 0) THEN {NOW} + 60 ELSE next_crawl END AS next_crawl FROM frontier", "frontier"))
+def reserve_hosts(spark, d):
+    f, picks = _full(spark, d)
+    return mutations.claim(f.select("item_id", "claimed_until"), f.select("host_id", "next_crawl").distinct(), picks, NOW)[1]
+
+
+@query("stalled_join", with_views(f", h AS (SELECT DISTINCT host_id, next_crawl FROM frontier) SELECT f.item_id, h.host_id FROM h JOIN frontier f ON f.host_id = h.host_id AND f.crawled_time IS NULL AND f.claimed_until <= {NOW} WHERE f.priority > 0 OR h.next_crawl IS NULL OR h.next_crawl <= {NOW}", "frontier"))
+def stalled_join(spark, d):
+    """Items meet a host table of their own; the claim is part of the join."""
+    f = view(spark, d, "frontier")
+    items, hosts = f.drop("next_crawl"), f.select("host_id", "next_crawl").distinct()
+    return frontier.with_hosts(items, hosts, F.col("crawled_time").isNull() & (F.col("claimed_until") <= NOW)).where(predicates.host_ready(NOW)).select("item_id", "host_id")
+
+
+@query("expire_items", f"SELECT p_partkey AS item_id, CASE WHEN e.item_id IS NOT NULL AND l.item_id IS NULL THEN 0 ELSE 255 END AS priority FROM part LEFT JOIN (SELECT DISTINCT o_orderkey % 700 AS item_id FROM orders WHERE o_orderkey % 9 <> 0 AND (o_orderkey * 53) % 240 - 120 <= 0) e ON e.item_id = p_partkey LEFT JOIN (SELECT DISTINCT o_orderkey % 700 AS item_id FROM orders WHERE o_orderkey % 9 <> 0 AND (o_orderkey * 53) % 240 - 120 > 118) l ON l.item_id = p_partkey".replace("> 118)", "> 0)"))
+def expire_items(spark, d):
+    k = F.col("o_orderkey")
+    requests = table(spark, d, "orders").select(k.alias("request_id"), (k % 700).alias("item_id"), (F.lit(NOW) + (k * 53) % 240 - 120).alias("deadline"), F.when(k % 9 == 0, "timeout").alias("failure"))
+    items = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.lit(255).alias("priority"))
+    return mutations.fail_requests(items, requests, NOW)[0]
+
+
+@query("delete_with_tombstones", f"SELECT 'u' || p_partkey AS url, CASE WHEN p_partkey % 14 = 0 THEN 'gone' ELSE 'old' END AS reason, CASE WHEN p_partkey % 14 = 0 THEN {NOW} ELSE p_partkey END AS dead_time FROM part WHERE p_partkey % 14 = 0 OR p_partkey % 5 = 0")
+def delete_with_tombstones(spark, d):
+    part = table(spark, d, "part")
+    k = F.col("p_partkey")
+    items = part.select(k.alias("item_id"), F.concat(F.lit("u"), k).alias("url"))
+    dead = part.where(k % 5 == 0).select(F.concat(F.lit("u"), k).alias("url"), F.lit("old").alias("reason"), k.cast("long").alias("dead_time"))
+    return mutations.delete(items, view(spark, d, "links"), dead, part.where(k % 7 == 0).select(k.alias("item_id"), F.when(k % 2 == 0, "gone").alias("reason")), NOW)[2]
+
 
+@query("domain_backfill", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'kept' ELSE 'b' || (s_suppkey % 7) || '.co.uk' END AS domain FROM supplier")
+def domain_backfill(spark, d):
+    """Hosts without a domain get their registrable one; each host name is worked out once."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("www.b"), F.col("s_suppkey") % 7, F.lit(".co.uk")).alias("host"), F.when(F.col("s_suppkey") % 2 == 0, "kept").alias("domain"))
+    known = urls.registrable_domains(s.where("domain is null"), "host", spark.createDataFrame([(r,) for r in urls.SUFFIXES], "rule string")).withColumnRenamed("domain", "found")
+    return s.join(known, "host", "left").select("s_suppkey", F.coalesce("domain", "found").alias("domain"))
 
-@query("interactive_enqueue", with_views("SELECT item_id, CASE WHEN item_id % 6 = 0 THEN 255 ELSE priority END AS priority, CASE WHEN item_id % 6 <> 0 THEN crawled_time END AS crawled_time, CASE WHEN item_id % 6 <> 0 THEN claimed_until END AS claimed_until FROM frontier", "frontier"))
+
+_ENQUEUE = "FROM (SELECT 'u' || o_orderkey AS url, * FROM orders) FULL JOIN (SELECT DISTINCT 'u' || (o_orderkey + 3) AS asked FROM orders WHERE o_orderkey % 6 = 0) ON url = asked"
+
+
+def _enqueued(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("url", F.concat(F.lit("u"), k))
+    items = o.select("url", k.alias("item_id"), F.when(F.col("o_orderpriority") == "1-URGENT", 255).otherwise(0).alias("priority"), k.alias("crawled_time"), k.alias("claimed_until"))
+    return mutations.enqueue(items, o.where(k % 6 == 0).select(F.concat(F.lit("u"), k + 3).alias("url")), o.select("url"), NOW)
+
+
+@query("interactive_enqueue", f"SELECT coalesce(url, asked) AS url, o_orderkey AS item_id, CASE WHEN asked IS NOT NULL OR o_orderpriority = '1-URGENT' THEN 255 ELSE 0 END AS priority, CASE WHEN asked IS NULL THEN o_orderkey END AS crawled_time, CASE WHEN asked IS NULL THEN o_orderkey END AS claimed_until {_ENQUEUE}")
 def interactive_enqueue(spark, d):
-    f = view(spark, d, "frontier").select("item_id", "priority", "crawled_time", "claimed_until")
-    return mutations.enqueue(f, f.where("item_id % 6 = 0"), NOW)[0]
+    return _enqueued(spark, d)[0]
+
+
+@query("enqueue_forgets", f"SELECT url {_ENQUEUE} WHERE asked IS NULL")
+def enqueue_forgets(spark, d):
+    return _enqueued(spark, d)[2]
 
 
 _DEAD = "SELECT 'u' || (o_custkey % 700) AS url, arg_max(o_orderpriority, o_orderkey) AS reason, max(o_orderkey) AS dead_time FROM orders GROUP BY 1"
@@ -195,16 +334,19 @@ def retrieval_state(spark, d):
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 
 
-@query("term_cap", f"""WITH w AS (SELECT doc_id, l.i AS line, p.i AS place, split(split(text, chr(10))[l.i], ' ')[p.i] AS word FROM documents, LATERAL (SELECT unnest(range(1, len(split(text, chr(10))) + 1)) AS i) l, LATERAL (SELECT unnest(range(1, len(split(split(text, chr(10))[l.i], ' ')) + 1)) AS i) p),
+_CAPPED = f"""WITH w AS (SELECT doc_id, l.i AS line, p.i AS place, split(split(text, chr(10))[l.i], ' ')[p.i] AS word FROM documents, LATERAL (SELECT unnest(range(1, len(split(text, chr(10))) + 1)) AS i) l, LATERAL (SELECT unnest(range(1, len(split(split(text, chr(10))[l.i], ' ')) + 1)) AS i) p),
   s AS (SELECT doc_id, line, place, regexp_split_to_array(lower(word), '[^\\p{{L}}\\p{{N}}]+') AS ts FROM w),
   t AS (SELECT doc_id, line, place, j.i AS sub, ts[j.i] AS term FROM s, LATERAL (SELECT unnest(range(1, len(ts) + 1)) AS i) j WHERE len(ts[j.i]) >= 3 AND ts[j.i] NOT IN ({_STOP})),
   n AS (SELECT doc_id, line, place, row_number() OVER (PARTITION BY doc_id, term ORDER BY line, place, sub) AS nth FROM t),
   o AS (SELECT DISTINCT doc_id, line, place FROM n WHERE nth > 50),
   k AS (SELECT w.* FROM w ANTI JOIN o USING (doc_id, line, place)),
-  l AS (SELECT w.doc_id, w.line, coalesce(max(x.content), '') AS content FROM (SELECT DISTINCT doc_id, line FROM w) w LEFT JOIN (SELECT doc_id, line, string_agg(word, ' ' ORDER BY place) AS content FROM k GROUP BY 1, 2) x USING (doc_id, line) GROUP BY 1, 2)
-  SELECT doc_id, md5(string_agg(content, chr(10) ORDER BY line)) AS capped FROM l GROUP BY doc_id""")
+  l AS (SELECT w.doc_id, w.line, coalesce(max(x.content), '') AS content FROM (SELECT DISTINCT doc_id, line FROM w) w LEFT JOIN (SELECT doc_id, line, string_agg(word, ' ' ORDER BY place) AS content FROM k GROUP BY 1, 2) x USING (doc_id, line) GROUP BY 1, 2),
+  c AS (SELECT doc_id, string_agg(content, chr(10) ORDER BY line) AS capped FROM l GROUP BY doc_id)"""
+
+
+@query("term_cap", f"{_CAPPED} SELECT doc_id, md5(capped) AS capped FROM c")
 def term_cap(spark, d):
-    return text.cap_repeated_terms(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", F.md5(F.col("text").cast("binary")).alias("capped"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.capped(F.col("text")).cast("binary")).alias("capped"))
 
 
 @query("whitespace", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\t\x0B\f\r ]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(11))) AS clean FROM documents")
@@ -226,9 +368,16 @@ def snippet(spark, d):
     return table(spark, d, "documents").select("doc_id", at.alias("at"), cut.alias("snippet"))
 
 
-@query("display_text")
+_SHOWN = r"""WITH a AS (SELECT doc_id, text, strpos(lower(text), 'tion') AS place FROM documents), s AS (SELECT doc_id, place, CASE WHEN place > 0 THEN substring(text, greatest(1, place - 150), 400) END AS cut, text FROM a),
+  r AS (SELECT *, CASE WHEN cut IS NULL THEN text WHEN place > 151 AND strpos(cut, ' ') BETWEEN 1 AND 30 THEN substring(cut, strpos(cut, ' ') + 1) ELSE cut END AS rest, CASE WHEN cut IS NULL THEN 500 ELSE 380 END AS n FROM s),
+  t AS (SELECT *, regexp_replace(left(rest, n), '[ \t\n\r\x00\x0B]+$', '') AS c FROM r),
+  p AS (SELECT *, CASE WHEN strpos(c, ' ') > 0 THEN length(c) - strpos(reverse(c), ' ') ELSE -1 END AS last FROM t)
+  SELECT doc_id, CASE WHEN cut IS NOT NULL AND place > 151 THEN '…' ELSE '' END || CASE WHEN length(rest) <= n THEN rest WHEN last > CAST(n * 0.8 AS INT) THEN regexp_replace(left(c, CAST(last AS INT)), '[ \t\n\r\x00\x0B]+$', '') || '…' ELSE c || '…' END AS shown FROM p"""
+
+
+@query("display_text", _SHOWN)
 def display_text(spark, d):
-    at, cut = text.snippet(F.col("text"), "worthless")
+    at, cut = text.snippet(F.col("text"), "tion")
     return table(spark, d, "documents").select("doc_id", text.display_text(F.col("text"), cut, at).alias("shown"))
 
 
@@ -237,9 +386,10 @@ def highlight(spark, d):
     return table(spark, d, "part").select("p_partkey", text.highlight(F.col("p_name"), "red widget of").alias("marked"))
 
 
-@query("content_hash", "SELECT doc_id, sha1(coalesce(text, '')) AS hash FROM documents")
+@query("content_hash", f"{_CAPPED} SELECT d.doc_id, sha1(coalesce(c.capped, '')) AS hash FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id")
 def content_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
+    """The hash of the text as it is stored: capped."""
+    return table(spark, d, "documents").select("doc_id", text.content_hash(text.capped(F.col("text"))).alias("hash"))
 
 
 @query("content_type", "SELECT p_partkey, lower(trim(split_part(h, ';', 1))) AS kind, nullif(regexp_extract(h, 'charset\\s*=\\s*\"?([^\";]+)\"?', 1, 'i'), '') AS charset FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ' Text/HTML ; Charset=\"utf-8\"' WHEN p_partkey % 3 = 1 THEN 'image/' || p_type ELSE 'text/plain;charset=ISO-8859-1' END AS h FROM part)")
