@@ -9,12 +9,14 @@ asymmetric distance tables; the best ``RERANK`` are scored exactly in double pre
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids: no further copy can be
 among the k nearest, since equal scores go to the smaller id. Lists are searched in blocks of
-about ``BLOCK`` vectors, small lists together, so a crowded list is many pieces of work.
-
-Cases: null vectors, zero vectors, vectors with null or non-finite components and vectors of
-another length than most take no part; rows with a null id take no part; repeated rows are one
-candidate; a query never finds its own id; fewer than k candidates -> all of them; an empty
-table gives an empty result.
+about ``BLOCK`` vectors, small lists together; a crowded list is many pieces, many queries of a
+piece are dealt out in slices, and no task holds more than a piece and one sheet of queries.
+
+Cases: null vectors, zero vectors and vectors with null or non-finite components take no part;
+rows with a null id take no part; shorter vectors count as if zeros followed; rows of one id are
+one candidate with its largest score, and one query with the smallest of its vectors (compared
+component by component); a query never finds its own id; fewer than k candidates -> all of them;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ CODES = 256
 RERANK = 300
 BLOCK = 8_192
 QUERY_BLOCK = 256
+#: Sheets of queries that meet a piece in one task.
+SHEETS_AT_ONCE = 64
 
 
 @dataclass
@@ -120,13 +124,14 @@ def encode(q: Quantiser, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id, v (array<double>) of the rows that take part."""
+    """id, v (array<double>, all of the longest length) of the rows that take part."""
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(key).alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    usual = sizes.agg(F.max(F.struct("n", "d")).alias("x")).select("x.d").first()[0]
-    return rows.where(F.size("v") == F.lit(usual if usual is not None else -1))
+    ends = rows.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if ends[0] == ends[1]:
+        return rows
+    return rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(ends[1]) - F.size("v"))))
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -157,10 +162,17 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     sizes = np.zeros(len(shared.value.centroids), np.int64)
     for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per list: at most LISTS_MOST
         sizes[r["list"]] = r["n"]
-    piece = F.pmod(F.xxhash64("head"), F.lit(int(-(-sizes.max() // BLOCK)))).cast("int")
     shards = ((np.cumsum(sizes) - sizes) // BLOCK).astype(np.int32)
+    pieces = np.maximum(1, -(-sizes // BLOCK)).astype(np.int32)
+    of_shard = np.ones(int(shards.max()) + 1, np.int32)
+    np.maximum.at(of_shard, shards, pieces)
     shard = F.element_at(F.lit(shards.tolist()), F.col("list") + 1)
+    piece = F.pmod(F.xxhash64("head"), F.element_at(F.lit(pieces.tolist()), F.col("list") + 1)).cast("int")
+    asked = scratch.save(rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    sheets = max(1, -(-asked.count() // QUERY_BLOCK))
+    slices = -(-sheets // SHEETS_AT_ONCE)
     blocks = indexed.withColumns({"piece": piece, "shard": shard}).groupBy("shard", "piece").agg(F.collect_list(F.struct("head", "list", "code")).alias("m"))
+    blocks = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
@@ -173,10 +185,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
             lists = pa.array(number.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(who)), lists, batch.column("v").take(pa.array(who))], ["query_id", "shard", "v"])
 
-    asked = rows.where(is_query(F.col("id"))).dropDuplicates(["id"])
     probes = asked.mapInArrow(probe, f"query_id {id_type}, shard int, v array<double>")
-    sheets = max(1, -(-rows.count() // (20 * QUERY_BLOCK)))
-    grouped = probes.withColumn("sheet", F.pmod(F.xxhash64("query_id"), F.lit(sheets))).groupBy("shard", "sheet").agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
+    grouped = probes.withColumn("sheet", F.pmod(F.xxhash64("query_id"), F.lit(sheets)).cast("int")).groupBy("shard", "sheet").agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
+    grouped = grouped.withColumns({"slice": F.col("sheet") % slices, "piece": F.explode(F.sequence(F.lit(0), F.element_at(F.lit(of_shard.tolist()), F.col("shard") + 1) - 1))})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = shared.value
@@ -199,11 +210,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
                 fine = np.flatnonzero(top > -np.inf)
                 yield pa.RecordBatch.from_arrays([asked_.field("query_id").take(pa.array(fine // keep)), heads_.take(pa.array(best.ravel()[fine])), pa.array(top[fine])], ["query_id", "head", "near"])
 
-    found = grouped.join(blocks, "shard").select("q", "m").mapInArrow(scan, f"query_id {id_type}, head {id_type}, near double")
+    found = grouped.join(blocks, ["shard", "piece", "slice"]).select("q", "m").mapInArrow(scan, f"query_id {id_type}, head {id_type}, near double")
     line = Window.partitionBy("query_id").orderBy(F.desc("near"), "head")
     best = found.withColumn("r", F.row_number().over(line)).where(F.col("r") <= RERANK).select("query_id", "head")
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     scored = best.join(heads, "head").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id").select("query_id", "head", product.alias("score"))
     of = copies.select("id", "e1", "e2").join(copies.where("r = 1").select(F.col("id").alias("head"), "e1", "e2"), ["e1", "e2"]).select("head", F.col("id").alias("vec_id"))
-    ranked = scored.join(of, "head").where("vec_id <> query_id").dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = scored.join(of, "head").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
