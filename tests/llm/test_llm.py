@@ -357,6 +357,33 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), lambda i: i % 20 == 0).count() == 0
 
 
+def test_ann_prunes_and_still_finds(spark, monkeypatch):
+    """Many more lists than probes, clustered vectors, crowded lists in pieces: recall stays above 0.9."""
+    for name, value in (("PER_LIST", 25), ("PROBES", 6), ("LEAST_SEEN", 200), ("RECALL", 0.97), ("BLOCK", 128), ("QUERY_BLOCK", 16), ("SHEETS_AT_ONCE", 2)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((60, 24)) * 3
+    m = (centres[np.r_[np.zeros(900, int), rng.integers(0, 60, 3100)]] + rng.standard_normal((4000, 24))).astype(np.float32).astype(float)
+    q = ann.fit(m[:3000].astype(np.float32), len(m))
+    sizes = np.bincount(ann.nearest(m.astype(np.float32), q.centroids), minlength=len(q.centroids))
+    assert len(q.centroids) > 100 and q.probed(m[::20].astype(np.float32), sizes).sum(1).mean() < 0.5 * len(q.centroids)
+    out = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    score = m[::20] @ m.T
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20]
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[20 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * want.size
+
+
+def test_ann_rows_of_one_id_and_other_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0]), (2, [0.0, 5.0, 7.0]), (3, [1.0, 1.0]), (3, [9.0, 0.0]), (0, [3.0, 0.0]), (4, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "list": F.lit(2), "rank": F.lit(3), "score": F.lit(4)})
+    out = ann.search(df, lambda i: i == 0)
+    assert [tuple(r) for r in out.orderBy("rank").collect()] == [(0, 1, 3, 9.0), (0, 2, 1, 2.0), (0, 3, 2, 0.0)]
+
+
 def test_ann_probes_grow_with_the_lists():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((20_100, 64)).astype(np.float32)
@@ -428,6 +455,23 @@ def test_near_duplicates(spark, docs, none):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 4, 5, 6, 7, 9, 12]
 
 
+def test_near_duplicates_in_crowded_regions(spark, monkeypatch):
+    """Regions far beyond all block sizes, with several components that depth and cuts keep apart."""
+    for name, value in (("CROWDED", 4), ("PART", 5), ("BLOCK", 8), ("SET_BLOCK", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = np.random.default_rng(13)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for i in range(70):
+            w = list(base)
+            for p in rng.choice(100, rng.integers(1, 6), replace=False):
+                w[p] = f"x{g}-{i}-{p}"
+            rows.append((g * 1000 + i, " ".join(w)))
+    got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 3, 85))
+
+
 def test_deduplicate_keeps_unrelated_texts_of_one_id(spark):
     rows = [(None, "red green blue"), (None, "one two three four"), (None, "red green blue"), (7, "salt and pepper"), (7, "north south east"), (8, "salt and pepper"), (None, ""), (None, ""), (7, None)]
     kept = neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()

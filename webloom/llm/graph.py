@@ -53,7 +53,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str, most_rou
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = scratch.save(edges, f"{name}-0")
     parts = max(1, -(-edges.count() // LOCAL_LINKS))
-    edges = scratch.save(edges.coalesce(parts).mapInArrow(_contract, "u bigint, v bigint"), f"{name}-stars")
+    edges = scratch.save(edges.repartition(parts).mapInArrow(_contract, "u bigint, v bigint"), f"{name}-stars")
     scratch.drop(f"{name}-0")
     state, last = _state(edges) if parts > 1 else None, f"{name}-stars"
     for turn in range(1, most_rounds + 1):

@@ -2,13 +2,16 @@
 
 Documents with equal shingle sets are one node. A node's signature is read in several orders,
 one per tree; within a tree, nodes sorted by their order meet in regions that share a prefix
-of ``DEPTH`` values. In the first pass a node's candidates are its neighbours in the orders,
-those that share most trees first, then those with the longest common prefix; the depth is the
-same for every region. Confirmed links give components. The second pass takes every region that still
-holds more than one component: members of different components are compared in blocks, first
-by signatures, then (those that are near) by their whole sets, and the links between
-components come out as spanning forests. So no candidate is dropped for the size of a region,
-and no region is expanded into all pairs.
+of ``DEPTH`` values. In the first pass the depth adapts to the region: one with more than
+``CROWDED`` nodes is split by prefixes of 8 and then 12 values, and what is crowded still is cut
+into parts of about ``PART`` nodes; a node's candidates are its neighbours in the sorted order of
+its region, those that share most trees first, then those with the longest common prefix.
+Confirmed links give components. The second pass completes what depth and cuts left out: in every
+region of ``DEPTH`` that still holds more than one component, members of different components are
+compared in blocks, first by signatures, then (those that are near) by their whole sets, and the
+links between components come out as spanning forests. A component that fills blocks of its own
+never meets itself. So no candidate is dropped for the size of a region, no region is expanded
+into all pairs, and no task holds more than two blocks.
 
 A pair at the threshold shares no region with probability (1 - s**DEPTH)**TREES: 2e-8 at 0.85.
 Pairs whose signatures agree in less than the threshold minus five standard errors are not
@@ -38,6 +41,8 @@ TREES, DEPTH = 24, 4
 VALUES = TREES * DEPTH
 #: Neighbours of a node that the first pass confirms.
 FIRST_NEIGHBOURS = 2
+#: Nodes of a region beyond which the first pass looks at longer prefixes, and of the parts of regions that stay crowded.
+CROWDED, PART = 64, 2_048
 #: Members of a region compared at once, by signatures and by whole sets.
 BLOCK, SET_BLOCK = 256, 64
 #: Node lists up to this many rows may be broadcast (about 40 bytes each).
@@ -146,27 +151,51 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def _neighbours(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The first pass's pairs: per node the neighbours in sorted orders that share most."""
+    """The first pass's pairs: per node the neighbours in sorted orders that share most.
+
+    ``members`` has ``c``, the size of the region of depth DEPTH.
+    """
     order = F.concat(*(F.substring("sig", F.pmod(F.col("tree") * (4 * DEPTH) + F.lit(16 * i), F.lit(4 * VALUES)) + 1, F.lit(16)) for i in range(3)))
-    placed = members.join(sigs.select("node", "n", "sig"), "node").select("key", "tree", "node", "n", order.alias("order"))
-    line = Window.partitionBy("key").orderBy("order", "n", "node")
-    near = placed.select("node", "order", "n", F.lag("node").over(line).alias("other"), F.lag("order").over(line).alias("other_order"), F.lag("n").over(line).alias("other_n")).where("other is not null")
+    placed = members.join(sigs.select("node", "n", "sig"), "node").select("key", "c", "node", "n", order.alias("order"))
+    calm = placed.where(F.col("c") <= CROWDED).withColumn("region", F.col("key"))
+    busy = placed.where(F.col("c") > CROWDED).withColumn("deep", F.xxhash64("key", F.substring("order", 1, 32)))
+    busy = busy.join(busy.groupBy("deep").agg(F.count(F.lit(1)).alias("c8")), "deep")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("c8") / PART))
+    busy = busy.withColumn("region", F.when(F.col("c8") <= CROWDED, F.col("deep")).otherwise(F.xxhash64("deep", "order", part)))
+    line = Window.partitionBy("region").orderBy("order", "n", "node")
+    near = calm.unionByName(busy.select(*calm.columns)).select("node", "order", F.lag("node").over(line).alias("other"), F.lag("order").over(line).alias("other_order")).where("other is not null")
     prefix = sum((F.when(F.substring("order", 1, 4 * i) == F.substring("other_order", 1, 4 * i), 1).otherwise(0) for i in range(DEPTH + 1, 13)), F.lit(0))
     near = near.groupBy("node", "other").agg(F.count(F.lit(1)).alias("shared"), F.max(prefix).alias("depth"))
     best = Window.partitionBy("node").orderBy(F.desc("shared"), F.desc("depth"), "other")
     return near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= FIRST_NEIGHBOURS).select(F.col("node").alias("a"), F.col("other").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _met(rows: DataFrame, size: int, *fields: str) -> DataFrame:
-    """Pairs of blocks of at most ``size`` members of one region; blocks of one and the same component do not meet."""
-    line = Window.partitionBy("key").orderBy("component", "node")
-    blocks = rows.withColumn("block", F.floor((F.row_number().over(line) - 1) / size)).groupBy("key", "tree", "block").agg(F.collect_list(F.struct("node", "component", *fields)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    left = blocks.select("key", "tree", *(F.col(c).alias(f"{c}1") for c in ("block", "m", "lo", "hi")))
-    right = blocks.select("key", *(F.col(c).alias(f"{c}2") for c in ("block", "m", "lo", "hi")))
-    return left.join(right, "key").where("block1 <= block2 and not (lo1 = hi1 and lo1 = lo2 and lo2 = hi2)").select("key", "tree", "m1", "m2")
+def _met(rows: DataFrame, size: int, wide: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """key, tree, m1, m2: pairs of blocks of about ``size`` members of one region, with the columns of ``wide`` (by node).
 
-
-def _near(members: DataFrame, sigs: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    A component with ``size`` members or more fills blocks of its own (its entry), which do not meet
+    each other; the members of all smaller ones share the blocks of entry -1. Blocks are numbered by
+    hashes and meet by their numbers, so a crowded region is many pieces of work.
+    """
+    rows = scratch.save(rows.select("key", "tree", "node", "component"), f"{name}-rows")
+    per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).withColumn("entry", F.when(F.col("n") >= size, F.col("component")).otherwise(F.lit(-1)))
+    entries = per.groupBy("key", "entry").agg(F.ceil(F.sum("n") / size).cast("int").alias("parts"))
+    entries = scratch.save(entries, f"{name}-entries")
+    own = rows.join(per.select("key", "component", "entry"), ["key", "component"]).join(entries, ["key", "entry"])
+    own = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    fields = [c for c in wide.columns if c != "node"]
+    blocks = own.join(wide, "node").groupBy("key", "entry", "part").agg(F.min("tree").alias("tree"), F.collect_list(F.struct("node", "component", *fields)).alias("m"))
+    blocks = scratch.save(blocks, f"{name}-blocks")
+    alone = blocks.where("entry = -1").select("key", "tree", F.col("m").alias("m1"), F.col("m").alias("m2"))
+    left = entries.select("key", F.col("entry").alias("e1"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p1"))
+    right = entries.select("key", F.col("entry").alias("e2"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p2"))
+    pairs = left.join(right, "key").where("e1 < e2 or e1 = -1 and e2 = -1 and p1 < p2")
+    first = blocks.select("key", "tree", F.col("entry").alias("e1"), F.col("part").alias("p1"), F.col("m").alias("m1"))
+    second = blocks.select("key", F.col("entry").alias("e2"), F.col("part").alias("p2"), F.col("m").alias("m2"))
+    return alone.unionByName(pairs.join(first, ["key", "e1", "p1"]).join(second, ["key", "e2", "p2"]).select("key", "tree", "m1", "m2"))
+
+
+def _near(members: DataFrame, sigs: DataFrame, component: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """key, tree, node of the members of a region whose signature is near one of another component there.
 
     A pair counts in the first tree that it shares, so it is looked at once. Only members come
@@ -174,7 +203,7 @@ def _near(members: DataFrame, sigs: DataFrame, component: DataFrame, percent: in
     """
     sized = members.select("key", "tree", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = sized.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-    met = _met(sized.join(several, "key").join(sigs.select("node", "n", "sig"), "node"), BLOCK, "n", "sig")
+    met = _met(sized.join(several, "key", "left_semi"), BLOCK, sigs.select("node", "n", "sig"), scratch, "near")
     s = percent / 100
     least = int(np.floor(VALUES * (s - 5 * np.sqrt(s * (1 - s) / VALUES))))
 
@@ -233,14 +262,14 @@ def overlaps(left: np.ndarray, lo: np.ndarray, right: np.ndarray, ro: np.ndarray
     return out.astype(np.int64)
 
 
-def _across(near: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(near: DataFrame, component: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b: component ids) between components with members of one region that overlap enough.
 
     Every pair of members of different components is decided exactly; of the links between the
     components of two blocks, a spanning forest comes out.
     """
-    rows = near.join(component, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sets, "node")
-    met = _met(rows, SET_BLOCK, "shingles")
+    rows = near.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    met = _met(rows, SET_BLOCK, sets, scratch, "across")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fields(column, i):
@@ -292,8 +321,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
     nodes = scratch.save(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "nodes")
     heads = rows.join(nodes.select(F.col("node").alias("rid")), "rid", "left_semi").withColumnRenamed("rid", "node")
     entries = heads.select("node", F.posexplode("keys").alias("tree", "key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = scratch.save(entries.join(shared, "key", "left_semi"), "members")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = scratch.save(entries.join(shared, "key"), "members")
     wanted = members.select("node").distinct()
     sigs = scratch.save(heads.join(wanted, "node", "left_semi").select("node", "doc_id", "t1", "t2", "n", "sig"), "signatures")
     marks = sigs.select("node", F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"))
@@ -305,11 +334,11 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "d
 
     links = scratch.save(confirmed(_neighbours(members, sigs), texts, width, percent), "links-1")
     component = scratch.save(connected_components(links, scratch, "first"), "components-1")
-    near = scratch.save(_near(members, sigs, component, percent), "near")
+    near = scratch.save(_near(members, sigs, component, percent, scratch), "near")
     sets = scratch.save(_sets(texts.join(near.select("node").distinct(), "node", "left_semi"), width), "sets")
-    links = scratch.save(_across(near, component, sets, percent), "links-2")
+    links = scratch.save(_across(near, component, sets, percent, scratch), "links-2")
     component = _merge(component, links, scratch, "second")
-    scratch.drop("texts", "members", "signatures", "near", "sets")
+    scratch.drop("texts", "members", "signatures", "near", "sets", *(f"{a}-{b}" for a in ("near", "across") for b in ("rows", "entries", "blocks")))
 
     named = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
