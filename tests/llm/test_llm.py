@@ -112,14 +112,55 @@ def test_substring(spark, docs, none, few, monkeypatch):
 def test_index_takes_batches_in_turn(spark):
     s = Scratch(spark, "i")
     index = substring.FingerprintIndex(s, fan_in=2)
-    row = lambda *r: spark.createDataFrame(list(r), "doc_id long, t long, start int, h1 long, h2 long")
-    assert index.ingest(row((1, 0, 0, 7, 7), (1, 0, 3, 7, 7)), "a").collect() == [(1, 0, 3)]
-    assert index.ingest(row((2, 0, 0, 7, 7), (2, 0, 1, 7, 8)), "b").collect() == [(2, 0, 0)]
+    row = lambda *r: spark.createDataFrame(list(r), "doc_id long, t long, start int, h1 long")
+    covers = lambda df: [(r.doc_id, r.t, r.start, tuple(r.source)) for r in df.collect()]
+    assert covers(index.ingest(row((1, 0, 0, 7), (1, 0, 3, 7)), "a")) == [(1, 0, 3, (1, 0))]
+    assert covers(index.ingest(row((2, 0, 0, 7), (2, 0, 1, 8)), "b")) == [(2, 0, 0, (1, 0))]
     assert len(index.runs) == 1
-    assert index.ingest(row((3, 0, 5, 7, 8)), "c").collect() == [(3, 0, 5)]
+    assert covers(index.ingest(row((3, 0, 5, 8)), "c")) == [(3, 0, 5, (2, 1))]
     index.close()
 
 
+def test_lasting_index(spark):
+    """Three days of documents through an index in a folder, reopened every day, equal one call over all."""
+    rng = np.random.default_rng(3)
+    usual = [f"w{i}" for i in range(50)]
+    passage = [" ".join(rng.choice(usual, 30)) for _ in range(4)]
+    rows = [(i, " ".join([*rng.choice(usual, rng.integers(0, 40)), passage[rng.integers(4)], *rng.choice(usual, 5)])) for i in range(24)]
+    folder, days = Scratch(spark, "days").path("index"), [rows[:8], rows[8:16], rows[16:]]
+    got, past = [], []
+    for day in days:
+        index = substring.FingerprintIndex.open(spark, folder, fan_in=2)
+        df = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+        got += [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(df(day), index=index, history=df(past), batches=1).collect()]
+        past = past + day
+    want = brute_substring(rows)
+    assert sorted(got) == sorted((k, *want[(k, t)]) for k, t in rows)
+    assert sum(r[2] for r in got) > 300 and len(substring.FingerprintIndex.open(spark, folder).runs) == 1
+
+
+def test_words_are_verified(spark, monkeypatch):
+    """With a fingerprint that takes different windows for equal ones, another seed is tried, then an error raised."""
+    rows = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(25))), (2, " ".join(f"b{i}" for i in range(25)))], "doc_id long, text string")
+    real = substring._windows
+
+    def blunt(texts, window, seed):
+        row, start, one, anchor, place = real(texts, window, seed)
+        return (row, start, one, anchor, place) if seed else (row, start, one * 0, anchor * 0, place)
+
+    monkeypatch.setattr(substring, "_windows", blunt)
+    assert [r.n_removed for r in substring.remove_repeats(rows).collect()] == [0, 0]
+    monkeypatch.setattr(substring, "SEEDS", 1)
+    with pytest.raises(RuntimeError):
+        substring.remove_repeats(rows)
+
+
+def test_substring_of_other_ids(spark):
+    same = " ".join(f"a{i}" for i in range(25))
+    out = substring.remove_repeats(spark.createDataFrame([("y", same), ("x", same), (None, "b")], "name string, body string"), key="name", text="body").collect()
+    assert {r.name: r.n_removed for r in out} == {"y": 25, "x": 0, None: 0}
+
+
 def test_mixing(spark, docs, none):
     out = mixing.mix(docs).collect()
     sizes = sorted((r[0] or -1, len(words(r[1]))) for r in TEXTS)

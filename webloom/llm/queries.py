@@ -38,7 +38,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
