@@ -65,6 +65,14 @@ def encode_words(texts: pa.Array, lower_ascii: bool = False) -> Words:
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets, coded.dictionary)
 
 
+def raw(array: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The bytes of a string array without nulls, and where each value starts and ends in them; nothing is copied."""
+    kind = np.int64 if pa.types.is_large_string(array.type) else np.int32
+    _, offsets, data = array.buffers()
+    ends = np.frombuffer(offsets, kind)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, kind)
+    return memoryview(data) if data is not None else memoryview(b""), ends
+
+
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of each document's stretch of ``values`` (1-d or 2-d), empty stretches included."""
     out = np.zeros((len(offsets) - 1, *values.shape[1:]), np.float64)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import NumericType
 
-from webloom.llm.arrowtext import chunks, encode_words, mix64, split_words
+from webloom.llm.arrowtext import chunks, encode_words, mix64, raw, split_words
 from webloom.session import Scratch
 
 WINDOW = 20
@@ -279,8 +279,11 @@ def _stretches(row: np.ndarray, start: np.ndarray, source: np.ndarray, source_st
     return np.concatenate([[0], np.flatnonzero(breaks) + 1, [len(row)]])
 
 
-def _digest(words: pa.Array) -> bytes:
-    return hashlib.sha256(" ".join(words.to_pylist()).encode()).digest()
+def _digest(data: memoryview, ends: np.ndarray, a: int, b: int) -> bytes:
+    """SHA-256 of the words ``a`` to ``b``: of their bytes and of their lengths, which together are the words."""
+    sha = hashlib.sha256(data[ends[a] : ends[b]])
+    sha.update(np.diff(ends[a : b + 1]).astype(np.int64).tobytes())
+    return sha.digest()
 
 
 def _cut(joined: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -302,19 +305,19 @@ def _cut(joined: DataFrame, window: int, with_text: bool) -> DataFrame:
             order = np.lexsort((start, np.repeat(np.arange(len(n)), length)))
             row, start = np.repeat(np.arange(len(n)), length)[order], start[order].astype(np.int64)
             source, source_start = pc.fill_null(ids.indices, -1).to_numpy(zero_copy_only=False)[order], first.field("start").to_numpy(zero_copy_only=False)[order]
-            edge = np.zeros(len(flat) + 1, np.int64)
             at = start + offsets[:-1][row]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + window, -1)
+            edge = np.bincount(at, minlength=len(flat) + 1) - np.bincount(at + window, minlength=len(flat) + 1)
             stay = np.cumsum(edge[:-1]) == 0
             left = np.concatenate([[0], np.cumsum(stay)])[offsets]
             kept = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(left), flat.filter(pa.array(stay))).cast(pa.list_(flat.type)), " ")
-            sha = [hashlib.sha256(k.encode()).hexdigest() for k in kept.to_pylist()]
+            spelt, cut = raw(kept)
+            sha = [hashlib.sha256(spelt[a:b]).hexdigest() for a, b in zip(cut, cut[1:])]
+            data, spans = raw(flat)
             known, ends, found = ids.dictionary.to_pylist(), _stretches(row, start, source, source_start), [[] for _ in n]
             for a, b in zip(ends, ends[1:]):
                 if b > a:
                     size = int(b - a) + window - 1
-                    found[row[a]].append({"doc_id": known[source[a]] if source[a] >= 0 else None, "start": int(source_start[a]), "words": size, "sha": _digest(flat.slice(int(at[a]), size))})
+                    found[row[a]].append({"doc_id": known[source[a]] if source[a] >= 0 else None, "start": int(source_start[a]), "words": size, "sha": _digest(data, spans, int(at[a]), int(at[a]) + size)})
             text = kept if with_text else pa.nulls(len(n), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(n - np.diff(left)), text, pa.array(sha, pa.string()), pa.array(found, stretch_type)], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "stretches"])
 
@@ -337,11 +340,12 @@ def unverified(stretches: DataFrame, texts: DataFrame, scratch: Scratch) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             flat, offsets = split_words(batch.column("text"))
+            data, spans = raw(flat)
             row, start, words, sha = [], [], [], []
             for i, asked_ in enumerate(batch.column("asked").to_pylist()):
                 for x in asked_:
                     a = int(offsets[i]) + x["start"]
-                    if a + x["words"] <= offsets[i + 1] and _digest(flat.slice(a, x["words"])) == x["sha"]:
+                    if a + x["words"] <= offsets[i + 1] and _digest(data, spans, a, a + x["words"]) == x["sha"]:
                         row.append(i), start.append(x["start"]), words.append(x["words"]), sha.append(x["sha"])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int32()), pa.array(words, pa.int32()), pa.array(sha, pa.binary())], ["doc_id", "start", "words", "sha"])
 
