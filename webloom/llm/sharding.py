@@ -3,11 +3,14 @@
 For each shard the key and the shard's number are hashed together; the highest weighted draw
 wins (``-w / ln(u)``; with equal weights simply the largest hash). The number of shards enters
 only by which draws exist, so one more shard takes rows from the others and moves none between
-them. Within a shard, rows get gapless slots: keys fall into sub-buckets by hash, sub-buckets
-get offsets from their counts, and only the rows of one sub-bucket are ranked together.
+them. Within a shard, rows get gapless slots: rows fall into sub-buckets by a hash of the key and
+the text's crc32, sub-buckets get offsets from their counts, and only the rows of one sub-bucket
+are ranked together. The number of sub-buckets grows with the table, so each has about
+``BUCKET_ROWS`` rows, also of a null key that many rows share; repeated rows (one key, one text)
+alone stay together.
 
 Cases: null keys hash as an empty text and share one shard; null text has 0 bytes; rows with
-the same key share a shard and get different slots in the order of their text's crc32; an
+the same key share a shard and get different slots; an
 empty table gives an empty result; shards of weight 0 or less get nothing. Native throughout.
 """
 
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 #: Fixed bytes that a record takes beside its text.
 OVERHEAD = 16
 SHARDS = 40
-#: Sub-buckets within a shard; a hot shard's rows are ranked in this many groups.
-SUB_BUCKETS = 64
+#: Rows of a sub-bucket if all rows were in one shard, and the least number of sub-buckets.
+BUCKET_ROWS, SUB_BUCKETS = 20_000, 64
 
 
 def draw(key: Column, shard: Column) -> Column:
@@ -46,9 +49,10 @@ def rendezvous(key: Column, shards: int, weights: Sequence[float] | None = None)
     return F.array_max(drawn).getField("s")
 
 
-def with_slots(rows: DataFrame, shard: str, key: str, ties: Sequence[str], sub_buckets: int = SUB_BUCKETS) -> DataFrame:
-    """Add a gapless ``slot`` from 0 within each shard without ranking a whole shard at once."""
-    rows = rows.withColumn("__sub", F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(17)), F.lit(sub_buckets)).cast("int"))
+def with_slots(rows: DataFrame, shard: str, key: str, ties: Sequence[str], number: int) -> DataFrame:
+    """Add a gapless ``slot`` from 0 within each shard without ranking a whole shard at once; ``number``: about how many rows there are."""
+    sub_buckets = max(SUB_BUCKETS, -(-number // BUCKET_ROWS))
+    rows = rows.withColumn("__sub", F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), *ties, F.lit(17)), F.lit(sub_buckets)).cast("int"))
     before = Window.partitionBy(shard).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(shard, "__sub").agg(F.count(F.lit(1)).alias("__n"))
     offsets = counts.select(F.col(shard).alias("__shard"), F.col("__sub").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
@@ -75,4 +79,4 @@ def assign(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] | Non
         grown = F.when(draw(name, F.lit(shards)) >= draw(name, F.col("shard")), F.lit(shards)).otherwise(F.col("shard"))
     else:
         grown = rendezvous(F.col("doc_id"), shards + 1, more)
-    return with_slots(rows, "shard", "doc_id", ["text_crc32", "size"]).withColumn("grown_shard", grown)
+    return with_slots(rows, "shard", "doc_id", ["text_crc32", "size"], docs.count()).withColumn("grown_shard", grown)
