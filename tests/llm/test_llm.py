@@ -378,6 +378,35 @@ def test_sharding(spark, docs, none):
     assert sharding.assign(none).count() == 0
 
 
+def test_sharding_by_the_winning_draw(spark):
+    """An argmax over all draws in plain Python; slots are gapless also where one id holds most rows."""
+    rows = [(i, f"t{i}") for i in range(200)] + [(None, f"n{i}") for i in range(500)] + [(7, "again")] * 3
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")), 9).collect()
+    win = lambda k, n: max(range(n), key=lambda s: (hashlib.md5(f"{'' if k is None else k}:{s}".encode()).hexdigest()[:15], s))
+    assert len(out) == len(rows) and all(r.shard == win(r.doc_id, 9) and r.grown_shard == win(r.doc_id, 10) for r in out)
+    for s in range(9):
+        mine = sorted(r.slot for r in out if r.shard == s)
+        assert mine == list(range(len(mine)))
+
+
+def test_mixing_by_a_plain_sort(spark):
+    """Whole epochs and then the documents of least keys until the rest is met, worked out one by one."""
+    rng = np.random.default_rng(21)
+    rows = [(int(i), " ".join(["w"] * int(rng.integers(0, 30))), "abc"[min(2, int(rng.exponential(0.7)))]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([(i, 2.0 if i % 3 else 1.0) for i, _, _ in rows], "doc_id long, weight double")
+    out = {r.doc_id: r for r in mixing.mix(docs, quality=weights).collect()}
+    u = {r.doc_id: r.u for r in docs.select("doc_id", mixing.unit(F.col("doc_id").cast("string"), F.xxhash64("text"), F.lit(42)).alias("u")).collect()}
+    for s in "abc":
+        mine = sorted((-math.log(u[i]) / (2.0 if i % 3 else 1.0), i, len(words(t))) for i, t, x in rows if x == s)
+        target, size = out[mine[0][1]].target, sum(n for _, _, n in mine)
+        epochs, at = int(target // size), 0
+        for _, i, n in mine:
+            more = n > 0 and epochs < 2 and at + n / 2 <= target - epochs * size
+            assert out[i].copies == epochs + more
+            at += n
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     m = rng.standard_normal((600, 16)).astype(np.float32).astype(float)
@@ -447,6 +476,8 @@ def test_lm(spark, docs, none):
     want = sorted((r[0] or -1, len(words(r[1])) + 1, round(sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in [*words(low(r[1])), ""]), 6)) for r in TEXTS)
     assert sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 6)) for r in out) == want
     assert all(r.score < 0 and r.train_tokens == n and r.n_known == r.n_tokens for r in out)
+    again = lm.train(docs.repartition(7), counts)
+    assert np.array_equal(again.context, model.context) and np.array_equal(again.target, model.target), "partitions change nothing"
     z = np.exp(model.context @ model.target.T + model.bias - model.log_z[:, None]).sum(1)
     assert np.allclose(z, 1, atol=1e-4)
     blank = scratch.save(lm.count_tokens(none), "none")
@@ -454,6 +485,27 @@ def test_lm(spark, docs, none):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == pytest.approx(0, abs=1e-6) for r in unseen)
 
 
+def test_lm_beats_the_unigram_base(spark):
+    """Held-out texts of a corpus gain over the unigram base, and one score is worked out by hand."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    out = queries.op9_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (out.s - out.b) / out.n > 0.05
+    few, scratch = docs.limit(40), Scratch(spark, "lm-hand")
+    counts = scratch.save(lm.count_tokens(few), "counts")
+    m = lm.train(few, counts)
+    row = lm.score(few, m, counts, scratch).orderBy("doc_id").first()
+    text = few.where(F.col("doc_id") == row.doc_id).first().text
+    hot, total, before = {w: i for i, w in enumerate(m.hot.to_pylist())}, 0.0, m.size + 1
+    for w in [*words(low(text)), ""]:
+        i = hot[w] if hot[w] < m.size else m.size
+        s = m.context[before] @ m.target.T + m.bias
+        total += (s[i] - math.log(np.exp(s.astype(float)).sum())) / math.log(10)
+        if i == m.size:
+            total += math.log10(m.counts[hot[w]] + 0.5) - m.unknown_total
+        before = i
+    assert row.score == pytest.approx(total, rel=1e-4)
+
+
 def brute_components(rows, width, percent):
     sets = []
     for key, text in rows:
@@ -548,3 +600,31 @@ def test_pipeline(spark, sf_dir):
     leaks = {k for k, t in texts[2].items() if any(i in spelt(t) for i in items)}
     assert not leaks & set(texts[3]) and len(set(texts[2]) - set(texts[3])) <= len(leaks) + 2
     assert kept[5].count() == kept[4].count()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, an extra column, and empty tables pass through all stages."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
+    rows = [(None, None, None, None, None, None), (1, "", "en", "a", 0, "x"), (2, "alpha beta gamma", None, None, 3, None), (2, "alpha beta gamma", None, None, 3, None), (None, "alone here", "en", "b", 1, "y"), (3, LONG, "en", "a", 1, "z")]
+    for name, data in (("odd", rows), ("none", [])):
+        where = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame([(1, 0, 0), (1, 1, 1), (None, 1, 1), (2, None, None)] if data else [], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        spark.createDataFrame([(1, "one two three four five six seven"), (2, None)] if data else [], "item_id long, text string").write.parquet(f"{where}/benchmark.parquet")
+        docs, scratch = table(spark, where, "documents"), Scratch(spark, "odd")
+        for stage, f in p.STAGES:
+            docs = scratch.save(f(spark, docs, where), stage)
+            if stage == "near_duplicates":
+                assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+                assert docs.count() == (5 if data else 0)
+        assert docs.count() >= (2 if data else 0)
+
+
+def test_labelled_and_weights(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (3, 0), (None, 1), (9, 1)], "doc_id long, toxic int")
+    assert sorted(map(tuple, queries.labelled(docs, labels).collect())) == [(1, "a", 1), (1, "b", 1), (3, "d", 0)]
+    spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert dict(map(tuple, queries.quality_weights(spark, str(tmp_path)).collect())) == {1: 2.0, 2: 1.0, 3: 1.0}

@@ -8,7 +8,9 @@ first takes whole epochs of itself, then documents in the order of their keys un
 its budget is met; the document at the border is taken if more than half of it fits.
 
 Keys are cut into cells by a monotone function; cell sums tell in which cell the border
-lies, so only documents of that cell are ranked, however large the source is.
+lies, so only documents of that cell are ranked, however large the source is. The number of cells
+grows with the root of the number of rows, so neither a source's cells nor one cell's documents
+are many.
 
 Cases: null or empty texts have size 0 and are taken 0 words; they come once with every whole
 epoch of their source and never in its fractional one, so no row comes more than ``max_epochs``
@@ -18,6 +20,7 @@ then to the text's hash; an empty table gives an empty result; null quality coun
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +31,7 @@ from webloom.session import Scratch
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
-#: Cells that the keys of a source are cut into; one cell per source is ranked row by row.
+#: Least number of cells that the keys of a source are cut into; one cell per source is ranked row by row.
 CELLS = 1024
 
 
@@ -64,7 +67,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", quality: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 42, cells: int = CELLS) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", quality: DataFrame | None = None, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = 42) -> DataFrame:
     """doc_id, __tie (a hash of the text), size, source, source_size, target, copies and taken of every row.
 
     ``quality`` (doc_id, weight) scales the keys; a document without a weight has 1.
@@ -78,8 +81,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         rows = rows.withColumn("__q", F.lit(None).cast("double"))
     w = F.when(F.col("__q") > 0, F.col("__q")).otherwise(F.lit(1.0))
     rows = rows.withColumn("__key", -F.log(unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("__tie"), F.lit(seed))) / w).drop("__q")
-    rows = rows.withColumn("__cell", F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * cells).cast("int"))
     rows = scratch.save(rows, "keyed")
+    cells = max(CELLS, 8 * math.isqrt(rows.count()))
+    rows = rows.withColumn("__cell", F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * cells).cast("int"))
 
     by_cell = scratch.save(rows.groupBy("source", "__cell").agg(F.sum("size").alias("__cell_size")), "cells")
     wanted = targets(by_cell.groupBy("source").agg(F.sum("__cell_size").alias("source_size")), weights, share, max_epochs)
