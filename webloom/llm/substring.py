@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import NumericType
@@ -116,9 +116,9 @@ def _rows(batch: pa.RecordBatch, row: np.ndarray, start: np.ndarray, one: np.nda
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(of[part]), batch.column("t").take(of[part]), pa.array(start[part].astype(np.int32)), pa.array(one[part])], ["doc_id", "t", "start", "h1"])
 
 
-def candidate_windows(docs: DataFrame, anchors: Anchors | None, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = 0) -> DataFrame:
-    """doc_id, t (hash of the text), start, h1 of the windows whose anchor is repeated (without ``anchors``: of all)."""
-    picked = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+def candidate_windows(docs: DataFrame, anchors: Anchors | None, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = 0, mark: Column | None = None) -> DataFrame:
+    """doc_id, t (``mark``, by default a hash of the text), start, h1 of the windows whose anchor is repeated (without ``anchors``: of all)."""
+    picked = docs.select(F.col(key).alias("doc_id"), (F.xxhash64(text) if mark is None else mark).alias("t"), F.col(text).alias("text"))
     kind = dict(picked.dtypes)["doc_id"]
     schema = f"doc_id {kind}, t bigint, start int, h1 bigint"
     if anchors is None or anchors.few is not None:
@@ -227,13 +227,15 @@ class FingerprintIndex:
         covered = place > source
         new = F.lit(False) if last else ~covered & ~known
         out = dealt.select("doc_id", "t", "start", covered.alias("covered"), F.when(covered, source).alias("source"), F.when(new, F.col("h1")).alias("h1"), new.alias("new"))
-        out = self.scratch.save(out.where("covered or new"), name)
+        out.where("covered or new").write.mode("overwrite").partitionBy("new").parquet(self.scratch.path(name))
+        out = self.scratch.load(name, out.schema)
         if not last:
             self.runs.append(self._write_run(out.where("new")))
+            self.scratch.drop(f"{name}/new=true")  # what follows reads the covered windows alone
             if len(self.runs) >= self.fan_in:
                 self.compact()
             self._list()
-        return out.where("covered").select("doc_id", "t", "start", "source")
+        return out.where("not new and covered").select("doc_id", "t", "start", "source")
 
     def compact(self) -> None:
         """Merge all runs into one; fingerprints of runs are disjoint."""
@@ -360,7 +362,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     With a lasting ``index``, windows of earlier documents count as earlier places; ``history`` has
     those documents, whose words are verified against. Without ``with_text``, kept is left out.
     """
-    whole = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    told = docs.groupBy(F.col(key)).agg((F.min(F.xxhash64(text)) != F.max(F.xxhash64(text))).alias("several"))
+    # where no id has different texts, the id alone names a document, and its windows travel without a mark
+    mark = F.xxhash64(text) if told.where("several").limit(1).count() else F.lit(0).cast("long")
+    whole = docs.select(F.col(key).alias("doc_id"), mark.alias("t"), F.col(text).alias("text"))
     for seed in range(SEEDS) if index is None else (index.seed,):
         scratch, covered = Scratch(docs.sparkSession, "substring"), None
         anchors = share_anchors(scratch.save(repeated_anchors(docs, text, window, seed), "anchors")) if index is None else None
@@ -368,7 +373,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         ranges = id_ranges(docs, key, batches)
         for i, rows in enumerate(ranges):
             name = f"batch-{i}" if index is None else f"batch-{uuid.uuid4().hex}"
-            found = own.ingest(candidate_windows(docs.where(rows), anchors, key, text, window, seed), name, index is None and i + 1 == len(ranges))
+            found = own.ingest(candidate_windows(docs.where(rows), anchors, key, text, window, seed, mark), name, index is None and i + 1 == len(ranges))
             covered = found if covered is None else covered.unionByName(found)
         starts = covered.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "source")).alias("covers"))
         joined = whole.alias("w").join(starts.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("w.t").eqNullSafe(F.col("s.t")), "left").select("w.doc_id", "w.text", "s.covers")
