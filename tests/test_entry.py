@@ -21,3 +21,13 @@ def test_some_queries_against_duckdb(spark, sf_dir):
         want = c.sql(entry.oracle_sql()[name])
         at = [[x.lower() for x in want.columns].index(k) for k in cols]
         assert sorted(map(repr, (tuple(r[k] for k in cols) for r in df.collect()))) == sorted(map(repr, (tuple(r[i] for i in at) for r in want.fetchall())))
+
+
+def test_import_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0

@@ -12,21 +12,22 @@ from webloom.plans.views import NOW, view, with_views
 from webloom.session import table
 from webloom.streaming import jobs
 
-_K = F.col("o_orderkey")
+def _k():
+    return F.col("o_orderkey")
 
 
 @query("recently_failed", f"SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN FALSE ELSE o_orderkey % 600 < 300 END AS recent FROM orders")
 def recently_failed(spark, d):
-    failed = F.when(_K % 4 != 0, F.lit(NOW) - _K % 600)
+    failed = F.when(_k() % 4 != 0, F.lit(NOW) - _k() % 600)
     return table(spark, d, "orders").select("o_orderkey", policy.recently_failed(failed, F.lit(NOW)).alias("recent"))
 
 
 @query("crawl_window", f"SELECT o_orderkey, NOT (o_orderkey % 5 = 0) AND (NOT (o_orderkey % 2 = 0) OR (CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE {NOW} + o_orderkey % 200 - 100 END) > {NOW}) AS allowed, {NOW} + least(o_orderkey % 200, 60) AS lease FROM orders")
 def crawl_window(spark, d):
-    until = F.when(_K % 7 != 0, (F.lit(NOW) + _K % 200 - 100).cast("string"))
-    mode = F.when(_K % 5 == 0, "1").when(_K % 3 == 0, "0")
-    allowed = policy.crawl_allowed(mode, _K % 2 == 0, until, F.lit(NOW))
-    return table(spark, d, "orders").select("o_orderkey", allowed.alias("allowed"), policy.lease_until(F.lit(NOW) + _K % 200, F.lit(NOW)).alias("lease"))
+    until = F.when(_k() % 7 != 0, (F.lit(NOW) + _k() % 200 - 100).cast("string"))
+    mode = F.when(_k() % 5 == 0, "1").when(_k() % 3 == 0, "0")
+    allowed = policy.crawl_allowed(mode, _k() % 2 == 0, until, F.lit(NOW))
+    return table(spark, d, "orders").select("o_orderkey", allowed.alias("allowed"), policy.lease_until(F.lit(NOW) + _k() % 200, F.lit(NOW)).alias("lease"))
 
 
 @query("blocked_host", "SELECT p_partkey, p_partkey % 4 < 2 AS blocked FROM part")
@@ -49,7 +50,7 @@ def usable_image(spark, d):
 
 @query("crawler_running", f"SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN FALSE ELSE o_orderkey % 90 <= 45 END AS running FROM orders")
 def crawler_running(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", policy.crawler_running(F.when(_K % 6 != 0, F.lit(NOW) - _K % 90), F.lit(NOW)).alias("running"))
+    return table(spark, d, "orders").select("o_orderkey", policy.crawler_running(F.when(_k() % 6 != 0, F.lit(NOW) - _k() % 90), F.lit(NOW)).alias("running"))
 
 
 @query("challenge_page", "SELECT p_partkey, p_partkey % 3 = 0 AS challenge FROM part")
@@ -61,13 +62,13 @@ def challenge_page(spark, d):
 
 @query("earliest_request", "SELECT o_orderkey AS request_id, o_custkey AS item_id, o_orderkey * 31 % 997 AS deadline FROM orders WHERE o_orderkey % 9 <> 0 ORDER BY deadline, request_id LIMIT 1")
 def earliest_request(spark, d):
-    rows = table(spark, d, "orders").select(_K.alias("request_id"), F.col("o_custkey").alias("item_id"), (_K * 31 % 997).alias("deadline"), F.when(_K % 9 == 0, "x").alias("failure"))
+    rows = table(spark, d, "orders").select(_k().alias("request_id"), F.col("o_custkey").alias("item_id"), (_k() * 31 % 997).alias("deadline"), F.when(_k() % 9 == 0, "x").alias("failure"))
     return policy.earliest_request(rows)
 
 
 @query("egress_rotation", "SELECT o_orderkey AS id, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS INT) AS address FROM orders")
 def egress_rotation(spark, d):
-    return policy.egress(table(spark, d, "orders").select(_K.alias("id")), 7)
+    return policy.egress(table(spark, d, "orders").select(_k().alias("id")), 7)
 
 
 @query("search_throttle", "WITH s AS (SELECT event_type AS engine, event_id AS id, epoch_us(ts) AS b, epoch_us(ts) + event_id % 5 * 1000000 AS e FROM events), g AS (SELECT *, b - lag(e) OVER (PARTITION BY engine ORDER BY b, id) AS gap FROM s) SELECT engine, id, gap FROM g WHERE gap < 2000000")
