@@ -56,11 +56,36 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _roll(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
-    m = max(0, len(h) - k + 1)
-    r = np.zeros(m, np.uint64)
-    for j in range(k):
-        r = r * base + h[j : j + m]
-    return mix64(r)
+    """Mixed polynomial of every ``k`` neighbours, put together from spans of doubled length."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    span, part, power = 1, h, int(base)
+    done, r = 0, h[:0]
+    while True:
+        if k & span:
+            m = len(h) - done - span + 1
+            r = part if done == 0 else r[:m] * np.uint64(power) + part[done : done + m]
+            done += span
+        if done == k:
+            return mix64(r)
+        m = len(part) - span
+        part = part[:m] * np.uint64(power) + part[span : span + m]
+        power, span = power * power % (1 << 64), 2 * span
+
+
+def _least(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every ``k`` neighbours and its (leftmost) place, by spans of doubled length."""
+    low, place = values, np.arange(len(values))
+    if len(values) < k:
+        return low[:0], place[:0]
+    span = 1
+    while span < k:
+        step = min(span, k - span)
+        right, left = low[step:], low[:-step]
+        place = np.where(right < left, place[step:], place[:-step])
+        low = np.minimum(left, right)
+        span += step
+    return low, place
 
 
 def _windows(texts: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,12 +97,7 @@ def _windows(texts: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.nd
     m = max(0, len(hashed) - window + 1)
     row = np.repeat(np.arange(len(words.offsets) - 1), words.counts)[:m]
     at = np.flatnonzero(np.arange(m) + window <= words.offsets[1:][row])
-    grams = _roll(hashed, gram, _BASE)
-    low, place = grams[:m].copy(), np.arange(m)
-    for j in range(1, window - gram + 1):
-        less = grams[j : j + m] < low
-        low[less] = grams[j : j + m][less]
-        place[less] = np.flatnonzero(less) + j
+    low, place = _least(_roll(hashed, gram, _BASE), window - gram + 1)
     return row[at], at - words.offsets[:-1][row[at]], _roll(hashed, window, _BASE)[at].view(np.int64), low[at].view(np.int64), place[at]
 
 
