@@ -447,6 +447,36 @@ def test_ann_prunes_and_still_finds(spark, monkeypatch):
     assert sum(len(got[20 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * want.size
 
 
+def rows_made(plan, name):
+    """Rows out of the nodes of an executed plan whose text has ``name``."""
+    kind, text = plan.getClass().getSimpleName(), plan.simpleString(200)
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_made(plan.executedPlan(), name)
+    if kind.endswith("QueryStageExec"):
+        return rows_made(plan.plan(), name)
+    below = plan.children()
+    mine = plan.metrics().apply("pythonNumRowsReceived").value() if "MapInArrow" in kind and name in text else 0
+    return mine + sum(rows_made(below.apply(i), name) for i in range(below.size()))
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_ann_candidates_grow_with_the_queries_only(spark, monkeypatch, crowded):
+    """Five times the rows send five times the candidates, and the number of blocks changes no result."""
+    for name, value in (("RERANK", 30), ("QUERY_BLOCK", 4)):
+        monkeypatch.setattr(ann, name, value)
+    m = np.random.default_rng(9).standard_normal((2_000, 8)).astype(np.float32).astype(float)
+    if crowded:
+        m[100:] = m[100] + 1e-3 * m[100:]
+    made, got = {}, {}
+    for n, block in ((400, 16), (2_000, 16), (2_000, 8_192)):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        out = ann.search(spark.createDataFrame([(f"{i:05}", v.tolist()) for i, v in enumerate(m[:n])], "vec_id string, embedding array<double>"), lambda i: i.cast("int") % 20 == 0, 5)
+        got[n, block] = sorted(map(tuple, out.collect()))
+        made[n, block] = rows_made(out._jdf.queryExecution().executedPlan(), "scan(")
+    assert 0 < made[2_000, 16] <= 6 * made[400, 16]
+    assert len(got[2_000, 16]) == 500 and got[2_000, 16] == got[2_000, 8_192]
+
+
 def test_ann_rows_of_one_id_and_other_lengths(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0]), (2, [0.0, 5.0, 7.0]), (3, [1.0, 1.0]), (3, [9.0, 0.0]), (0, [3.0, 0.0]), (4, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "list": F.lit(2), "rank": F.lit(3), "score": F.lit(4)})

@@ -8,9 +8,12 @@ lists, so nothing is lost for the number of lists); within a list it scores code
 asymmetric distance tables; the best ``RERANK`` are scored exactly in double precision.
 
 Equal vectors are indexed once, with their ``k + 1`` smallest ids: no further copy can be
-among the k nearest, since equal scores go to the smaller id. Lists are searched in blocks of
-about ``BLOCK`` vectors, small lists together; a crowded list is many pieces, many queries of a
-piece are dealt out in slices, and no task holds more than a piece and one sheet of queries.
+among the k nearest, since equal scores go to the smaller id. Codes lie in order of their lists
+and are cut into even parts, crowded lists too; queries are dealt out in slices. A task holds a
+slice of queries (``SHEETS_AT_ONCE`` sheets at most) with the best ``RERANK`` codes of each so far,
+and the codes of a part stream past in blocks of ``BLOCK``. So a query sends ``RERANK`` rows from
+each part at most, and the number of parts follows the cluster's cores, not the rows: rows sent
+grow with the queries, not with queries times blocks.
 
 Cases: null vectors, zero vectors and vectors with null or non-finite components take no part;
 rows with a null id take no part; shorter vectors count as if zeros followed; rows of one id are
@@ -44,8 +47,14 @@ CODES = 256
 RERANK = 300
 BLOCK = 8_192
 QUERY_BLOCK = 256
-#: Sheets of queries that meet a piece in one task.
+#: Sheets of queries that one task holds.
 SHEETS_AT_ONCE = 64
+#: Tasks (slices of queries times parts of the codes) that a search is dealt out to, if it has as many sheets or blocks; twice the cluster's cores, if that is more.
+CELLS = 32
+#: Slices for the root of the tasks: codes travel once for a slice and candidates once for a part, about ten times the bytes (an estimate for 64 dimensions and one query in 20 rows).
+SLICES_OF_ROOT = 3
+#: Codes that travel in one row.
+PACK = 128
 
 
 @dataclass
@@ -123,6 +132,45 @@ def encode(q: Quantiser, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lists, codes.astype(np.uint8)
 
 
+class Best:
+    """The ``keep`` codes nearest to each of some queries, while codes are met block by block."""
+
+    def __init__(self, q: Quantiser, x: np.ndarray, sizes: np.ndarray, keep: int):
+        self.q, self.x, self.keep = q, x, keep
+        self.probed = np.concatenate([q.probed(x[a : a + QUERY_BLOCK], sizes) for a in range(0, len(x), QUERY_BLOCK)])
+        self.near = np.full((len(x), keep), -np.inf, np.float32)
+        self.head = None  # queries x keep, meaningful where near is finite
+
+    def meet(self, lists: np.ndarray, codes: np.ndarray, heads: np.ndarray) -> None:
+        """``lists`` is in order."""
+        q, keep, (m, _, width) = self.q, self.keep, self.q.books.shape
+        if self.head is None:
+            self.head = np.zeros(self.near.shape, heads.dtype)
+        near = q.centroids[lists] + q.books[np.arange(m), codes].reshape(len(codes), m * width)[:, : q.dim]
+        numbers, starts = np.unique(lists, return_index=True)
+        ends = np.append(starts[1:], len(lists))
+        asking = np.flatnonzero(self.probed[:, numbers].any(1))
+        for i in range(0, len(asking), QUERY_BLOCK):
+            who = asking[i : i + QUERY_BLOCK]
+            score = np.full((len(who), keep + len(lists)), -np.inf, np.float32)
+            score[:, :keep] = self.near[who]
+            for number, a, b in zip(numbers, starts, ends):
+                rows = np.flatnonzero(self.probed[who, number])
+                score[rows, keep + a : keep + b] = self.x[who[rows]] @ near[a:b].T
+            best = np.argpartition(score, len(lists), axis=1)[:, len(lists) :]
+            before = np.take_along_axis(self.head[who], np.minimum(best, keep - 1), 1)
+            self.head[who] = np.where(best < keep, before, heads[np.maximum(best - keep, 0)])
+            self.near[who] = np.take_along_axis(score, best, 1)
+
+    def found(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Query (its place), head and score of all that was kept."""
+        for a in range(0, len(self.x), QUERY_BLOCK):
+            near = self.near[a : a + QUERY_BLOCK]
+            who, at = np.nonzero(near > -np.inf)
+            if len(who):
+                yield who + a, self.head[a : a + QUERY_BLOCK][who, at], near[who, at].astype(np.float64)
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """id, v (array<double>, all of the longest length) of the rows that take part."""
     v = F.col(vector).cast("array<double>")
@@ -162,55 +210,67 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     sizes = np.zeros(len(shared.value.centroids), np.int64)
     for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per list: at most LISTS_MOST
         sizes[r["list"]] = r["n"]
-    shards = ((np.cumsum(sizes) - sizes) // BLOCK).astype(np.int32)
-    pieces = np.maximum(1, -(-sizes // BLOCK)).astype(np.int32)
-    of_shard = np.ones(int(shards.max()) + 1, np.int32)
-    np.maximum.at(of_shard, shards, pieces)
-    shard = F.element_at(F.lit(shards.tolist()), F.col("list") + 1)
-    piece = F.pmod(F.xxhash64("head"), F.element_at(F.lit(pieces.tolist()), F.col("list") + 1)).cast("int")
     asked = scratch.save(rows.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v")), "queries")
     sheets = max(1, -(-asked.count() // QUERY_BLOCK))
-    slices = -(-sheets // SHEETS_AT_ONCE)
-    blocks = indexed.withColumns({"piece": piece, "shard": shard}).groupBy("shard", "piece").agg(F.collect_list(F.struct("head", "list", "code")).alias("m"))
-    blocks = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    cells = max(CELLS, 2 * spark.sparkContext.defaultParallelism)
+    slices = max(-(-sheets // SHEETS_AT_ONCE), min(sheets, int(SLICES_OF_ROOT * cells**0.5)))
+    parts = min(-(-total // BLOCK), -(-cells // slices))
+    starts = np.cumsum(sizes) - sizes
+    # lists x parts: whether the part holds codes of the list
+    holds = (np.arange(parts) >= (starts * parts // total)[:, None]) & (np.arange(parts) <= ((starts + sizes - 1) * parts // total)[:, None])
+    at = F.element_at(F.lit(starts.tolist()), F.col("list") + 1) + F.pmod(F.xxhash64("head"), F.element_at(F.lit(sizes.tolist()), F.col("list") + 1))
+    packs = indexed.withColumn("at", at).withColumns({"part": F.expr(f"int(at * {parts} div {total})"), "pack": F.expr(f"at div {PACK}")})
+    packs = packs.groupBy("part", "list", "pack").agg(F.sort_array(F.collect_list(F.struct("head", "code"))).alias("m"))
+    packs = packs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         for batch in batches:
             x = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1).astype(np.float32)
-            met = np.zeros((len(x), shards.max() + 1), bool)
-            many, number = np.nonzero(q.probed(x, sizes))
-            met[many, shards[number]] = True
-            who, number = np.nonzero(met)
-            lists = pa.array(number.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(who)), lists, batch.column("v").take(pa.array(who))], ["query_id", "shard", "v"])
+            who, number = np.nonzero(q.probed(x, sizes).astype(np.float32) @ holds.astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(who)), pa.array(number.astype(np.int32)), batch.column("v").take(pa.array(who))], ["query_id", "part", "v"])
 
-    probes = asked.mapInArrow(probe, f"query_id {id_type}, shard int, v array<double>")
-    grouped = probes.withColumn("sheet", F.pmod(F.xxhash64("query_id"), F.lit(sheets)).cast("int")).groupBy("shard", "sheet").agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
-    grouped = grouped.withColumns({"slice": F.col("sheet") % slices, "piece": F.explode(F.sequence(F.lit(0), F.element_at(F.lit(of_shard.tolist()), F.col("shard") + 1) - 1))})
+    probes = asked.mapInArrow(probe, f"query_id {id_type}, part int, v array<double>").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
+    cell = (F.col("slice") * parts + F.col("part")).cast("int").alias("cell")
+    nothing = {c: F.lit(None).cast(dict(packs.dtypes)[c]).alias(c) for c in ("pack", "m")}
+    queries = probes.select(cell, F.lit(-1).alias("list"), nothing["pack"], "query_id", "v", nothing["m"])  # before all codes of their cell
+    codes = packs.select(cell, "list", "pack", F.lit(None).cast(id_type).alias("query_id"), F.lit(None).cast("array<double>").alias("v"), "m")
+    dealt = queries.union(codes).repartitionById(slices * parts, "cell").sortWithinPartitions("cell", "list", "pack", "query_id")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = shared.value
-        m, _, width = z.books.shape
+        z, cell, asking, best = shared.value, None, [], None
+
+        def result() -> Iterator[pa.RecordBatch]:
+            ids = pa.concat_arrays([b.column("query_id") for b in asking])
+            for who, head, near in best.found():
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who)), pa.array(head, ids.type), pa.array(near)], ["query_id", "head", "near"])
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                asked_, held = batch.column("q")[i].values, batch.column("m")[i].values
-                x = asked_.field("v").flatten().to_numpy().reshape(len(asked_), -1).astype(np.float32)
-                codes = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(held), m)
-                heads_ = held.field("head")
-                lists = held.field("list").to_numpy()
-                near = z.centroids[lists] + z.books[np.arange(m), codes].reshape(len(held), m * width)[:, : z.dim]
-                score, probed = np.full((len(x), len(held)), -np.inf, np.float32), z.probed(x, sizes)
-                for number in np.unique(lists):
-                    who, members = np.flatnonzero(probed[:, number]), np.flatnonzero(lists == number)
-                    score[np.ix_(who, members)] = x[who] @ near[members].T
-                keep = min(RERANK, len(held))
-                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                top = np.take_along_axis(score, best, 1).ravel().astype(np.float64)
-                fine = np.flatnonzero(top > -np.inf)
-                yield pa.RecordBatch.from_arrays([asked_.field("query_id").take(pa.array(fine // keep)), heads_.take(pa.array(best.ravel()[fine])), pa.array(top[fine])], ["query_id", "head", "near"])
-
-    found = grouped.join(blocks, ["shard", "piece", "slice"]).select("q", "m").mapInArrow(scan, f"query_id {id_type}, head {id_type}, near double")
+            cells, lists = batch.column("cell").to_numpy(), batch.column("list").to_numpy()
+            cuts = np.flatnonzero(np.diff(cells, prepend=-1, append=-1))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if cells[a] != cell:
+                    if best:
+                        yield from result()
+                    cell, asking, best = cells[a], [], None
+                n = a + int(np.searchsorted(lists[a:b], 0))
+                if n > a:
+                    asking.append(batch.slice(a, n - a))
+                if n == b or not asking:
+                    continue
+                if not best:
+                    x = np.concatenate([g.column("v").flatten().to_numpy().reshape(g.num_rows, -1).astype(np.float32) for g in asking])
+                    best = Best(z, x, sizes, RERANK)
+                m = batch.column("m").slice(n, b - n)
+                held, of = m.flatten(), np.repeat(lists[n:b], m.value_lengths().to_numpy())
+                code = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(held), -1)
+                heads_ = held.field("head").to_numpy(zero_copy_only=False)
+                for i in range(0, len(held), BLOCK):
+                    best.meet(of[i : i + BLOCK], code[i : i + BLOCK], heads_[i : i + BLOCK])
+        if best:
+            yield from result()
+
+    found = dealt.mapInArrow(scan, f"query_id {id_type}, head {id_type}, near double")
     line = Window.partitionBy("query_id").orderBy(F.desc("near"), "head")
     best = found.withColumn("r", F.row_number().over(line)).where(F.col("r") <= RERANK).select("query_id", "head")
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
