@@ -447,6 +447,25 @@ def test_ann_prunes_and_still_finds(spark, monkeypatch):
     assert sum(len(got[20 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.9 * want.size
 
 
+@pytest.mark.parametrize("kind", ["wide", "far queries", "offset"])
+def test_ann_equals_brute_force(spark, monkeypatch, kind):
+    """Wide vectors, queries away from all other rows, a common offset: nothing of the result is missing."""
+    for name, value in (("PER_LIST", 25), ("PROBES", 2), ("LEAST_SEEN", 50), ("TRAIN_ROWS", 800)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(11)
+    m = rng.standard_normal((3_000, 384 if kind == "wide" else 16)).astype(np.float32).astype(float)
+    if kind == "far queries":
+        m = (rng.standard_normal((90, 16)) * 3)[rng.integers(0, 90, 3_000)] + 0.2 * m
+        m[::20] = rng.standard_normal((150, 16)) * 8
+    if kind == "offset":
+        m += 1e4
+    out = ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).collect()
+    score = m[::20] @ m.T
+    score[np.arange(150), np.arange(0, 3_000, 20)] = -np.inf
+    want = {(20 * int(q), int(i)) for q, row in enumerate(np.argsort(-score, axis=1)[:, :20]) for i in row}
+    assert {(r.query_id, r.vec_id) for r in out} == want
+
+
 def rows_made(plan, name):
     """Rows out of the nodes of an executed plan whose text has ``name``."""
     kind, text = plan.getClass().getSimpleName(), plan.simpleString(200)
