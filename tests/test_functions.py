@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,31 @@ def test_policies(spark):
     for version, q, n in ((1, "a", 5), (1, "a", 5), (1, "b", 5), (2, "a", 5), (2, "a", 6), (2, "a", 6)):
         cache.get(version, q, n, made)
     assert len(calls) == 5
+
+
+SLOW = ("page_metadata", "page_text", "page_links", "article_text", "link_admission", "made_page_metadata", "made_page_text", "made_article_text", "made_link_admission", "search_engine_results", "headline_results", "challenge_page", "charset_sources", "reextraction", "canonical_url", "resolve_url")
+
+
+@pytest.mark.parametrize("name", SLOW)
+def test_slow_python_runs_above_the_repartition(spark, name):
+    """A file of one row group is spread over the cores first, and no inferred filter reads pages below that."""
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    below = [part.split("Relation [")[0] for part in plan.split("Repartition")[1:]]
+    assert below and not any("ArrowEvalPython" in b for b in below), plan
+
+
+def test_pages_are_read_in_pieces():
+    rows = pd.Series(["x" * 10] * 600 + [None, "y" * 9_000_000, "z"])
+    cuts = list(html.pieces(rows))
+    assert [i for c in cuts for i in range(len(rows))[c]] == list(range(len(rows)))
+    assert max(c.stop - c.start for c in cuts) <= html.PIECE_ROWS and slice(601, 602) in cuts
+
+
+def test_wanted_parts_are_those_of_the_whole():
+    page = "<base href='/q/'><title>t</title><meta name=description content=d><link rel=canonical href=c><p class=ad>x</p><p>y <a href=l>k</a><img src=i.png></p>"
+    whole = html.read("https://h.com/", page)
+    for wanted in (("title",), ("canonical", "noindex"), ("links",), ("images", "body")):
+        assert html.read("https://h.com/", page, wanted=wanted) == {p: whole[p] for p in wanted}

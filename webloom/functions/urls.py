@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 from urllib.parse import quote_from_bytes, unquote_to_bytes
@@ -20,6 +21,7 @@ TRACKING = (
     "mc_cid", "mc_eid", "_hsenc", "_hsmi", "hsCtaTracking", "vero_id",
     "yclid", "mkt_tok",
 )
+_TRACKING = frozenset(TRACKING)
 # fixed values: image extensions
 IMAGES = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "svg", "avif", "ico", "tif", "tiff")
 #: A few top-level domains and ICANN suffix rules for tests; full lists are read by webloom.sources.lists.
@@ -27,6 +29,9 @@ TLDS = ("com", "net", "org", "io", "uk", "jp", "ck", "de", "fr", "es", "info", "
 SUFFIXES = ("com", "net", "org", "io", "de", "fr", "es", "uk", "co.uk", "jp", "co.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck")
 BUILT_IN = frozenset(TLDS)
 _PARTS = re.compile(r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$", re.DOTALL)
+#: Paths and form values that are spelt as they are, and the image extensions.
+_PLAIN_PATH = re.compile(r"(?:[A-Za-z0-9._~!$&'()*+,;=:@/\-]|%[0-9A-Fa-f]{2})*")
+_PLAIN_FORM = re.compile(r"[A-Za-z0-9_.\-]*")
 _KEEP = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~!$&'()*+,;=:@/"
 
 
@@ -51,10 +56,14 @@ class Url:
 
 def _form(value: str) -> str:
     """application/x-www-form-urlencoded; only letters, digits, hyphen, dot and underscore stay."""
+    if _PLAIN_FORM.fullmatch(value):
+        return value
     return quote_from_bytes(value.encode("utf-8", "surrogateescape"), safe=" ").replace("~", "%7E").replace(" ", "+")
 
 
 def _path(path: str) -> str:
+    if _PLAIN_PATH.fullmatch(path):
+        return path
     raw, out, i = path.encode("utf-8", "surrogateescape"), [], 0
     while i < len(raw):
         b = raw[i]
@@ -70,6 +79,12 @@ def _order(name: str) -> tuple:
     return (0, int(name), "") if re.fullmatch(r"0|-?[1-9][0-9]{0,17}", name) else (1, 0, name)
 
 
+def _unquoted(part: str) -> str:
+    if "%" not in part and "+" not in part:
+        return part
+    return unquote_to_bytes(part.replace("+", " ")).decode("utf-8", "surrogateescape")
+
+
 def parse(text: str | None) -> Url:
     """A URL in canonical form; malformed input gives an empty one."""
     m = _PARTS.match(text.strip() if text else "")
@@ -89,34 +104,47 @@ def parse(text: str | None) -> Url:
             url.port = None
     url.path = _path(path)
     names: dict[str, list[str]] = {}
-    for pair in (query or "").split("&"):
+    for pair in query.split("&") if query else ():
         name, _, value = pair.partition("=")
-        name, value = (unquote_to_bytes(x.replace("+", " ")).decode("utf-8", "surrogateescape") for x in (name, value))
-        if name and name not in TRACKING:
-            names.setdefault(name, []).append(value)
-    last = url.path.rsplit("/", 1)[-1]
-    if "." in last and last.rsplit(".", 1)[1].lower() in IMAGES:
-        names = {}
-    url.query = [(n, v) for n in sorted(names, key=_order) for v in names[n]]
+        name = _unquoted(name)
+        if name and name not in _TRACKING:
+            names.setdefault(name, []).append(_unquoted(value))
+    if names:
+        last = url.path.rsplit("/", 1)[-1]
+        if "." in last and last.rsplit(".", 1)[1].lower() in IMAGES:
+            names = {}
+        url.query = [(n, v) for n in (sorted(names, key=_order) if len(names) > 1 else names) for v in names[n]]
     return url
 
 
+#: Pages name their own address in every link; what it returns is shared and never changed.
+parsed = functools.lru_cache(1024)(parse)
+
+
 def canonical(text: str | None) -> str:
     return str(parse(text))
 
 
 def is_valid(text: str | None, tlds: frozenset[str] = BUILT_IN) -> bool:
-    url = parse(text)
+    return _has_valid_host(parse(text), tlds)
+
+
+def _has_valid_host(url: Url, tlds: frozenset[str]) -> bool:
     labels = url.host.split(".")
     return url.scheme in ("http", "https") and len(url.host) <= 253 and len(labels) >= 2 and all(1 <= len(x) <= 63 for x in labels) and labels[-1] in tlds
 
 
+_OAUTH = {"client_id", "redirect_uri", "response_type"}
+
+
 def is_oauth(text: str | None) -> bool:
-    return {"client_id", "redirect_uri", "response_type"} <= {n for n, _ in parse(text).query}
+    return _OAUTH <= {n for n, _ in parse(text).query}
 
 
 def remove_dots(path: str) -> str:
     """Dot segments resolved against the segments before them."""
+    if "." not in path:
+        return path
     out: list[str] = []
     parts = path.split("/")
     for i, part in enumerate(parts):
@@ -135,19 +163,32 @@ def remove_dots(path: str) -> str:
     return joined if joined.startswith("/") or not path.startswith("/") else "/" + joined
 
 
-def resolve(base: str, reference: str | None) -> str:
-    """The reference seen from ``base``, canonical."""
-    b, r = parse(base), parse(reference)
+def _resolved(base: str, reference: str | None) -> Url | str:
+    """The reference seen from ``base``; a string if it has a scheme without a host."""
+    b, r = parsed(base), parse(reference)
     if r.scheme and r.host:
-        return str(Url(r.scheme, r.host, r.port, remove_dots(r.path), r.query))
+        return Url(r.scheme, r.host, r.port, remove_dots(r.path), r.query)
     if r.scheme:
         return f"{r.scheme}:{r.path}"
     if r.host:
-        return str(Url(b.scheme, r.host, r.port, remove_dots(r.path), r.query))
+        return Url(b.scheme, r.host, r.port, remove_dots(r.path), r.query)
     if not r.had_path:
-        return str(Url(b.scheme, b.host, b.port, b.path, r.query if r.had_query else b.query))
+        return Url(b.scheme, b.host, b.port, b.path, r.query if r.had_query else b.query)
     merged = r.path if r.path.startswith("/") else (b.path.rsplit("/", 1)[0] if "/" in b.path else "") + "/" + r.path
-    return str(Url(b.scheme, b.host, b.port, remove_dots(merged), r.query))
+    return Url(b.scheme, b.host, b.port, remove_dots(merged), r.query)
+
+
+def resolve(base: str, reference: str | None) -> str:
+    """The reference seen from ``base``, canonical."""
+    return str(_resolved(base, reference))
+
+
+def resolve_valid(base: str, reference: str | None, tlds: frozenset[str] = BUILT_IN) -> str | None:
+    """resolve(), or None if what it gives is not valid."""
+    found = _resolved(base, reference)
+    if isinstance(found, str):
+        return found if is_valid(found, tlds) else None
+    return str(found) if _has_valid_host(found, tlds) else None
 
 
 def registrable_domain(host: str | None, rules=frozenset(SUFFIXES)) -> str:
@@ -206,6 +247,17 @@ def path_and_query(c: Column) -> Column:
     return _batched(lambda x: parse(x).path_and_query(), "string")(c)
 
 
+def link_parts(c: Column) -> Column:
+    """host, path (what robots rules are matched with) and whether it starts a sign-in, from one reading of the URL."""
+
+    @F.pandas_udf("host string, path string, oauth boolean")
+    def run(s: pd.Series) -> pd.DataFrame:
+        known = {x: (u.host, u.path_and_query(), _OAUTH <= {n for n, _ in u.query}) for x, u in ((x, parse(x)) for x in s.unique())}
+        return pd.DataFrame([known[x] for x in s], columns=["host", "path", "oauth"])
+
+    return run.asNondeterministic()(c)  # not repeated in pushed filters
+
+
 def host_of(c: Column) -> Column:
     return _batched(lambda x: parse(x).host, "string")(c)
 

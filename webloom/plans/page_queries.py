@@ -11,19 +11,20 @@ from webloom.functions import html, net, robots, urls
 from webloom.operators import catalogue
 from webloom.plans.registry import query
 from webloom.plans.views import NOW, view, with_views
-from webloom.session import Scratch, table
+from webloom.session import Scratch, spread, table
 from webloom.sources import engines, lists
 from webloom.streaming import jobs
 
 
-def _pages(spark, d):
-    return table(spark, d, "pages").select("page_id", "url", html.read_page(F.col("url"), F.col("html"), _domains(spark)).alias("p"))
+def _pages(spark, d, *wanted):
+    return spread(table(spark, d, "pages")).select("page_id", "url", html.read_page(F.col("url"), F.col("html"), _domains(spark), wanted).alias("p"))
 
 
-query("page_metadata")(lambda spark, d: _pages(spark, d).select("page_id", "p.title", "p.description", "p.keywords", "p.canonical", "p.noindex", "p.nofollow"))
-query("page_text")(lambda spark, d: _pages(spark, d).select("page_id", "p.body"))
-query("page_links")(lambda spark, d: _pages(spark, d).select("page_id", F.explode("p.links").alias("k")).select("page_id", "k.*"))
-query("article_text")(lambda spark, d: table(spark, d, "pages").select("page_id", html.article_text(F.col("html")).alias("article")))
+_META = ("title", "description", "keywords", "canonical", "noindex", "nofollow")
+query("page_metadata")(lambda spark, d: _pages(spark, d, *_META).select("page_id", *(f"p.{c}" for c in _META)))
+query("page_text")(lambda spark, d: _pages(spark, d, "body").select("page_id", "p.body"))
+query("page_links")(lambda spark, d: _pages(spark, d, "links").select("page_id", F.explode("p.links").alias("k")).select("page_id", "k.*"))
+query("article_text")(lambda spark, d: spread(table(spark, d, "pages")).select("page_id", html.article_text(F.col("html")).alias("article")))
 query("page_urls")(lambda spark, d: table(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"), urls.valid_url(F.col("url"), _domains(spark)).alias("valid"), urls.resolve_url(F.col("url"), F.lit("../a/b?c=d e")).alias("resolved")))
 
 _LISTED: dict = {}
@@ -48,7 +49,7 @@ def _urls(spark, d):
     n = F.col("l_linenumber")
     end = F.when(n == 1, "com").when(n == 2, "museum").when(n == 3, "nosuch").otherwise("org")
     url = F.concat(F.lit("HTTP://User@Shop"), F.col("l_suppkey") % 7, F.lit(".Example."), end, F.lit(":80/a b/"), "l_orderkey", F.lit("?z=1&utm_source=x&a="), "l_partkey", F.lit("#top"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", url.alias("u"))
+    return spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")).select("l_orderkey", "l_linenumber", url.alias("u"))
 
 
 @query("canonical_url", f"SELECT l_orderkey, l_linenumber, {_SPELT} AS url FROM lineitem")
@@ -66,7 +67,11 @@ def valid_url(spark, d):
 def resolve_url(spark, d):
     n, k = F.col("l_linenumber"), F.col("l_partkey")
     ref = F.when(n == 1, F.concat(F.lit("/x/./y/../"), k)).when(n == 2, F.concat(k, F.lit("?q=1"))).when(n == 3, F.concat(F.lit("?n="), k)).otherwise(F.concat(F.lit("../"), k))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", urls.resolve_url(F.lit("http://H.com/a/b/c?old=1"), ref).alias("url"))
+    return spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")).select("l_orderkey", "l_linenumber", urls.resolve_url(F.lit("http://H.com/a/b/c?old=1"), ref).alias("url"))
+
+
+def _parts(spark, d):
+    return spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"))
 
 
 def _made(spark, d):
@@ -75,17 +80,17 @@ def _made(spark, d):
     head = F.concat(F.lit("<html><head><title> "), "p_name", F.lit("</title><meta name='description' content='d "), "p_brand", F.lit("'><meta name=robots content='"), F.when(k % 3 == 0, "noindex").otherwise("all"), F.lit("'><link rel='canonical' href='/c/"), k, F.lit("?b=2&amp;a=1'></head>"))
     links = F.concat(F.lit("<p>one <a href='/self'>me</a> <a href='/l/"), k, F.lit("'>l</a></p><p><a rel='nofollow' href='/no'>n</a><a href='https://other.com/"), k, F.lit("'>o</a></p><a href='https://id.com/?client_id=1&redirect_uri=2&response_type=3'>in</a><a href='/private/"), k, F.lit("'>p</a><a href='/l/"), k, F.lit("'>again</a><img src='/i.png'>"))
     body = F.concat(F.lit("<body><header>top</header><nav>menu</nav>"), links, F.lit("<div class='sidebar'>side</div><div style='display: none /* x */'>gone</div><p>"), "p_type", F.when(even, "<br>next").otherwise(""), F.lit("</p><footer>end</footer></body></html>"))
-    return table(spark, d, "part").select(k.alias("page_id"), F.lit("https://h.com/self").alias("url"), F.concat(head, body).alias("html"))
+    return _parts(spark, d).select(k.alias("page_id"), F.lit("https://h.com/self").alias("url"), F.concat(head, body).alias("html"))
 
 
 @query("made_page_metadata", "SELECT p_partkey AS page_id, trim(p_name) AS title, 'd ' || p_brand AS description, 'https://h.com/c/' || p_partkey || '?a=1&b=2' AS canonical, p_partkey % 3 = 0 AS noindex, FALSE AS nofollow FROM part")
 def made_page_metadata(spark, d):
-    return _made(spark, d).select("page_id", html.read_page(F.col("url"), F.col("html")).alias("p")).select("page_id", "p.title", "p.description", "p.canonical", "p.noindex", "p.nofollow")
+    return _made(spark, d).select("page_id", html.read_page(F.col("url"), F.col("html"), wanted=_META).alias("p")).select("page_id", "p.title", "p.description", "p.canonical", "p.noindex", "p.nofollow")
 
 
 @query("made_page_text", "SELECT p_partkey AS page_id, 'one me l' || chr(10) || chr(10) || 'no' || chr(10) || 'inpagain' || chr(10) || chr(10) || p_type || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'next' ELSE '' END AS body FROM part")
 def made_page_text(spark, d):
-    return _made(spark, d).select("page_id", html.read_page(F.col("url"), F.col("html")).alias("p")).select("page_id", "p.body")
+    return _made(spark, d).select("page_id", html.read_page(F.col("url"), F.col("html"), wanted=("body",)).alias("p")).select("page_id", "p.body")
 
 
 @query("made_article_text", "SELECT p_partkey AS page_id, 'one me l' || chr(10) || chr(10) || 'no' || chr(10) || 'inpagain' || chr(10) || 'side' || chr(10) || chr(10) || p_type || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || 'next' ELSE '' END AS article FROM part")
@@ -95,23 +100,24 @@ def made_article_text(spark, d):
 
 def admitted(pages, rules, states, known):
     """Discoveries of pages (page_id, url, html): images before links, and no self-links, sign-in links or paths that the own host's robots rules forbid; the first mention of a URL on a page wins."""
-    p = pages.select("page_id", "url", html.read_page(F.col("url"), F.col("html"), known).alias("p")).select("page_id", urls.canonical_url(F.col("url")).alias("page"), F.expr("concat(transform(p.images, k -> named_struct('kind', 0, 'k', k)), transform(p.links, k -> named_struct('kind', 1, 'k', k)))").alias("all"))
-    rows = p.select("page_id", "page", F.explode("all").alias("x")).select("page_id", "page", "x.kind", "x.k.*").where(F.col("url") != F.col("page"))
-    rows = rows.where(~urls.oauth_url(F.col("url"))).withColumns({"host": urls.host_of(F.col("url")), "path": urls.path_and_query(F.col("url")), "own": urls.host_of(F.col("page"))})
-    mine = rows.where("host = own").select("host", "path").distinct()
-    banned = robots.decide(mine, rules, states).where("disallowed").select("host", "path", F.lit(True).alias("banned"))
-    rows = rows.join(banned, ["host", "path"], "left").where(~(F.coalesce("banned", F.lit(False)) & (F.col("host") == F.col("own"))))
-    return catalogue.first_per_group(rows, ["page_id", "url"], "kind", "pos").select("page_id", "url", "kind", "description")
+    p = pages.select("page_id", urls.link_parts(urls.canonical_url(F.col("url")))["host"].alias("own"), urls.canonical_url(F.col("url")).alias("page"), html.read_page(F.col("url"), F.col("html"), known, ("links", "images")).alias("p"))
+    p = p.select("page_id", "own", "page", F.expr("concat(transform(p.images, k -> named_struct('kind', 0, 'k', k)), transform(p.links, k -> named_struct('kind', 1, 'k', k)))").alias("all"))
+    files = rules.groupBy("host").agg(F.collect_list(F.struct("kind", "pattern", "regex")).alias("rules"))
+    files = states.groupBy("host").agg(F.max("known").alias("known")).join(files, "host", "left").withColumnRenamed("host", "own")
+    rows = p.join(files, "own", "left").select("page_id", "page", "own", "known", "rules", F.explode("all").alias("x")).select("page_id", "page", "own", "known", "rules", "x.kind", "x.k.*").where(F.col("url") != F.col("page"))
+    rows = rows.withColumn("u", urls.link_parts(F.col("url"))).where("not u.oauth")
+    banned = ~F.coalesce("known", F.lit(False)) | robots.disallowed_by(F.col("u.path"), F.col("rules"))
+    return catalogue.first_per_group(rows.where((F.col("u.host") != F.col("own")) | ~banned), ["page_id", "url"], "kind", "pos").select("page_id", "url", "kind", "description")
 
 
 def _own_rules(spark, pages, text):
-    hosts = pages.select(urls.host_of(F.col("url")).alias("host")).distinct()
+    hosts = pages.select(urls.link_parts(F.col("url"))["host"].alias("host")).distinct()
     return hosts.select("host", F.explode(robots.parse_rules(F.lit(text))).alias("r")).select("host", "r.*"), hosts.withColumn("known", F.lit(True))
 
 
 @query("link_admission")
 def link_admission(spark, d):
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages"))
     return admitted(pages, *_own_rules(spark, pages, "User-agent: *\nDisallow: /private"), _domains(spark))
 
 
@@ -205,7 +211,7 @@ def sitemap_locs(spark, d):
     k = F.col("p_partkey")
     xml = F.concat(F.when(k % 4 == 0, "<sitemapindex>").otherwise("<urlset>"), F.lit("<url><loc> https://example.com/"), k, F.lit("?a=1&amp;b=2</loc></url><url><LOC>https://example.com/second</LOC></url><loc>https://other.com/</loc><loc>mailto:x</loc>"))
     body = net.sitemap_body(F.when(k % 2 == 0, net.compress(xml)).otherwise(xml.cast("binary")))
-    rows = table(spark, d, "part").select("p_partkey", F.lit("example.com").alias("host"), body.alias("b")).select("p_partkey", "host", robots.is_sitemap_index(F.col("b")).alias("is_index"), F.posexplode(robots.sitemap_locs(F.col("b"))).alias("pos", "loc"))
+    rows = _parts(spark, d).select("p_partkey", F.lit("example.com").alias("host"), body.alias("b")).select("p_partkey", "host", robots.is_sitemap_index(F.col("b")).alias("is_index"), F.posexplode(robots.sitemap_locs(F.col("b"))).alias("pos", "loc"))
     return robots.of_host(rows, "loc", "host", urls.BUILT_IN).where(F.col("pos") < robots.MAX_URLS).select("p_partkey", "is_index", "loc")
 
 
@@ -239,7 +245,7 @@ def search_engine_results(spark, d):
     k = F.col("p_partkey") % 5
     cards = F.concat(F.lit("<div><h2><a href='https://a.com/"), "p_partkey", F.lit("'>"), "p_name", F.lit("</a></h2><p>about captcha "), "p_brand", F.lit("</p></div><div aria-hidden='true'><h2><a href='https://b.com/'>b</a></h2></div><div><h2><a href='https://x.engine.com/'>own</a></h2><h2><a href='//a.com/"), "p_partkey", F.lit("'>again</a></h2><h2><a href='https://u@c.com/'>user</a></h2></div>"))
     page = F.concat(F.lit("<title>"), F.when(k == 0, "Too many requests").otherwise("results"), F.lit("</title><main>"), F.when(k > 1, cards).otherwise("captcha"), F.lit("</main>"))
-    return table(spark, d, "part").select("p_partkey", engines.search_page(page, "demo", "engine.com").alias("r")).select("p_partkey", "r.status", F.explode_outer("r.results").alias("x")).select("p_partkey", "status", "x.title", "x.url", "x.content", "x.position")
+    return _parts(spark, d).select("p_partkey", engines.search_page(page, "demo", "engine.com").alias("r")).select("p_partkey", "r.status", F.explode_outer("r.results").alias("x")).select("p_partkey", "status", "x.title", "x.url", "x.content", "x.position")
 
 
 @query("headline_results", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'no_results' ELSE 'ok' END AS status, CASE WHEN p_partkey % 4 > 0 THEN p_name END AS title, CASE WHEN p_partkey % 4 > 0 THEN p_brand || ' 2h' END AS content, CASE WHEN p_partkey % 4 > 0 THEN '1970-01-01T00:00:' || lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0') || '+00:00' END AS published FROM part")
@@ -248,7 +254,7 @@ def headline_results(spark, d):
     card = F.concat(F.lit("<section><h2><a href='?searchheadlines=1'>h</a></h2><article class='x article-card'><a class='article-card__headline' href='https://c.news.com/A/"), "p_partkey", F.lit("?x'>"), "p_name", F.lit("</a><i class='article-publisher__name'>"), "p_brand", F.lit("</i><b data-timestamp='"), (F.col("p_partkey") % 60).cast("string"), F.lit("'>2h</b></article></section><section><h2><a href='?other'>o</a></h2><article class='article-card'><a class='article-card__headline' href='https://c.news.com/A/9'>other</a></article></section>"))
     nothing = F.lit("<title>News: x headlines | y</title><p>No articles were found matching x in the headline. Please try searching again.</p>")
     page = F.when(F.col("p_partkey") % 4 == 0, nothing).otherwise(card)
-    return table(spark, d, "part").select("p_partkey", engines.headline_page(page, "news", r"https://c\.news\.com/A/[0-9]+(?:\?\S*)?").alias("r")).select("p_partkey", "r.status", F.explode_outer("r.results").alias("x")).select("p_partkey", "status", "x.title", "x.content", F.col("x.publishedDate").alias("published"))
+    return _parts(spark, d).select("p_partkey", engines.headline_page(page, "news", r"https://c\.news\.com/A/[0-9]+(?:\?\S*)?").alias("r")).select("p_partkey", "r.status", F.explode_outer("r.results").alias("x")).select("p_partkey", "status", "x.title", "x.content", F.col("x.publishedDate").alias("published"))
 
 
 @query("encyclopedia_results", "SELECT p_partkey, 1 AS position, p_name AS title, 'https://en.example.org/wiki/' || p_partkey AS url, 'a & \"' || p_brand || '\"' AS content FROM part")

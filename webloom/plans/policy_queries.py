@@ -9,7 +9,7 @@ from webloom.operators import policy, search
 from webloom.plans.registry import query
 from webloom.plans.search_queries import _FOCUSED, _index
 from webloom.plans.views import NOW, view, with_views
-from webloom.session import table
+from webloom.session import spread, table
 from webloom.streaming import jobs
 
 def _k():
@@ -57,7 +57,7 @@ def crawler_running(spark, d):
 def challenge_page(spark, d):
     k = F.col("p_partkey")
     markup = F.concat(F.lit("<title>"), F.when(k % 3 == 0, "Just a moment...").when(k % 3 == 1, "Just a moment... more").otherwise(""), F.lit("</title><p>Just a moment...</p>"))
-    return table(spark, d, "part").select("p_partkey", policy.is_challenge(html.read_page(F.lit("https://h.com/"), markup)["title"]).alias("challenge"))
+    return spread(table(spark, d, "part").select("p_partkey")).select("p_partkey", html.read_page(F.lit("https://h.com/"), markup, wanted=("title",)).alias("p")).select("p_partkey", policy.is_challenge(F.col("p.title")).alias("challenge"))
 
 
 @query("earliest_request", "SELECT o_orderkey AS request_id, o_custkey AS item_id, o_orderkey * 31 % 997 AS deadline FROM orders WHERE o_orderkey % 9 <> 0 ORDER BY deadline, request_id LIMIT 1")
@@ -131,7 +131,7 @@ def charset_sources(spark, d):
     plain = F.concat(F.lit("<title>Ü "), "p_name", F.lit("</title>"))
     body = F.when(k % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), plain.cast("binary"))).when(k % 4 == 1, F.encode(plain, "ISO-8859-1")).when(k % 4 == 2, F.encode(F.concat(F.lit("<meta charset='latin1'>"), plain), "ISO-8859-1")).otherwise(plain.cast("binary"))
     decoded = html.decoded(body, F.when(k % 4 == 1, "iso-8859-1").when(k % 4 == 0, "ascii"))
-    return table(spark, d, "part").select("p_partkey", html.read_page(F.lit("https://h.com/"), decoded)["title"].alias("title"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", html.read_page(F.lit("https://h.com/"), decoded, wanted=("title",))["title"].alias("title"))
 
 
 @query("reextraction", "SELECT p_partkey AS item_id, CASE WHEN p_partkey % 5 = 0 THEN 'unreadable' WHEN p_partkey % 2 = 0 THEN 'unchanged' ELSE 'changed' END AS status FROM part")
@@ -139,8 +139,8 @@ def reextraction(spark, d):
     """Stored (compressed) markup read anew against the stored text."""
     k = F.col("p_partkey")
     stored = net.compress(F.when(k % 5 != 0, F.concat(F.lit("<body><p>"), "p_name", F.lit("</p><nav>menu</nav></body>"))))
-    rows = table(spark, d, "part").select(k.alias("item_id"), F.when(k % 2 == 0, F.col("p_name")).otherwise("old").alias("full_text"), net.decompress(stored).alias("html"))
-    return policy.reextraction(rows.withColumn("new_text", text.capped(html.read_page(F.lit("https://h.com/"), F.col("html"))["body"]))).select("item_id", "status")
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_name")).select(k.alias("item_id"), F.when(k % 2 == 0, F.col("p_name")).otherwise("old").alias("full_text"), net.decompress(stored).alias("html"))
+    return policy.reextraction(rows.withColumn("new_text", text.capped(html.read_page(F.lit("https://h.com/"), F.col("html"), wanted=("body",))["body"]))).select("item_id", "status")
 
 
 @query("request_budgets", "WITH r AS (SELECT event_id, user_id AS client, user_id % 5 AS address, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY client, t // 86400 ORDER BY t, event_id) AS client_n, row_number() OVER (PARTITION BY address, t // 86400 ORDER BY t, event_id) AS address_n FROM r) SELECT event_id, client_n, address_n, CASE WHEN client_n > 3 OR address_n > 20 THEN greatest(1, t // 86400 * 86400 + 86400 - t) END AS retry_after FROM n")

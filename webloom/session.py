@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, waves: int = 3) -> DataFrame:
+    """``rows`` over all cores of the cluster, for slow work in Python: a file of few row groups is read by as few tasks, however many rows they hold."""
+    return rows.repartition(waves * max(1, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 class Scratch:
     """Tables written below the shared folder of the cluster (``spark.checkpoint.dir``).
 
