@@ -140,10 +140,11 @@ def mark_crawled(items: DataFrame, crawls: DataFrame, now: int) -> DataFrame:
     """Items after crawls (item_id, title, description, full_text as capped, type, noindex).
 
     Texts and type are cut to the widths of the store, the hash is of the stored text, the interval
-    doubles where it stayed; the claim and the priority are given up.
+    doubles where it stayed; the claim and the priority are given up. The texts are never broadcast:
+    their size on disk says little about their size in memory.
     """
     new = crawls.select("item_id", F.left("title", F.lit(255)).alias("new_title"), F.left("description", F.lit(16000)).alias("new_description"), F.left("type", F.lit(255)).alias("new_type"), F.col("noindex").alias("new_noindex"), F.sha1(F.coalesce("full_text", F.lit("")).cast("binary")).alias("new_hash"))
-    j = items.join(new, "item_id", "left")
+    j = items.join(new.hint("shuffle_merge"), "item_id", "left")
     hit = F.col("new_hash").isNotNull()
     same = F.coalesce(F.col("content_hash") == F.col("new_hash"), F.lit(False))
     taken = [F.when(hit, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("title", "description", "type", "noindex")]
