@@ -151,3 +151,18 @@ def test_scratch_reads_what_it_wrote(spark):
     assert s.save(spark.range(5), "x").count() == 5
     s.drop()
     assert list(itertools.islice(iter(()), 1)) == []
+
+
+def test_last_hour_ends_to_the_microsecond(spark, tmp_path):
+    import __spark_entry__
+
+    stamps = ["10:59:59.999999", "11:00:00", "12:00:00", "12:00:00.000001", "12:00:00.9"]
+    spark.createDataFrame([(f"2024-01-15 {s}",) for s in stamps], "ts string").select(F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert __spark_entry__.queries()["crawled_last_hour"](spark, str(tmp_path)).first().crawled == 2
+
+
+def test_crawled_texts_are_not_broadcast(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["mark_crawled"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
