@@ -166,3 +166,41 @@ def test_crawled_texts_are_not_broadcast(spark):
 
     plan = __spark_entry__.queries()["mark_crawled"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_postings_need_no_shuffle_and_no_join(spark):
+    """Repeated words, words of one row alone, empty rows; a fresh index is read without its live rows, a changed one with them."""
+    index = search.item_index(Scratch(spark, "spelt"))
+    rows = search.indexable(_items(spark, [(1, "b a b c a b"), (2, "x"), (3, ""), (4, None)]))
+    spelt = index._spelt(rows)
+    assert "Exchange" not in spelt._jdf.queryExecution().executedPlan().toString()
+    want = [(1, 6, "a", [1, 4]), (1, 6, "b", [0, 2, 5]), (1, 6, "c", [3]), (2, 1, "x", [0])]
+    got = lambda r: sorted(map(tuple, r.select("item_id", "dl", "term", "positions").collect()))
+    assert got(spelt) == want
+    index.rebuild(rows)
+    assert got(index.held()) == want and "Join" not in index.terms({"a"})._jdf.queryExecution().executedPlan().toString()
+    index.upsert(search.indexable(_items(spark, [(2, "a a")])))
+    assert got(index.held()) == [*want[:3], (2, 2, "a", [0, 1])]
+    assert sorted(r.item_id for r in index.terms({"a"}).collect()) == [1, 2]
+
+
+def test_edges_of_repeated_customers(spark, tmp_path):
+    """Edges equal the SQL where a customer key has two rows, no nation, or a lineitem no order."""
+    import duckdb
+    from webloom.plans.views import view, with_views
+
+    made = {
+        "customer": ([(1, 3), (1, 4), (2, None), (5, 3)], "c_custkey long, c_nationkey int"),
+        "orders": ([(10, 1, "1-URGENT"), (11, 1, "5-LOW"), (12, 2, "5-LOW"), (13, 9, "5-LOW")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "lineitem": ([(10, 7, 1), (11, 7, 2), (12, 7, 1), (12, 8, 2), (13, 7, 1), (99, 7, 0), (10, 6, 1)], "l_orderkey long, l_partkey long, l_suppkey long"),
+        "part": ([(7, "red bolt"), (8, None), (7, "blue bolt")], "p_partkey long, p_name string"),
+        "supplier": ([(0, "s", 3), (2, "t", 5)], "s_suppkey long, s_name string, s_nationkey int"),
+    }
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    with duckdb.connect() as c:
+        for name in made:
+            c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+        for name in ("links", "edges"):
+            want = c.execute(with_views(f"SELECT * FROM {name}", name)).fetchall()
+            assert want and sorted(map(str, want)) == sorted(str(tuple(r)) for r in view(spark, str(tmp_path), name).collect())

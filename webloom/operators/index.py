@@ -4,19 +4,39 @@
 the term, so a query opens the buckets of its own terms and nothing is tokenised at query time. ``live``
 holds one narrow row per indexed row: its keys, the generation of its postings, its attributes and
 field lengths. A replaced row gets new postings under a new generation; the old ones stay
-unreachable until ``compact``. A count-only change rewrites ``live`` alone. A change first writes
+unreachable until ``compact``. Every task writes the postings of its own rows to the folders, in
+order of their terms, so nothing is shuffled and a frequent term is no task's burden. Postings hold
+the attributes and lengths of their row as of writing, so an index that was not changed since its
+rebuild is read without ``live``. A count-only change rewrites ``live`` alone. A change first writes
 its postings, then the next version of ``live``: readers see whole versions, and a writer that was
 stopped in between repeats the change over what it left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.session import Scratch
 
 BUCKETS = 64
+#: Bytes of rows in a task that spells and sorts postings, read or shuffled; a row has many postings, and their sort should fit into memory.
+TASK_BYTES = {"spark.sql.files.maxPartitionBytes": "8m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+
+
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in TASK_BYTES}
+    try:
+        for k, v in TASK_BYTES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def tokens(text):
@@ -52,10 +72,16 @@ class SearchIndex:
     # writing
 
     def _spelt(self, rows: DataFrame) -> DataFrame:
-        stacked = rows.select(*self.keys, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in self.fields))).alias("x"))
-        words = stacked.select(*self.keys, "x.field", F.posexplode("x.words").alias("pos", "term"))
-        spelt = words.groupBy(*self.keys, "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-        return spelt.select(*self.keys, "field", "term", "positions", self._bucket(F.col("term")).alias("bucket"))
+        """The postings of ``rows``, each row by itself: its words, sorted and cut where the word changes if one is repeated."""
+        own = [*self.keys, *self.attributes]
+        words = rows.select(*own, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in self.fields))).alias("x")).select(*own, "x.field", "x.words")
+        repeated = F.size(F.array_distinct("words")) < F.size("words")
+        told = words.where("size(words) > 0").withColumn("s", F.when(repeated, F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
+        cut = told.withColumn("starts", F.expr("CASE WHEN s IS NOT NULL THEN filter(sequence(1, size(s)), i -> i = 1 OR element_at(s, i).w <> element_at(s, greatest(i - 1, 1)).w) END"))
+        once = "transform(words, (w, i) -> struct(w AS term, array(i) AS positions))"  # most rows: no word twice
+        runs = "transform(starts, (a, j) -> struct(element_at(s, a).w AS term, transform(slice(s, a, coalesce(get(starts, j + 1), size(s) + 1) - a), x -> x.i) AS positions))"
+        spelt = cut.select(*own, "field", F.size("words").alias("dl"), F.explode_outer(F.expr(f"CASE WHEN s IS NULL THEN {once} ELSE {runs} END")).alias("x")).select(*own, "field", "dl", "x.term", "x.positions")
+        return spelt.withColumn("bucket", self._bucket(F.col("term")))
 
     def _bucket(self, term):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
@@ -64,11 +90,11 @@ class SearchIndex:
         return rows.select(*self.keys, F.lit(gen).alias("gen"), *self.attributes, *(F.size(tokens(F.col(f))).alias(f"dl_{f}") for f in self.fields))
 
     def _store(self, spelt: DataFrame, gen: int) -> None:
-        spelt.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(self.scratch.path(f"{self.name}/postings/gen={gen}"))
+        spelt.sortWithinPartitions("bucket", "term", *reversed(self.keys)).write.mode("overwrite").partitionBy("bucket").parquet(self.scratch.path(f"{self.name}/postings/gen={gen}"))
 
     def _postings(self) -> DataFrame:
-        schema = self.live().select(*self.keys).schema.simpleString()[len("struct<") : -1]
-        return self.spark.read.schema(f"{schema.replace(':', ' ')}, field string, term string, positions array<int>, gen int, bucket int").parquet(self.scratch.path(f"{self.name}/postings"))
+        schema = self.live().select(*self.keys, *self.attributes).schema.simpleString()[len("struct<") : -1]
+        return self.spark.read.schema(f"{schema.replace(':', ' ')}, field string, dl int, term string, positions array<int>, gen int, bucket int").parquet(self.scratch.path(f"{self.name}/postings"))
 
     def truncate(self) -> None:
         self.scratch.drop(self.name)
@@ -76,16 +102,24 @@ class SearchIndex:
     def rebuild(self, rows: DataFrame) -> None:
         """The index of exactly ``rows``."""
         self.truncate()
-        self._store(self._spelt(rows), 0)
-        self._commit(self._rows(rows, 0), 0)
+        with small_tasks(self.spark):
+            rows = self.scratch.save(rows.select(*self.keys, *self.attributes, *self.fields), f"{self.name}-rows")  # read twice, made once
+            self._store(self._spelt(rows), 0)
+            self._commit(self._rows(rows, 0), 0)
+        self.scratch.drop(f"{self.name}-rows")
 
-    def upsert(self, rows: DataFrame, gone: DataFrame | None = None, counts: DataFrame | None = None) -> None:
-        """Replace ``rows`` whole, drop the keys of ``gone``, and set attributes of rows by ``counts`` (keys, attributes)."""
+    def upsert(self, rows: DataFrame, gone: DataFrame | None = None, counts: DataFrame | None = None, stays: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Replace ``rows`` whole, drop the keys of ``gone``, and set attributes of rows by ``counts`` (keys, attributes).
+
+        ``stays`` tells which live rows are left beside ``rows``, where the caller knows that without comparing keys.
+        """
         keys, version = list(self.keys), self.version()
         gen = version + 1
-        before = self.live(version) if version >= 0 else self._rows(rows, gen).where("false")
-        self._store(self._spelt(rows), gen)
-        left = before.join(rows.select(*keys).distinct(), keys, "left_anti")
+        with small_tasks(self.spark):
+            rows = self.scratch.save(rows.select(*keys, *self.attributes, *self.fields), f"{self.name}-rows")
+            before = self.live(version) if version >= 0 else self._rows(rows, gen).where("false")
+            self._store(self._spelt(rows), gen)
+        left = stays(before) if stays else before.join(rows.select(*keys).distinct(), keys, "left_anti")
         if gone is not None:
             left = left.join(gone.select(*keys).distinct(), keys, "left_anti")
         if counts is not None:
@@ -93,6 +127,7 @@ class SearchIndex:
             left = left.join(new, keys, "left")
             left = left.select(*keys, "gen", *(F.when(F.col("__set"), F.col(f"new_{a}")).otherwise(F.col(a)).alias(a) if a in counts.columns else F.col(a) for a in self.attributes), *(f"dl_{f}" for f in self.fields))
         self._commit(left.unionByName(self._rows(rows, gen)), gen)
+        self.scratch.drop(f"{self.name}-rows")
 
     def compact(self) -> None:
         """Gather the reachable postings under one new generation and drop all others."""
@@ -106,12 +141,22 @@ class SearchIndex:
 
     # reading
 
-    def terms(self, wanted: set[str]) -> DataFrame:
-        """keys, attributes, field, dl, term and positions of the live rows that have one of the terms."""
+    def held(self) -> DataFrame:
+        """The postings of the live rows; what was written by one rebuild is live as a whole."""
+        stored = self._postings()
+        return stored if self.version() == 0 else stored.join(self.live().select(*self.keys, "gen"), [*self.keys, "gen"], "left_semi")
+
+    def terms(self, wanted: set[str], within: DataFrame | None = None) -> DataFrame:
+        """keys, attributes, field, dl, term and positions of the live rows that have one of the terms; ``within`` (few rows of one key) narrows them first."""
         words = sorted(wanted)
         stored = self._postings()
+        if within is not None:
+            stored = stored.join(F.broadcast(within), within.columns, "left_semi")
         buckets = [r[0] for r in self.spark.range(1).select(F.explode(F.array_distinct(F.array(*(self._bucket(F.lit(w)) for w in words))))).collect()]
         own = stored.where(F.col("bucket").isin(buckets) & F.col("term").isin(words)).drop("bucket")
+        if self.version() == 0:
+            return own.select(*self.keys, *self.attributes, "field", "dl", "term", "positions")
+        own = own.drop(*self.attributes, "dl")
         dl = F.create_map(*(x for f in self.fields for x in (F.lit(f), F.col(f"dl_{f}"))))
         return own.join(self.live(), [*self.keys, "gen"]).select(*self.keys, *self.attributes, "field", dl[F.col("field")].alias("dl"), "term", "positions")
 

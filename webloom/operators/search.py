@@ -61,10 +61,10 @@ def _shifted(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 
 
-def matches(index: SearchIndex, wanted: list[tuple[str, ...]]) -> DataFrame:
-    """keys, attributes, g (which group), field, dl and tf of every group that occurs in a live row."""
+def matches(index: SearchIndex, wanted: list[tuple[str, ...]], within: DataFrame | None = None) -> DataFrame:
+    """keys, attributes, g (which group), field, dl and tf of every group that occurs in a live row (``within``: of these keys)."""
     keys, out = (*index.keys, *index.attributes), None
-    held = index.terms({w for words in wanted for w in words})
+    held = index.terms({w for words in wanted for w in words}, within)
     for g, words in enumerate(wanted):
         own = held.where(F.col("term").isin(*set(words)))
         if len(words) == 1:
@@ -102,9 +102,8 @@ def content_pool(index: SearchIndex, query: str, images: bool | None = False, li
 
 def external_link_matches(index: SearchIndex, query: str, pool: DataFrame | None = None) -> DataFrame:
     """item_id and the exact number of external domains that link to it with matching text."""
-    found = matches(index, groups(query)).where("external = 1")
-    if pool is not None:
-        found = found.join(pool.select(F.col("item_id").alias("child_id")), "child_id", "left_semi")
+    within = None if pool is None else pool.select(F.col("item_id").alias("child_id"))
+    found = matches(index, groups(query), within).where("external = 1")
     return found.groupBy(F.col("child_id").alias("item_id")).agg(F.countDistinct("domain").alias("link_matches"))
 
 

@@ -88,8 +88,7 @@ def _search(q: str, images: bool = False, offset: int = 0):
 def search_index(spark, d):
     """What the index holds: items and occurrences of every term of a field."""
     index = _index(spark, d, "items")
-    held = index._postings().join(index.live().select("item_id", "gen"), ["item_id", "gen"])
-    return held.groupBy("field", "term").agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("positions")).alias("occurrences"))
+    return index.held().groupBy("field", "term").agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("positions")).alias("occurrences"))
 
 
 def _synced(spark, d):

@@ -47,6 +47,10 @@ def new_in_feed(items: DataFrame, late: str = "1 hour") -> DataFrame:
     return items.withWatermark("ts", late).dropDuplicatesWithinWatermark(["item_id"])
 
 
+#: Requests of one batch whose ids are broadcast; larger batches are joined by sorting.
+BROADCAST_IDS = 8_000_000
+
+
 class IndexSync:
     """Keeps the written indexes equal to a rebuild of the store, from batches of coalesced requests.
 
@@ -79,8 +83,15 @@ class IndexSync:
         self.items.upsert(whole, gone, counts)
         outgoing = wanted.where("sync_links > 0").select(F.col("item_id").alias("parent_id"))
         incoming = wanted.where("sync_links = 1").select(F.col("item_id").alias("child_id"))
-        touched = lambda e: e.join(outgoing, "parent_id", "left_semi").unionByName(e.join(incoming, "child_id", "left_semi")).dropDuplicates(["parent_id", "child_id"])
-        self.links.upsert(touched(self.edges()), touched(self.links.live()))
+        if wanted.count() <= BROADCAST_IDS:
+            outgoing, incoming = F.broadcast(outgoing), F.broadcast(incoming)
+
+        def edges_of(e: DataFrame, touched: bool) -> DataFrame:
+            """Edges that the requests ask for, or the others: told by their ends, whatever table they come from."""
+            told = e.join(outgoing.withColumn("__out", F.lit(True)), "parent_id", "left").join(incoming.withColumn("__in", F.lit(True)), "child_id", "left")
+            return told.where(F.coalesce("__out", "__in", F.lit(False)) == touched).select(*e.columns)
+
+        self.links.upsert(edges_of(self.edges(), True), stays=lambda live: edges_of(live, False))
         wanted.unpersist()
         fs.create(path, True).close()
 
